@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mean earth radius (km), reference latitude and the cell
@@ -63,25 +63,33 @@ def _lit(v: float) -> Column:
     return F.lit(float(v))
 
 
-def axial(lat: Column, lon: Column, grid: HexGrid) -> tuple[Column, Column]:
-    """Integer axial (q, r) of the cell holding each point; null in, null out."""
-    xe = lon * _lit(grid.kx)
-    ye = lat * _lit(grid.ky)
-    q = xe * _lit(C_Q) - ye * _lit(C_THIRD)
-    r = ye * _lit(C_R)
-    s = -q - r
-    rq, rr, rs = (F.floor(v + _lit(0.5)) for v in (q, r, s))
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
+def with_cell(df: DataFrame, grid: HexGrid, out: str, lat: str = "latitude",
+              lon: str = "longitude") -> DataFrame:
+    """Add the cell id ``hx<res>:<q>:<r>`` of each point as column ``out``.
+
+    Each intermediate (axial, rounded and error terms) is its own projected
+    column, so Catalyst keeps one copy of every sub-expression instead of
+    inlining the arithmetic wherever it is used. Null lat or lon gives a
+    null id.
+    """
+    t = f"_{out}_"
+    xe = F.col(lon) * _lit(grid.kx)
+    ye = F.col(lat) * _lit(grid.ky)
+    df = df.withColumns({t + "q": xe * _lit(C_Q) - ye * _lit(C_THIRD), t + "r": ye * _lit(C_R)})
+    q, r = F.col(t + "q"), F.col(t + "r")
+    df = df.withColumn(t + "s", -q - r)
+    s = F.col(t + "s")
+    df = df.withColumns({t + "rq": F.floor(q + _lit(0.5)), t + "rr": F.floor(r + _lit(0.5)),
+                         t + "rs": F.floor(s + _lit(0.5))})
+    rq, rr, rs = F.col(t + "rq"), F.col(t + "rr"), F.col(t + "rs")
+    df = df.withColumns({t + "dq": F.abs(rq - q), t + "dr": F.abs(rr - r), t + "ds": F.abs(rs - s)})
+    dq, dr, ds = F.col(t + "dq"), F.col(t + "dr"), F.col(t + "ds")
     q_wins = (dq > dr) & (dq > ds)
-    q_out = F.when(q_wins, -rr - rs).otherwise(rq)
-    r_out = F.when(q_wins, rr).when(dr > ds, -rq - rs).otherwise(rr)
-    return q_out.cast("long"), r_out.cast("long")
-
-
-def cell_id(lat: Column, lon: Column, grid: HexGrid) -> Column:
-    """Cell id text ``hx<res>:<q>:<r>``."""
-    q, r = axial(lat, lon, grid)
-    return F.concat(F.lit(f"hx{grid.res}:"), q.cast("string"), F.lit(":"), r.cast("string"))
+    q_out = F.when(q_wins, -rr - rs).otherwise(rq).cast("long")
+    r_out = F.when(q_wins, rr).when(dr > ds, -rq - rs).otherwise(rr).cast("long")
+    df = df.withColumn(out, F.concat(F.lit(f"hx{grid.res}:"), q_out.cast("string"), F.lit(":"),
+                                     r_out.cast("string")))
+    return df.drop(*[t + x for x in ("q", "r", "s", "rq", "rr", "rs", "dq", "dr", "ds")])
 
 
 def cell_qr(cell: Column) -> tuple[Column, Column]:
@@ -96,24 +104,33 @@ def round_half_up(x: Column, digits: int) -> Column:
     return F.floor(x * _lit(scale) + _lit(0.5)) / _lit(scale)
 
 
-def centre(cell: Column, grid: HexGrid) -> tuple[Column, Column]:
-    """(lat, lon) of a cell centre, unrounded."""
-    q, r = cell_qr(cell)
-    xe = _lit(SQRT3) * (q + r * _lit(0.5))
-    ye = _lit(1.5) * r
-    return ye / _lit(grid.ky), xe / _lit(grid.kx)
-
-
-def corners(cell: Column, grid: HexGrid, digits: int = 6) -> Column:
-    """Array of the 6 corner structs (corner, lat, lon), rounded to ``digits``."""
-    q, r = cell_qr(cell)
-    xe = _lit(SQRT3) * (q + r * _lit(0.5))
-    ye = _lit(1.5) * r
-    pts = []
-    for i, (dx, dy) in enumerate(CORNERS):
-        pts.append(F.struct(
-            F.lit(i).alias("corner"),
-            round_half_up((ye + _lit(dy)) / _lit(grid.ky), digits).alias("lat"),
-            round_half_up((xe + _lit(dx)) / _lit(grid.kx), digits).alias("lon"),
-        ))
-    return F.array(*pts)
+def with_centre(df: DataFrame, cell_col: str, grid: HexGrid, lat_out: str = "centre_lat",
+                lon_out: str = "centre_lon") -> DataFrame:
+    """Add the (unrounded) centre of each cell."""
+    q, r = cell_qr(F.col(cell_col))
+    df = df.withColumns({"_cq": q, "_cr": r})
+    xe = _lit(SQRT3) * (F.col("_cq") + F.col("_cr") * _lit(0.5))
+    ye = _lit(1.5) * F.col("_cr")
+    return df.withColumns({lat_out: ye / _lit(grid.ky), lon_out: xe / _lit(grid.kx)}).drop("_cq", "_cr")
+
+
+def corner_rows(df: DataFrame, cell_col: str, grid: HexGrid, digits: int = 6) -> DataFrame:
+    """One row per (cell, corner) with ``corner``, ``lat``, ``lon`` rounded to
+    ``digits`` places.
+
+    The six corner offsets are a literal array exploded first, so each row
+    computes one corner with a small expression (rather than one expression
+    holding all six corners, which Catalyst would copy into every use).
+    """
+    offsets = F.array(*[F.struct(F.lit(i).alias("corner"), _lit(dx).alias("dx"), _lit(dy).alias("dy"))
+                        for i, (dx, dy) in enumerate(CORNERS)])
+    q, r = cell_qr(F.col(cell_col))
+    df = df.withColumns({"_cq": q, "_cr": r})
+    df = df.withColumns({"_xe": _lit(SQRT3) * (F.col("_cq") + F.col("_cr") * _lit(0.5)),
+                         "_ye": _lit(1.5) * F.col("_cr")})
+    df = df.select("*", F.explode(offsets).alias("_o"))
+    return df.withColumns({
+        "corner": F.col("_o.corner"),
+        "lat": round_half_up((F.col("_ye") + F.col("_o.dy")) / _lit(grid.ky), digits),
+        "lon": round_half_up((F.col("_xe") + F.col("_o.dx")) / _lit(grid.kx), digits),
+    }).drop("_cq", "_cr", "_xe", "_ye", "_o")

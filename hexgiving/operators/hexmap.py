@@ -9,10 +9,10 @@ attaching the statistics to each polygon needs no join and no second scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexgiving.functions.hexgrid import GRIDS, HexGrid, cell_id, corners
+from hexgiving.functions.hexgrid import GRIDS, HexGrid, corner_rows, with_cell
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
 from hexgiving.operators.filters import valid_points
 
@@ -27,7 +27,7 @@ def grid_of(res_or_grid) -> HexGrid:
 
 def assign_cells(df: DataFrame, res, out: str = "hex_cell") -> DataFrame:
     """Add the cell id of each point at resolution ``res`` (null for null points)."""
-    return df.withColumn(out, cell_id(F.col("latitude"), F.col("longitude"), grid_of(res)))
+    return with_cell(df, grid_of(res), out)
 
 
 def hex_rollup(df: DataFrame, res) -> DataFrame:
@@ -95,19 +95,18 @@ def hex_top(df: DataFrame, cell_col: str = "hex_level_8", k: int = 5) -> DataFra
 def cell_boundaries(cells: DataFrame, res, cell_col: str = "hex_cell", digits: int = 6) -> DataFrame:
     """One row per (cell, corner) plus the closed ring as WKT text.
 
-    Every cell is handled (no 10- or 50-cell cap): the corners are a pure
-    function of the id, exploded per row. The WKT text lists the corners as
-    ``lon lat`` and repeats the first to close the ring.
+    Every cell is handled (no 10- or 50-cell cap): corners are a pure
+    function of the id. The WKT ring is a window over the cell's six corner
+    rows (partitioned by cell, so a cell never spans tasks), listed as
+    ``lon lat`` with the first corner repeated to close the ring.
     """
-    grid = grid_of(res)
-    pts = corners(F.col(cell_col), grid, digits)
+    rows = corner_rows(cells.select(F.col(cell_col).alias("hex_cell")), "hex_cell", grid_of(res), digits)
     fmt = f"%.{digits}f %.{digits}f"
-    ring = F.concat(pts, F.slice(pts, 1, 1))
-    wkt = F.concat(F.lit("POLYGON(("),
-                   F.array_join(F.transform(ring, lambda p: F.format_string(fmt, p["lon"], p["lat"])), ", "),
-                   F.lit("))"))
-    return (cells.select(F.col(cell_col).alias("hex_cell"), F.posexplode(pts).alias("corner", "pt"), wkt.alias("wkt"))
-            .select("hex_cell", "corner", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"), "wkt"))
+    per_cell = Window.partitionBy("hex_cell").orderBy("corner").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    text = F.collect_list(F.format_string(fmt, F.col("lon"), F.col("lat"))).over(per_cell)
+    wkt = F.concat(F.lit("POLYGON(("), F.array_join(text, ", "), F.lit(", "), F.get(text, 0), F.lit("))"))
+    return rows.select("hex_cell", "corner", "lat", "lon", wkt.alias("wkt"))
 
 
 def parse_polygon(df: DataFrame, wkt_col: str = "wkt") -> DataFrame:
@@ -128,12 +127,9 @@ def parse_polygon(df: DataFrame, wkt_col: str = "wkt") -> DataFrame:
 def cell_boundary_stats(rollup: DataFrame, res, digits: int = 6) -> DataFrame:
     """Polygon corners with the statistics of their cell (inner: every
     rollup row has a cell, so none is lost)."""
-    grid = grid_of(res)
-    pts = corners(F.col("hex_cell"), grid, digits)
-    return (rollup.where(F.col("hex_cell").isNotNull())
-            .select("*", F.posexplode(pts).alias("corner", "pt"))
-            .select("hex_cell", "corner", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"),
-                    "donor_count", "total_annual", "avg_annual", "total_cumulative"))
+    rows = corner_rows(rollup.where(F.col("hex_cell").isNotNull()), "hex_cell", grid_of(res), digits)
+    return rows.select("hex_cell", "corner", "lat", "lon",
+                       "donor_count", "total_annual", "avg_annual", "total_cumulative")
 
 
 def hex_colours(rollup: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.functions.hexgrid import GRIDS, cell_id
+from hexgiving.functions.hexgrid import GRIDS, with_cell
 
 # Fixed values of the adapter (they must be equal on every engine).
 ZIP_BASE = 29600          # zip code = ZIP_BASE + nation key
@@ -105,8 +105,9 @@ def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_cells(df: DataFrame, resolutions=(7, 8, 9), lat: str = "latitude",
                lon: str = "longitude", prefix: str = "hex_level_") -> DataFrame:
     """Add the stored cell columns (computed once, read by every hex rollup)."""
-    return df.withColumns({f"{prefix}{r}": cell_id(F.col(lat), F.col(lon), GRIDS[r])
-                           for r in resolutions})
+    for r in resolutions:
+        df = with_cell(df, GRIDS[r], f"{prefix}{r}", lat, lon)
+    return df
 
 
 def donors_with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
