@@ -231,3 +231,292 @@ ORACLE["hex_colours"] = w(
     f"format('{{:,.0f}}', total_annual) AS total_annual_formatted, format('{{:,.0f}}', avg_annual) AS avg_annual_formatted, "
     f"format('{{:,.0f}}', total_cumulative) AS total_cumulative_formatted "
     f"FROM hexc, (SELECT max(total_annual) AS mx FROM hexc) m", cells=True, extra=HEXC)
+
+# --- features and display tables -------------------------------------------------
+from hexgiving.operators import features as FE  # noqa: E402
+from hexgiving.operators import enrich as EN  # noqa: E402
+from hexgiving.operators import governance as GV  # noqa: E402
+from hexgiving.operators import quality as QL  # noqa: E402
+
+
+def _seg_colour(ch: int) -> str:
+    arms = " ".join(f"WHEN {S.q(k)} THEN {v[ch]}" for k, v in FE.SEGMENT_RGBA.items())
+    return f"(CASE donor_segment {arms} ELSE {FE.DEFAULT_RGBA[ch]} END)"
+
+
+DONOR_FEATURES = (
+    f"SELECT donor_id, longitude, latitude, coalesce(full_name, 'None') AS full_name, "
+    f"coalesce(donor_segment, 'None') AS donor_segment, CAST({A} AS DOUBLE) AS {A}, CAST({C} AS DOUBLE) AS {C}, "
+    f"coalesce(zip_code, 'None') AS zip_code, CAST(coalesce(graduation_year, 2000) AS INTEGER) AS graduation_year, "
+    f"{_seg_colour(0)} AS red, {_seg_colour(1)} AS green, {_seg_colour(2)} AS blue, {_seg_colour(3)} AS alpha, "
+    f"{S.currency(A)} AS annual_formatted, {S.currency(C)} AS cumulative_formatted "
+    f"FROM {{src}} WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+VENUE_FEATURES = (
+    f"SELECT venue_id, longitude, latitude, venue_name, venue_type, CAST(coalesce(capacity, 0) AS INTEGER) AS capacity, "
+    f"price_range, coalesce(CAST(rating AS DOUBLE), 0e0) AS rating, {FE.VENUE_RGBA[0]} AS red, {FE.VENUE_RGBA[1]} AS green, "
+    f"{FE.VENUE_RGBA[2]} AS blue, {FE.VENUE_RGBA[3]} AS alpha, {S.q(FE.VENUE_ICON)} || venue_name AS full_name, "
+    f"'Event Venue - ' || venue_type AS donor_segment, "
+    f"'Capacity: ' || coalesce(CAST(capacity AS VARCHAR), 'N/A') AS annual_formatted, "
+    f"'Rating: ' || coalesce(CAST(CAST(rating AS DOUBLE) AS VARCHAR), 'N/A') || '/5' AS cumulative_formatted, "
+    f"price_range AS zip_code, 'Venue' AS graduation_year "
+    f"FROM venues WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+VEN = f"venues AS ({S.VENUES})"
+ORACLE["donor_features"] = w(DONOR_FEATURES.replace("{src}", "donors"))
+ORACLE["venue_features"] = f"WITH {VEN} {VENUE_FEATURES}"
+ORACLE["map_layers"] = w(
+    f"SELECT 'donors' AS layer, donor_id AS feature_id, longitude, latitude, full_name, donor_segment, annual_formatted, "
+    f"cumulative_formatted, zip_code, CAST(graduation_year AS VARCHAR) AS graduation_year, red, green, blue, alpha "
+    f"FROM ({DONOR_FEATURES.replace("{src}", "filtered")}) d UNION ALL "
+    f"SELECT 'venues', venue_id, longitude, latitude, full_name, donor_segment, annual_formatted, cumulative_formatted, "
+    f"zip_code, graduation_year, red, green, blue, alpha FROM ({VENUE_FEATURES}) v", extra=f"{FILTERED}, {VEN}")
+ORACLE["venue_cards"] = (
+    f"WITH {VEN} SELECT venue_id, concat_ws(' - ', venue_name, venue_type) AS title, "
+    f"coalesce(CAST(capacity AS VARCHAR), 'None') AS capacity_text, "
+    f"coalesce(CAST(rating AS VARCHAR), 'None') || '/5.0' AS rating_text, "
+    f"'Price Range: ' || coalesce(price_range, 'None') AS price_text, coalesce(zip_code, 'None') AS address_line FROM venues")
+TABLE_COLS = (f'full_name AS "Name", zip_code AS "Zip", graduation_year AS "Grad Year", '
+              f'{S.currency(A)} AS "Annual Donation", {S.currency(C)} AS "Total Lifetime", '
+              f'donor_segment AS "Segment", age AS "Age"')
+ORACLE["donor_table"] = w(f"SELECT {TABLE_COLS} FROM (SELECT * FROM filtered ORDER BY donor_id LIMIT 50) t",
+                          extra=FILTERED)
+ORACLE["donor_table_all"] = w(f"SELECT {TABLE_COLS} FROM filtered", extra=FILTERED)
+ORACLE["donor_details"] = w(
+    f"SELECT donor_id, full_name, zip_code, graduation_year, major, CAST({A} AS DOUBLE) AS {A}, "
+    f"CAST({C} AS DOUBLE) AS {C}, donor_segment FROM filtered", extra=FILTERED)
+_HEX = " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in FE.SEGMENT_HEX.items())
+ORACLE["point_sizes"] = w(
+    f"SELECT donor_id, least(20e0, greatest(3e0, CAST({A} AS DOUBLE) / 500e0)) AS size_chart, "
+    f"least(25e0, greatest(5e0, CAST({A} AS DOUBLE) / 500e0)) AS size_image, "
+    f"(CASE donor_segment {_HEX} END) AS colour FROM donors")
+
+# --- governance ---------------------------------------------------------------------
+
+
+def _clear(role: str, roles) -> str:
+    return f"({S.q(role)} IN {S.in_list(roles)})"
+
+
+ORACLE["mask_string"] = w(
+    f"SELECT donor_id, CASE WHEN {_clear(GV.INTERN_ROLE, GV.STRING_CLEAR_ROLES)} THEN full_name "
+    f"ELSE {S.q(GV.MASKED_TEXT)} END AS full_name FROM donors")
+ORACLE["mask_date"] = w(
+    f"SELECT donor_id, CAST(CASE WHEN {_clear('DATASCI', GV.DATE_CLEAR_ROLES)} THEN last_donation_date "
+    f"ELSE DATE '9999-12-31' END AS VARCHAR) AS last_donation_date FROM donors")
+ORACLE["mask_number"] = w(
+    f"SELECT donor_id, CAST(CASE WHEN {_clear(GV.INTERN_ROLE, GV.NUMBER_CLEAR_ROLES)} THEN {A} "
+    f"ELSE CAST(0 AS DECIMAL(10,2)) END AS DOUBLE) AS {A}, "
+    f"CASE WHEN {_clear(GV.INTERN_ROLE, GV.NUMBER_CLEAR_ROLES)} THEN age ELSE 0 END AS age FROM donors")
+
+
+def _row_pred(role: str) -> str:
+    if role == GV.INTERN_ROLE:
+        return "donor_segment = 'Annual Donor'"
+    return "TRUE" if role in GV.ALL_ROWS_ROLES else "FALSE"
+
+
+def _masked_sql(role: str) -> str:
+    s_ok, n_ok = _clear(role, GV.STRING_CLEAR_ROLES), _clear(role, GV.NUMBER_CLEAR_ROLES)
+    return w(
+        f"SELECT donor_id, CASE WHEN {s_ok} THEN full_name ELSE {S.q(GV.MASKED_TEXT)} END AS full_name, "
+        f"CASE WHEN {n_ok} THEN age ELSE 0 END AS age, "
+        f"CAST(CASE WHEN {n_ok} THEN {A} ELSE 0 END AS DOUBLE) AS {A}, "
+        f"CAST(CASE WHEN {n_ok} THEN {C} ELSE 0 END AS DOUBLE) AS {C}, donor_segment, major "
+        f"FROM donors WHERE {_row_pred(role)}")
+
+
+ORACLE["masked_donors_intern"] = _masked_sql(GV.INTERN_ROLE)
+ORACLE["masked_donors_admin"] = _masked_sql(R.ADMIN)
+for _role, _key in ((GV.INTERN_ROLE, "intern"), (R.ADMIN, "admin"), (R.OTHER_ROLE, "other")):
+    ORACLE[f"row_access_{_key}"] = w(f"SELECT donor_id, donor_segment FROM donors WHERE {_row_pred(_role)}")
+
+# --- enrichment ---------------------------------------------------------------------
+ADDR = f"addresses AS ({S.ADDRESSES})"
+
+
+def _pool_part(zips, n, tag) -> str:
+    return (f"(SELECT address_id, city, state, zip, latitude, longitude, "
+            f"coalesce(street, '') || ' ' || coalesce(number, '') AS street_address, {S.q(tag)} AS address_type "
+            f"FROM addresses WHERE state = 'SC' AND zip IN {S.in_list(zips)} AND latitude IS NOT NULL "
+            f"AND longitude IS NOT NULL ORDER BY {S.order_key('address_id', 'pool-' + tag)}, address_id LIMIT {n})")
+
+
+POOL = (f"{ADDR}, pool AS (SELECT * FROM {_pool_part(R.TARGET_ZIPS, 7000, 'TARGET')} t "
+        f"UNION ALL SELECT * FROM {_pool_part(R.OTHER_ZIPS, 3000, 'OTHER')} o)")
+
+
+def _pick(values, u_seed: str, key: str = "address_id") -> str:
+    arr = "[" + ", ".join(S.q(v) for v in values) + "]"
+    idx = S.uniform_int(1, len(values), S.draw(key, u_seed))
+    return f"({arr})[CAST({idx} AS BIGINT) + 1]"
+
+
+def _year(key: str, seed: str) -> str:
+    arms = []
+    for i, (cut, lo, hi) in enumerate(EN.YEAR_BUCKETS):
+        arms.append(f"WHEN {S.uniform_int(1, 100, S.draw(key, f'{seed}-test{i}'))} <= {cut} "
+                    f"THEN {S.uniform_int(lo, hi, S.draw(key, f'{seed}-value{i}'))}")
+    lo, hi = EN.LAST_BUCKET
+    last = S.uniform_int(lo, hi, S.draw(key, f"{seed}-value{len(EN.YEAR_BUCKETS)}"))
+    return f"CAST(CASE {' '.join(arms)} ELSE {last} END AS INTEGER)"
+
+
+def _annual(key: str, seed: str) -> str:
+    u = S.draw(key, seed)
+    arms = []
+    for start, lo, hi, rate in EN.GIVING_BANDS:
+        arms.append(f"WHEN (2024 - graduation_year) >= {start} THEN CAST(round(CAST({S.uniform_int(lo, hi, u)} AS BIGINT) "
+                    f"* (1 + ((2024 - graduation_year) - {start}) * {rate}), 2) AS DECIMAL(10,2))")
+    lo, hi = EN.RECENT_BAND
+    return f"CASE {' '.join(arms)} ELSE CAST({S.uniform_int(lo, hi, u)} AS DECIMAL(10,2)) END"
+
+
+def enriched_sql(seed: str = R.SEED) -> str:
+    k = "address_id"
+    lo, hi = EN.CUMULATIVE_FACTOR
+    cum = (f"CAST(floor(((annual_donation_amount * greatest(1, 2024 - graduation_year)) * "
+           f"({S.d(lo)} + {S.draw(k, seed + '-cumulative')} * {S.d(hi - lo)})) * 100e0 + 0.5e0) / 100e0 AS DECIMAL(12,2))")
+    g0, g1 = EN.GIFT_WINDOW_DAYS
+    gift = f"(DATE '{EN.DEFAULT_AS_OF.isoformat()}' - CAST({S.uniform_int(g0, g1, S.draw(k, seed + '-gift'))} AS INTEGER))"
+    final = (
+        f"SELECT donor_id, first_name, last_name, full_name, email, address_id, street_address, city, state, zip_code, "
+        f"latitude, longitude, graduation_year, degree_type, major, age, annual_donation_amount, "
+        f"{cum} AS cumulative_donation_amount, {gift} AS last_donation_date, "
+        f"CASE WHEN annual_donation_amount >= 10000 THEN 'Major Donor' WHEN annual_donation_amount >= 1000 "
+        f"THEN 'Mid-Level Donor' ELSE 'Annual Donor' END AS donor_segment FROM ("
+        f"SELECT *, first_name || ' ' || last_name AS full_name, "
+        f"lower(first_name || '.' || last_name || '@{EN.EMAIL_DOMAIN}') AS email, "
+        f"2024 - graduation_year + 22 AS age, {_annual(k, seed + '-annual')} AS annual_donation_amount FROM ("
+        f"SELECT rn, 'DONOR_' || printf('%05d', rn) AS donor_id, {_pick(EN.FIRST_NAMES, seed + '-first')} AS first_name, "
+        f"{_pick(EN.LAST_NAMES, seed + '-last')} AS last_name, address_id, street_address, city, state, zip AS zip_code, "
+        f"latitude, longitude, {_year(k, seed + '-year')} AS graduation_year, "
+        f"{_pick(EN.DEGREE_TYPES, seed + '-degree')} AS degree_type, {_pick(EN.MAJORS, seed + '-major')} AS major "
+        f"FROM (SELECT *, row_number() OVER (ORDER BY {S.order_key(k, seed)}, {k}) AS rn FROM pool) n "
+        f"WHERE rn <= 10000) b) c")
+    return S.with_cells(final)
+
+
+def _money_double_cols(cols) -> str:
+    out = []
+    for c in cols:
+        if c in (A, C):
+            out.append(f"CAST({c} AS DOUBLE) AS {c}")
+        elif c == "last_donation_date":
+            out.append(f"CAST({c} AS VARCHAR) AS {c}")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+ENRICHED_COLS = ["donor_id", "first_name", "last_name", "full_name", "email", "address_id", "street_address", "city",
+                 "state", "zip_code", "latitude", "longitude", "graduation_year", "degree_type", "major", "age", A, C,
+                 "last_donation_date", "donor_segment", "hex_level_7", "hex_level_8", "hex_level_9"]
+ENR = f"WITH {POOL}, enriched AS ({enriched_sql()}) "
+ORACLE["address_pool"] = f"WITH {POOL} SELECT * FROM pool"
+ORACLE["number_rows"] = (f"WITH {POOL} SELECT address_id, row_number() OVER (ORDER BY "
+                         f"{S.order_key('address_id', R.SEED)}, address_id) AS rn FROM pool")
+ORACLE["sample_n"] = (f"WITH {ADDR} SELECT address_id, zip FROM addresses WHERE latitude IS NOT NULL "
+                      f"ORDER BY {S.order_key('address_id', 'sample')}, address_id LIMIT 100")
+ORACLE["donor_enrich"] = ENR + f"SELECT {_money_double_cols(ENRICHED_COLS)} FROM enriched"
+ORACLE["giving_bands"] = ENR + (f"SELECT {_money_double_cols(['donor_id', 'graduation_year', 'age', A, C, 'donor_segment'])} "
+                                f"FROM enriched")
+ORACLE["random_columns"] = ENR + "SELECT donor_id, first_name, last_name, degree_type, major, graduation_year FROM enriched"
+ORACLE["last_gift_date"] = ENR + "SELECT donor_id, CAST(last_donation_date AS VARCHAR) AS last_donation_date FROM enriched"
+ORACLE["pick_from_array"] = (f"WITH {ADDR} SELECT address_id, {_pick(EN.FIRST_NAMES, 'pick-first')} AS first_name, "
+                             f"{_pick(EN.MAJORS, 'pick-major')} AS major FROM addresses")
+_FN = "[" + ", ".join(S.q(v) for v in EN.FIRST_NAMES) + "]"
+_LN = "[" + ", ".join(S.q(v) for v in EN.LAST_NAMES) + "]"
+ORACLE["scalar_subquery"] = (
+    f"WITH {ADDR}, arrays AS (SELECT {_FN} AS first_names, {_LN} AS last_names) "
+    f"SELECT address_id, "
+    f"(SELECT first_names FROM arrays)[CAST({S.uniform_int(1, 60, S.draw('address_id', 'sq-first'))} AS BIGINT) + 1] AS first_name, "
+    f"(SELECT last_names FROM arrays)[CAST({S.uniform_int(1, 50, S.draw('address_id', 'sq-last'))} AS BIGINT) + 1] AS last_name "
+    f"FROM addresses")
+
+# --- quality ----------------------------------------------------------------------
+_CELL_COLS = ("hex_level_7", "hex_level_8", "hex_level_9")
+
+
+def _completeness(total: str, src: str) -> str:
+    parts = [f"count(*) AS {total}"] + [f"count({c}) AS {c}_count" for c in _CELL_COLS]
+    parts += [f"count(CASE WHEN {c} IS NOT NULL THEN 1 END) AS {c}_not_null" for c in _CELL_COLS]
+    return f"SELECT {', '.join(parts)} FROM {src}"
+
+
+ORACLE["completeness"] = w(_completeness("total_records", "donors"), cells=True)
+ORACLE["venue_completeness"] = f"WITH venues AS ({S.with_cells(S.VENUES)}) {_completeness('total_venues', 'venues')}"
+ORACLE["status_line"] = w(
+    f"SELECT CASE WHEN count_if(hex_level_7 IS NOT NULL) > 0 THEN {S.q(QL.STATUS_OK)} ELSE {S.q(QL.STATUS_EMPTY)} END "
+    f"AS final_status FROM donors", cells=True)
+
+
+def _uniq(src: str, key: str) -> str:
+    return (f"SELECT CAST(sum(_n) AS BIGINT) AS total_rows, count({key}) AS distinct_keys, "
+            f"count_if({key} IS NOT NULL AND _n > 1) AS duplicated_keys, "
+            f"CAST(coalesce(sum(CASE WHEN {key} IS NULL THEN _n END), 0) AS BIGINT) AS null_keys "
+            f"FROM (SELECT {key}, count(*) AS _n FROM {src} GROUP BY {key}) g")
+
+
+ORACLE["key_uniqueness"] = w(_uniq("donors", "donor_id"))
+ORACLE["venue_key_uniqueness"] = f"WITH {VEN} {_uniq('venues', 'venue_id')}"
+
+# --- sinks ------------------------------------------------------------------------
+ORACLE["ctas_roundtrip"] = ORACLE["donor_summary"]
+ORACLE["append_roundtrip"] = ORACLE["donor_summary"].replace(
+    "AS major_donors_count FROM", "AS major_donors_count, TRUE AS has_created_date FROM")
+DONOR_COLS = ["donor_id", "full_name", "zip_code", "latitude", "longitude", "graduation_year", "major", "age", A, C,
+              "last_donation_date", "donor_segment", "hex_level_7", "hex_level_8", "hex_level_9"]
+ORACLE["export_filtered"] = w(f"SELECT {_money_double_cols(DONOR_COLS)} FROM filtered", cells=True, extra=FILTERED)
+ORACLE["export_complete"] = w(f"SELECT {_money_double_cols(DONOR_COLS)} FROM donors", cells=True)
+
+
+def _report_sql() -> str:
+    head = (f"head AS (SELECT count(*) AS n, {S.money_sum(A)} AS ta, {S.mean_half_up(A, 2)} AS ma, "
+            f"{S.money_sum(C)} AS tc, {S.mean_half_up(C, 2)} AS mc, "
+            f"{S.rounded(S.coord_mean('latitude'), 6)} AS clat, {S.rounded(S.coord_mean('longitude'), 6)} AS clon, "
+            f"min(latitude) AS lat0, max(latitude) AS lat1, min(longitude) AS lon0, max(longitude) AS lon1 FROM filtered)")
+    f6 = lambda c: f"printf('%.6f', {c})"
+    money = lambda c: f"'$' || format('{{:,.2f}}', {c})"
+    L = []
+    const = [(0, "00", "'DONOR EVENT TARGETING REPORT'"), (0, "01", S.q("=" * 50)),
+             (0, "02", S.q(f"Generated: {R.REPORT_TIME}")), (1, "00", "'SUMMARY STATISTICS'"), (1, "01", S.q("-" * 20))]
+    L += [f"SELECT {s} AS section, {S.q(k)} AS line_key, {t} AS text" for s, k, t in const]
+    fromhead = [(0, "03", "'Total Records Analyzed: ' || format('{:,}', n)"),
+                (0, "04", f"'Map Center: ' || {f6('clat')} || ', ' || {f6('clon')}"),
+                (0, "05", f"'Geographic Bounds: ' || {f6('lat0')} || ' to ' || {f6('lat1')} || ' (Lat)'"),
+                (0, "06", f"{S.q(' ' * 19)} || {f6('lon0')} || ' to ' || {f6('lon1')} || ' (Lon)'"),
+                (1, "02", "'Total Donors in Analysis: ' || format('{:,}', n)"),
+                (1, "03", f"'Total Annual Donations: ' || {money('ta')}"),
+                (1, "04", f"'Average Annual Donation: ' || {money('ma')}"),
+                (1, "05", f"'Total Cumulative Donations: ' || {money('tc')}"),
+                (1, "06", f"'Average Cumulative Donation: ' || {money('mc')}")]
+    L += [f"SELECT {s}, {S.q(k)}, {t} FROM head" for s, k, t in fromhead]
+
+    def table(section, title, key, grouped, digits=2):
+        rows = [f"SELECT {section}, '0', {S.q(title)}", f"SELECT {section}, '1', {S.q('-' * len(title))}",
+                f"SELECT {section}, '2', {S.q(key + ',donor_count,total_annual,avg_annual')}",
+                (f"SELECT {section}, '3:' || printf('%06d', row_number() OVER (ORDER BY total_annual DESC, {key})), "
+                 f"{key} || ',' || CAST(donor_count AS VARCHAR) || ',' || printf('%.2f', total_annual) || ',' || "
+                 f"printf('%.{digits}f', avg_annual) FROM ({grouped}) g")]
+        return rows
+
+    L += table(2, "GEOGRAPHIC DISTRIBUTION", "zip_code",
+               f"SELECT zip_code, {CSM} FROM filtered WHERE zip_code IS NOT NULL GROUP BY zip_code")
+    L += table(3, "DONOR SEGMENTS", "donor_segment",
+               f"SELECT donor_segment, {CSM} FROM filtered WHERE donor_segment IS NOT NULL GROUP BY donor_segment")
+    L += table(4, "TOP 10 HEX CELLS BY TOTAL ANNUAL DONATIONS", "hex_cell",
+               f"SELECT hex_level_8 AS hex_cell, count({A}) AS donor_count, {S.money_sum(A)} AS total_annual, "
+               f"{S.mean_half_up(A, 4)} AS avg_annual FROM filtered WHERE hex_level_8 IS NOT NULL GROUP BY hex_level_8 "
+               f"ORDER BY total_annual DESC, hex_cell LIMIT 10", 4)
+    L += [f"SELECT 5, '0', 'INDIVIDUAL DONOR RECORDS'", f"SELECT 5, '1', {S.q('-' * 25)}",
+          f"SELECT 5, '2', {S.q(','.join(DONOR_COLS))}"]
+    cells = []
+    for c in DONOR_COLS:
+        if c in ("latitude", "longitude"):
+            cells.append(f"coalesce(printf('%.6f', {c}), '')")
+        else:
+            cells.append(f"coalesce(CAST({c} AS VARCHAR), '')")
+    L.append(f"SELECT 5, '3:' || donor_id, concat_ws(',', {', '.join(cells)}) FROM filtered")
+    return w(" UNION ALL ".join(f"({x})" for x in L), cells=True, extra=f"{FILTERED}, {head}")
+
+
+ORACLE["report_lines"] = _report_sql()

@@ -273,3 +273,237 @@ def _cell_boundary_stats(spark, sf):
 @query("hex_colours")
 def _hex_colours(spark, sf):
     return hexmap.hex_colours(hexmap.hex_rollup_stored(donors(spark, sf), "hex_level_8"))
+
+
+# --- features and display tables --------------------------------------------------
+
+def _money_double(df: DataFrame) -> DataFrame:
+    """Money as double, dates as ISO text: engine-neutral output types."""
+    cols = {}
+    for name, dtype in df.dtypes:
+        if dtype.startswith("decimal"):
+            cols[name] = F.col(name).cast("double")
+        elif dtype == "date":
+            cols[name] = F.col(name).cast("string")
+    return df.withColumns(cols) if cols else df
+
+
+@query("donor_features")
+def _donor_features(spark, sf):
+    return features.donor_features(T.donors(spark, sf))
+
+
+@query("venue_features")
+def _venue_features(spark, sf):
+    return features.venue_features(T.venues(spark, sf))
+
+
+@query("map_layers")
+def _map_layers(spark, sf):
+    return features.map_layers(filters.apply_filters(T.donors(spark, sf), **FILTERS), T.venues(spark, sf))
+
+
+@query("venue_cards")
+def _venue_cards(spark, sf):
+    return features.venue_cards(T.venues(spark, sf))
+
+
+@query("donor_table")
+def _donor_table(spark, sf):
+    return features.donor_table(filters.apply_filters(T.donors(spark, sf), **FILTERS), 50)
+
+
+@query("donor_table_all")
+def _donor_table_all(spark, sf):
+    return features.donor_table(filters.apply_filters(T.donors(spark, sf), **FILTERS), None)
+
+
+@query("donor_details")
+def _donor_details(spark, sf):
+    return features.donor_details(filters.apply_filters(T.donors(spark, sf), **FILTERS))
+
+
+@query("point_sizes")
+def _point_sizes(spark, sf):
+    return features.point_sizes(T.donors(spark, sf))
+
+
+# --- governance -----------------------------------------------------------------
+INTERN = governance.INTERN_ROLE
+ADMIN = "ACCOUNTADMIN"
+OTHER_ROLE = "PUBLIC"
+
+
+@query("mask_string")
+def _mask_string(spark, sf):
+    return T.donors(spark, sf).select("donor_id", governance.mask_string(F.col("full_name"), INTERN).alias("full_name"))
+
+
+@query("mask_date")
+def _mask_date(spark, sf):
+    return T.donors(spark, sf).select(
+        "donor_id", governance.mask_date(F.col("last_donation_date"), "DATASCI").cast("string").alias("last_donation_date"))
+
+
+@query("mask_number")
+def _mask_number(spark, sf):
+    d = T.donors(spark, sf)
+    return d.select("donor_id",
+                    governance.mask_number(F.col("annual_donation_amount"), INTERN, dtype="decimal(10,2)")
+                    .cast("double").alias("annual_donation_amount"),
+                    governance.mask_number(F.col("age"), INTERN, dtype="int").alias("age"))
+
+
+def _masked(role):
+    def run(spark, sf):
+        g = governance.governed(T.donors(spark, sf), role)
+        return _money_double(g.select("donor_id", "full_name", "age", "annual_donation_amount",
+                                      "cumulative_donation_amount", "donor_segment", "major"))
+    return run
+
+
+def _row_access(role):
+    def run(spark, sf):
+        return governance.governed(T.donors(spark, sf), role).select("donor_id", "donor_segment")
+    return run
+
+
+QUERIES["masked_donors_intern"] = _masked(INTERN)
+QUERIES["masked_donors_admin"] = _masked(ADMIN)
+QUERIES["row_access_intern"] = _row_access(INTERN)
+QUERIES["row_access_admin"] = _row_access(ADMIN)
+QUERIES["row_access_other"] = _row_access(OTHER_ROLE)
+
+
+# --- enrichment -----------------------------------------------------------------
+
+def pool(spark, sf):
+    return enr.address_pool(T.addresses(spark, sf), TARGET_ZIPS, OTHER_ZIPS, 7000, 3000)
+
+
+def enriched(spark, sf):
+    return enr.donor_enrich(pool(spark, sf), 10000, SEED)
+
+
+@query("address_pool")
+def _address_pool(spark, sf):
+    return pool(spark, sf)
+
+
+@query("number_rows")
+def _number_rows(spark, sf):
+    return number_rows(pool(spark, sf), "address_id", SEED).select("address_id", "rn")
+
+
+@query("sample_n")
+def _sample_n(spark, sf):
+    valid = T.addresses(spark, sf).where(F.col("latitude").isNotNull())
+    return sample_n(valid, 100, "address_id", "sample").select("address_id", "zip")
+
+
+@query("donor_enrich")
+def _donor_enrich(spark, sf):
+    return _money_double(enriched(spark, sf))
+
+
+@query("giving_bands")
+def _giving_bands(spark, sf):
+    return _money_double(enriched(spark, sf).select("donor_id", "graduation_year", "age", "annual_donation_amount",
+                                                    "cumulative_donation_amount", "donor_segment"))
+
+
+@query("random_columns")
+def _random_columns(spark, sf):
+    return enriched(spark, sf).select("donor_id", "first_name", "last_name", "degree_type", "major", "graduation_year")
+
+
+@query("last_gift_date")
+def _last_gift_date(spark, sf):
+    return _money_double(enriched(spark, sf).select("donor_id", "last_donation_date"))
+
+
+@query("pick_from_array")
+def _pick_from_array(spark, sf):
+    a = T.addresses(spark, sf)
+    key = F.col("address_id")
+    return a.select("address_id",
+                    enr.pick_1_to_n(enr.FIRST_NAMES, key, "pick-first").alias("first_name"),
+                    enr.pick_1_to_n(enr.MAJORS, key, "pick-major").alias("major"))
+
+
+@query("scalar_subquery")
+def _scalar_subquery(spark, sf):
+    arrays = spark.createDataFrame([(list(enr.FIRST_NAMES), list(enr.LAST_NAMES))],
+                                   "first_names array<string>, last_names array<string>")
+    first_names = arrays.select("first_names").scalar()
+    last_names = arrays.select("last_names").scalar()
+    key = F.col("address_id")
+    from hexgiving.functions.draws import uniform_int, unit_draw
+    return T.addresses(spark, sf).select(
+        "address_id",
+        F.get(first_names, uniform_int(1, 60, unit_draw(key, "sq-first")).cast("int")).alias("first_name"),
+        F.get(last_names, uniform_int(1, 50, unit_draw(key, "sq-last")).cast("int")).alias("last_name"))
+
+
+# --- quality ----------------------------------------------------------------------
+
+@query("completeness")
+def _completeness(spark, sf):
+    return quality.completeness(donors(spark, sf), ["hex_level_7", "hex_level_8", "hex_level_9"])
+
+
+@query("venue_completeness")
+def _venue_completeness(spark, sf):
+    v = T.with_cells(T.venues(spark, sf))
+    return quality.completeness(v, ["hex_level_7", "hex_level_8", "hex_level_9"], "total_venues")
+
+
+@query("status_line")
+def _status_line(spark, sf):
+    return quality.status_line(donors(spark, sf))
+
+
+@query("key_uniqueness")
+def _key_uniqueness(spark, sf):
+    return quality.key_uniqueness(T.donors(spark, sf), "donor_id")
+
+
+@query("venue_key_uniqueness")
+def _venue_key_uniqueness(spark, sf):
+    return quality.key_uniqueness(T.venues(spark, sf), "venue_id")
+
+
+# --- sinks ------------------------------------------------------------------------
+from hexgiving.session import shared_dir  # noqa: E402
+from hexgiving.sinks import export  # noqa: E402
+
+REPORT_TIME = "2024-12-31 00:00:00"
+
+
+@query("ctas_roundtrip")
+def _ctas_roundtrip(spark, sf):
+    return export.write_table(rollups.donor_summary(donors(spark, sf)), shared_dir(spark, "summary"))
+
+
+@query("append_roundtrip")
+def _append_roundtrip(spark, sf):
+    t = export.append_with_defaults(rollups.donor_summary(donors(spark, sf)), shared_dir(spark, "summary-append"))
+    return t.withColumn("has_created_date", F.col("created_date").isNotNull()).drop("created_date")
+
+
+@query("export_filtered")
+def _export_filtered(spark, sf):
+    return _money_double(export.csv_roundtrip(filtered(spark, sf), shared_dir(spark, "export-filtered")))
+
+
+@query("export_complete")
+def _export_complete(spark, sf):
+    return _money_double(export.csv_roundtrip(donors(spark, sf), shared_dir(spark, "export-complete")))
+
+
+@query("report_lines")
+def _report_lines(spark, sf):
+    lines = export.report_lines(filtered(spark, sf), REPORT_TIME)
+    path = shared_dir(spark, "report")
+    export.write_report(lines, path)
+    return lines
