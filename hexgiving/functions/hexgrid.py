@@ -63,33 +63,44 @@ def _lit(v: float) -> Column:
     return F.lit(float(v))
 
 
+def with_cells(df: DataFrame, grids: dict[str, HexGrid], lat: str = "latitude",
+               lon: str = "longitude") -> DataFrame:
+    """Add the cell id ``hx<res>:<q>:<r>`` of each point, one column per
+    ``{out_name: grid}`` entry.
+
+    Three projections for any number of grids: axial coordinates, then the
+    rounded coordinates with their errors, then the id. Keeping the stages
+    as projected columns means Catalyst keeps one copy of each
+    sub-expression instead of inlining the arithmetic wherever it is used.
+    Null lat or lon gives a null id.
+    """
+    stage1, stage2, stage3, tmp = {}, {}, {}, []
+    for out, grid in grids.items():
+        t = f"_{out}_"
+        xe = F.col(lon) * _lit(grid.kx)
+        ye = F.col(lat) * _lit(grid.ky)
+        q = xe * _lit(C_Q) - ye * _lit(C_THIRD)
+        r = ye * _lit(C_R)
+        stage1.update({t + "q": q, t + "r": r})
+        qc, rc = F.col(t + "q"), F.col(t + "r")
+        sc = -qc - rc
+        rq, rr, rs = F.floor(qc + _lit(0.5)), F.floor(rc + _lit(0.5)), F.floor(sc + _lit(0.5))
+        stage2.update({t + "rq": rq, t + "rr": rr, t + "rs": rs, t + "dq": F.abs(rq - qc),
+                       t + "dr": F.abs(rr - rc), t + "ds": F.abs(rs - sc)})
+        rq, rr, rs = F.col(t + "rq"), F.col(t + "rr"), F.col(t + "rs")
+        dq, dr, ds = F.col(t + "dq"), F.col(t + "dr"), F.col(t + "ds")
+        q_wins = (dq > dr) & (dq > ds)
+        q_out = F.when(q_wins, -rr - rs).otherwise(rq).cast("long")
+        r_out = F.when(q_wins, rr).when(dr > ds, -rq - rs).otherwise(rr).cast("long")
+        stage3[out] = F.concat(F.lit(f"hx{grid.res}:"), q_out.cast("string"), F.lit(":"), r_out.cast("string"))
+        tmp += [t + x for x in ("q", "r", "rq", "rr", "rs", "dq", "dr", "ds")]
+    return df.withColumns(stage1).withColumns(stage2).withColumns(stage3).drop(*tmp)
+
+
 def with_cell(df: DataFrame, grid: HexGrid, out: str, lat: str = "latitude",
               lon: str = "longitude") -> DataFrame:
-    """Add the cell id ``hx<res>:<q>:<r>`` of each point as column ``out``.
-
-    Each intermediate (axial, rounded and error terms) is its own projected
-    column, so Catalyst keeps one copy of every sub-expression instead of
-    inlining the arithmetic wherever it is used. Null lat or lon gives a
-    null id.
-    """
-    t = f"_{out}_"
-    xe = F.col(lon) * _lit(grid.kx)
-    ye = F.col(lat) * _lit(grid.ky)
-    df = df.withColumns({t + "q": xe * _lit(C_Q) - ye * _lit(C_THIRD), t + "r": ye * _lit(C_R)})
-    q, r = F.col(t + "q"), F.col(t + "r")
-    df = df.withColumn(t + "s", -q - r)
-    s = F.col(t + "s")
-    df = df.withColumns({t + "rq": F.floor(q + _lit(0.5)), t + "rr": F.floor(r + _lit(0.5)),
-                         t + "rs": F.floor(s + _lit(0.5))})
-    rq, rr, rs = F.col(t + "rq"), F.col(t + "rr"), F.col(t + "rs")
-    df = df.withColumns({t + "dq": F.abs(rq - q), t + "dr": F.abs(rr - r), t + "ds": F.abs(rs - s)})
-    dq, dr, ds = F.col(t + "dq"), F.col(t + "dr"), F.col(t + "ds")
-    q_wins = (dq > dr) & (dq > ds)
-    q_out = F.when(q_wins, -rr - rs).otherwise(rq).cast("long")
-    r_out = F.when(q_wins, rr).when(dr > ds, -rq - rs).otherwise(rr).cast("long")
-    df = df.withColumn(out, F.concat(F.lit(f"hx{grid.res}:"), q_out.cast("string"), F.lit(":"),
-                                     r_out.cast("string")))
-    return df.drop(*[t + x for x in ("q", "r", "s", "rq", "rr", "rs", "dq", "dr", "ds")])
+    """Add one cell id column (see ``with_cells``)."""
+    return with_cells(df, {out: grid}, lat, lon)
 
 
 def cell_qr(cell: Column) -> tuple[Column, Column]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hexgiving.functions.hexgrid import GRIDS, HexGrid, corner_rows, with_cell
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
 from hexgiving.operators.filters import valid_points
+from hexgiving.session import checkpoint_root
 
 ANNUAL = "annual_donation_amount"
 CUMULATIVE = "cumulative_donation_amount"
@@ -135,19 +136,25 @@ def cell_boundary_stats(rollup: DataFrame, res, digits: int = 6) -> DataFrame:
 def hex_colours(rollup: DataFrame) -> DataFrame:
     """Colour ramp and opacity per cell, scaled by the largest total.
 
-    The maximum is a scalar subquery (one aggregate, computed once and
-    broadcast as a value), not a window over all cells in one partition.
+    The rollup (one row per cell, far smaller than its input) is
+    checkpointed into the shared checkpoint folder first, so the maximum (a
+    scalar subquery, referenced once) and the colours both read it instead
+    of recomputing the aggregation from the source. No window over all cells
+    in one partition is needed.
     """
-    max_total = rollup.select(F.max("total_annual")).scalar()
-    n = F.when(max_total > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("total_annual") / max_total))) \
-         .otherwise(F.lit(0.0))
-    return rollup.select(
+    checkpoint_root(rollup.sparkSession)
+    rollup = rollup.checkpoint(eager=True)
+    with_max = rollup.withColumn("_max", rollup.select(F.max("total_annual")).scalar())
+    mx, total = F.col("_max"), F.col("total_annual")
+    n = F.when(mx > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / mx))).otherwise(F.lit(0.0))
+    staged = with_max.withColumn("_n", n)
+    n = F.col("_n")
+    return staged.select(
         "hex_cell", "total_annual",
         F.floor(F.lit(255.0) * (F.lit(0.8) + F.lit(0.2) * n)).cast("int").alias("red"),
         F.floor(F.lit(255.0) * (F.lit(0.6) * (F.lit(1.0) - n))).cast("int").alias("green"),
         F.floor(F.lit(255.0) * (F.lit(0.2) * (F.lit(1.0) - n))).cast("int").alias("blue"),
-        F.when(max_total > 0, F.least(F.lit(0.8), F.greatest(F.lit(0.3), F.col("total_annual") / max_total)))
-         .otherwise(F.lit(0.3)).alias("opacity"),
+        F.when(mx > 0, F.least(F.lit(0.8), F.greatest(F.lit(0.3), total / mx))).otherwise(F.lit(0.3)).alias("opacity"),
         F.format_number("total_annual", 0).alias("total_annual_formatted"),
         F.format_number("avg_annual", 0).alias("avg_annual_formatted"),
         F.format_number("total_cumulative", 0).alias("total_cumulative_formatted"))

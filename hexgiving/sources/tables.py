@@ -27,7 +27,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.functions.hexgrid import GRIDS, with_cell
+from hexgiving.functions import hexgrid
+from hexgiving.functions.hexgrid import GRIDS
 
 # Fixed values of the adapter (they must be equal on every engine).
 ZIP_BASE = 29600          # zip code = ZIP_BASE + nation key
@@ -48,6 +49,26 @@ VENUE_TYPES = ("Hotel", "Restaurant", "Golf Club", "Museum")
 LAT0, LON0, SPAN = 34.6, -82.6, 0.5
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def memo(fn):
+    """Reuse the adapter's plan object per (session, folder).
+
+    Only the lazy plan is kept (no data is cached), which saves rebuilding
+    the same projections for every query of a session.
+    """
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir)
+        df = _PLANS.get(key)
+        if df is None:
+            df = _PLANS[key] = fn(spark, sf_dir)
+        return df
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; parquet, so projections and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -65,6 +86,7 @@ def segment_of(annual: Column) -> Column:
             .otherwise(F.lit(SEGMENT_ANNUAL)))
 
 
+@memo
 def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor rows: one per order, giving derived from the order total."""
     orders = read_table(spark, sf_dir, "orders").select(
@@ -105,11 +127,10 @@ def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_cells(df: DataFrame, resolutions=(7, 8, 9), lat: str = "latitude",
                lon: str = "longitude", prefix: str = "hex_level_") -> DataFrame:
     """Add the stored cell columns (computed once, read by every hex rollup)."""
-    for r in resolutions:
-        df = with_cell(df, GRIDS[r], f"{prefix}{r}", lat, lon)
-    return df
+    return hexgrid.with_cells(df, {f"{prefix}{r}": GRIDS[r] for r in resolutions}, lat, lon)
 
 
+@memo
 def donors_with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donors plus ``hex_level_7/8/9``: the full donor table of the data model."""
     return with_cells(donors(spark, sf_dir))
@@ -122,6 +143,7 @@ def venue_type_lookup(spark: SparkSession) -> DataFrame:
         "AS t(type_code, venue_type)")
 
 
+@memo
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venue rows: one per supplier.
 
@@ -148,6 +170,7 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address rows: one per customer, city from the nation name."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
