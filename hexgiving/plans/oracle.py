@@ -520,3 +520,4 @@ def _report_sql() -> str:
 
 
 ORACLE["report_lines"] = _report_sql()
+ORACLE["summary_stream"] = ORACLE["donor_summary"]

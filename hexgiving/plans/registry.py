@@ -507,3 +507,20 @@ def _report_lines(spark, sf):
     path = shared_dir(spark, "report")
     export.write_report(lines, path)
     return lines
+
+
+# --- streaming ----------------------------------------------------------------------
+
+@query("summary_stream")
+def _summary_stream(spark, sf):
+    """Donor rows land as files (one per order-key range); the streaming
+    refresh keeps the summary current; the result is the published table."""
+    from hexgiving.streaming.refresh import start_summary_refresh
+    base = shared_dir(spark, "stream")
+    src = f"{base}/donors"
+    d = T.donors(spark, sf)
+    d.repartition(4, "donor_id").write.parquet(src)
+    q = start_summary_refresh(spark, src, d.schema, f"{base}/summary", f"{base}/_checkpoint",
+                              available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/summary")
