@@ -211,9 +211,11 @@ def filter_domains(donors: DataFrame, venues: DataFrame) -> DataFrame:
     aggregate. Long form keeps every domain row-shaped, however many values
     a domain has.
     """
-    def distinct_of(df: DataFrame, col: str, name: str) -> DataFrame:
-        return (df.select(F.lit(name).alias("domain"), F.col(col).cast("string").alias("value"))
-                .where(F.col("value").isNotNull()).distinct())
+    def distinct_of(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+        # one pass over ``df`` for all its list domains
+        pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("domain"), F.col(c).cast("string").alias("value"))
+                                    for name, c in cols.items()])).alias("d")
+        return df.select(pairs).select("d.domain", "d.value").where(F.col("value").isNotNull()).distinct()
 
     bounds = donors.agg(
         F.min("graduation_year").alias("min_year"), F.max("graduation_year").alias("max_year"),
@@ -226,10 +228,8 @@ def filter_domains(donors: DataFrame, venues: DataFrame) -> DataFrame:
     )).alias("d")).select("d.domain", "d.value")
     cap = venues.agg(F.lit("max_capacity").alias("domain"),
                      F.max("capacity").cast("string").alias("value"))
-    return (distinct_of(donors, "zip_code", "zip_code")
-            .unionByName(distinct_of(donors, "donor_segment", "donor_segment"))
-            .unionByName(distinct_of(venues, "venue_type", "venue_type"))
-            .unionByName(distinct_of(venues, "price_range", "price_range"))
+    return (distinct_of(donors, {"zip_code": "zip_code", "donor_segment": "donor_segment"})
+            .unionByName(distinct_of(venues, {"venue_type": "venue_type", "price_range": "price_range"}))
             .unionByName(bound_rows).unionByName(cap))
 
 

@@ -521,3 +521,12 @@ def _report_sql() -> str:
 
 ORACLE["report_lines"] = _report_sql()
 ORACLE["summary_stream"] = ORACLE["donor_summary"]
+ORACLE["inline_values"] = (
+    "SELECT s_suppkey, CAST(s_suppkey % 4 AS INTEGER) AS type_code, t.venue_type FROM supplier "
+    "LEFT JOIN (VALUES (0, 'Hotel'), (1, 'Restaurant'), (2, 'Golf Club'), (3, 'Museum')) AS t(type_code, venue_type) "
+    "ON CAST(s_suppkey % 4 AS INTEGER) = t.type_code")
+ORACLE["sql_zip_view"] = w(
+    f"SELECT zip_code, donor_count, total_annual_donations, major_donors FROM ("
+    f"SELECT zip_code, count(*) AS donor_count, {S.money_sum(A)} AS total_annual_donations, "
+    f"count_if(donor_segment = 'Major Donor') AS major_donors FROM donors GROUP BY zip_code) z "
+    f"WHERE donor_count >= 1 AND zip_code <> '29600'")

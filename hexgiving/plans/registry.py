@@ -524,3 +524,22 @@ def _summary_stream(spark, sf):
                               available_now=True, max_files_per_trigger=1)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/summary")
+
+
+# --- inline values, views and bound SQL ------------------------------------------------
+
+@query("inline_values")
+def _inline_values(spark, sf):
+    """Supplier rows typed through the inline ``VALUES`` lookup."""
+    s = T.read_table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4).cast("int").alias("type_code"))
+    return s.join(F.broadcast(T.venue_type_lookup(spark)), "type_code", "left").select("s_suppkey", "type_code", "venue_type")
+
+
+@query("sql_zip_view")
+def _sql_zip_view(spark, sf):
+    """The zip view through SQL, filtered with bound parameters."""
+    from hexgiving.sources.views import register_views, sql
+    register_views(spark, sf)
+    return sql(spark, "SELECT zip_code, donor_count, total_annual_donations, major_donors FROM donations_by_zip_code "
+                      "WHERE donor_count >= :min_count AND zip_code <> :skip",
+               {"min_count": 1, "skip": "29600"})

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
 from hexgiving.operators import hexmap, rollups
+from hexgiving.session import checkpoint_root
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -83,6 +84,10 @@ def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level
     projection of the filtered rows, so it scales with them.
     """
     A, C = "annual_donation_amount", "cumulative_donation_amount"
+    # Six sections read the filtered rows: pin them once in the shared
+    # checkpoint folder instead of recomputing scan, join and filter six times.
+    checkpoint_root(filtered.sparkSession)
+    filtered = filtered.checkpoint(eager=True)
     lat, lon = F.col("latitude"), F.col("longitude")
     head = filtered.agg(
         F.count(F.lit(1)).alias("n"), money_sum(F.col(A)).alias("ta"), mean_half_up(F.col(A), 2).alias("ma"),
