@@ -35,7 +35,9 @@ def hex_rollup(df: DataFrame, res) -> DataFrame:
     """Rollup with the cell computed from the points.
 
     Rows with a null coordinate or amount are dropped first, so the count is
-    of complete rows. Centres are unrounded means.
+    of complete rows. Centres are unrounded means. Unsorted (the result
+    stays hash-partitioned by cell for boundary and colour steps); sort at
+    the reader with ``rollups.by_total``.
     """
     cells = assign_cells(valid_points(df, POINT_COLUMNS), res)
     return (cells.groupBy("hex_cell")
@@ -44,8 +46,7 @@ def hex_rollup(df: DataFrame, res) -> DataFrame:
                  mean_half_up(F.col(ANNUAL), 2).alias("avg_annual"),
                  money_sum(F.col(CUMULATIVE)).alias("total_cumulative"),
                  coord_mean(F.col("latitude")).alias("center_lat"),
-                 coord_mean(F.col("longitude")).alias("center_lon"))
-            .orderBy(F.col("total_annual").desc(), "hex_cell"))
+                 coord_mean(F.col("longitude")).alias("center_lon")))
 
 
 def hex_rollup_stored(df: DataFrame, cell_col: str = "hex_level_8") -> DataFrame:
@@ -105,9 +106,10 @@ def cell_boundaries(cells: DataFrame, res, cell_col: str = "hex_cell", digits: i
     fmt = f"%.{digits}f %.{digits}f"
     per_cell = Window.partitionBy("hex_cell").orderBy("corner").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    text = F.collect_list(F.format_string(fmt, F.col("lon"), F.col("lat"))).over(per_cell)
+    ring = rows.withColumn("_pts", F.collect_list(F.format_string(fmt, F.col("lon"), F.col("lat"))).over(per_cell))
+    text = F.col("_pts")
     wkt = F.concat(F.lit("POLYGON(("), F.array_join(text, ", "), F.lit(", "), F.get(text, 0), F.lit("))"))
-    return rows.select("hex_cell", "corner", "lat", "lon", wkt.alias("wkt"))
+    return ring.select("hex_cell", "corner", "lat", "lon", wkt.alias("wkt"))
 
 
 def parse_polygon(df: DataFrame, wkt_col: str = "wkt") -> DataFrame:

@@ -6,6 +6,11 @@ shuffle, final after), and every ranked output is ``orderBy().limit(k)``
 (``TakeOrderedAndProject``: each task keeps k rows). Ties are broken on the
 group key so top-k results are deterministic.
 
+Grouped results are returned unsorted: an ``ORDER BY`` inside a view
+guarantees nothing to the query that reads it, and a global sort is a
+range-partitioning shuffle. Readers sort with ``by_total`` (or any order)
+where order is the feature; top-k results keep ``orderBy().limit()``.
+
 Null groups follow their source: the SQL views keep a null key as a group
 (``GROUP BY`` semantics) while the dashboard tables drop it (``groupby``).
 """
@@ -29,6 +34,11 @@ def _drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
+def by_total(df: DataFrame, total: str, key: str) -> DataFrame:
+    """Reader-side presentation order: total descending, key ascending."""
+    return df.orderBy(F.col(total).desc(), F.col(key).asc())
+
+
 def top_k(df: DataFrame, k: int, by: str, key: str | Sequence[str], ascending: bool = False) -> DataFrame:
     """Top k rows by ``by`` (descending by default), ties broken on ``key`` ascending."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -72,8 +82,7 @@ def _view_measures() -> list[Column]:
 
 def by_grad_year(donors: DataFrame) -> DataFrame:
     return (donors.groupBy("graduation_year")
-            .agg(*_view_measures(), mean_half_up(F.col("age"), 1, 0).alias("avg_age"))
-            .orderBy("graduation_year"))
+            .agg(*_view_measures(), mean_half_up(F.col("age"), 1, 0).alias("avg_age")))
 
 
 def by_zip(donors: DataFrame) -> DataFrame:
@@ -81,14 +90,12 @@ def by_zip(donors: DataFrame) -> DataFrame:
             .agg(*_view_measures(),
                  F.count_if(F.col("donor_segment") == SEGMENT_MAJOR).alias("major_donors"),
                  rounded(coord_mean(F.col("latitude")), 6).alias("center_latitude"),
-                 rounded(coord_mean(F.col("longitude")), 6).alias("center_longitude"))
-            .orderBy(F.col("total_annual_donations").desc(), "zip_code"))
+                 rounded(coord_mean(F.col("longitude")), 6).alias("center_longitude")))
 
 
 def by_major(donors: DataFrame) -> DataFrame:
     return (donors.groupBy("major")
-            .agg(*_view_measures(), mean_half_up(F.col("age"), 1, 0).alias("avg_age"))
-            .orderBy(F.col("total_annual_donations").desc(), "major"))
+            .agg(*_view_measures(), mean_half_up(F.col("age"), 1, 0).alias("avg_age")))
 
 
 # --- dashboard charts, report and detail tables (null keys dropped) -------
@@ -97,8 +104,7 @@ def chart_grad_year(donors: DataFrame) -> DataFrame:
     return (_drop_null_keys(donors, ["graduation_year"]).groupBy("graduation_year")
             .agg(money_sum(F.col(ANNUAL)).alias("total_annual"),
                  mean_half_up(F.col(ANNUAL), 2).alias("avg_annual"),
-                 F.count(ANNUAL).alias("donor_count"))
-            .orderBy("graduation_year"))
+                 F.count(ANNUAL).alias("donor_count")))
 
 
 def zip_totals(donors: DataFrame) -> DataFrame:
@@ -112,9 +118,8 @@ def chart_top_zips(donors: DataFrame, k: int = 10) -> DataFrame:
 
 
 def segment_counts(donors: DataFrame) -> DataFrame:
-    counts = (_drop_null_keys(donors, ["donor_segment"]).groupBy("donor_segment")
-              .agg(F.count(F.lit(1)).alias("donor_count")))
-    return counts.orderBy(F.col("donor_count").desc(), "donor_segment")
+    return (_drop_null_keys(donors, ["donor_segment"]).groupBy("donor_segment")
+            .agg(F.count(F.lit(1)).alias("donor_count")))
 
 
 def chart_top_majors(donors: DataFrame, k: int = 10) -> DataFrame:
@@ -131,11 +136,11 @@ def _count_sum_mean(key: str, df: DataFrame) -> DataFrame:
 
 
 def report_zip(donors: DataFrame) -> DataFrame:
-    return _count_sum_mean("zip_code", donors).orderBy(F.col("total_annual").desc(), "zip_code")
+    return _count_sum_mean("zip_code", donors)
 
 
 def report_segment(donors: DataFrame) -> DataFrame:
-    return _count_sum_mean("donor_segment", donors).orderBy("donor_segment")
+    return _count_sum_mean("donor_segment", donors)
 
 
 def details_top_zips(donors: DataFrame, k: int = 5) -> DataFrame:
