@@ -49,48 +49,62 @@ def hex_rollup(df: DataFrame, res) -> DataFrame:
                  coord_mean(F.col("longitude")).alias("center_lon")))
 
 
+def group_cells(df: DataFrame, cell_col: str, *aggs) -> DataFrame:
+    """Group by a cell column, null cell dropped, as ``hex_cell``.
+
+    The null group is removed after aggregation with a HAVING-style test on
+    an aggregate (``count(cell) > 0``). A plain ``where(cell IS NOT NULL)``
+    before the grouping would be pushed by Catalyst through every projection
+    that computes the cell and evaluated as one large inlined predicate per
+    input row; the HAVING test cannot be pushed below the aggregation.
+    """
+    return (df.groupBy(F.col(cell_col).alias("hex_cell"))
+            .agg(*aggs, F.count(cell_col).alias("_cells"))
+            .where(F.col("_cells") > 0).drop("_cells"))
+
+
 def hex_rollup_stored(df: DataFrame, cell_col: str = "hex_level_8") -> DataFrame:
     """Rollup from a stored cell column (any id scheme, H3 included).
 
     Null cells drop out; the count is of non-null amounts; every measure,
     the centre included, is rounded to 2 places.
     """
-    return (df.where(F.col(cell_col).isNotNull()).groupBy(F.col(cell_col).alias("hex_cell"))
-            .agg(money_sum(F.col(ANNUAL)).alias("total_annual"),
-                 mean_half_up(F.col(ANNUAL), 2).alias("avg_annual"),
-                 F.count(ANNUAL).alias("donor_count"),
-                 money_sum(F.col(CUMULATIVE)).alias("total_cumulative"),
-                 rounded(coord_mean(F.col("latitude")), 2).alias("center_lat"),
-                 rounded(coord_mean(F.col("longitude")), 2).alias("center_lon")))
+    return group_cells(df, cell_col,
+                       money_sum(F.col(ANNUAL)).alias("total_annual"),
+                       mean_half_up(F.col(ANNUAL), 2).alias("avg_annual"),
+                       F.count(ANNUAL).alias("donor_count"),
+                       money_sum(F.col(CUMULATIVE)).alias("total_cumulative"),
+                       rounded(coord_mean(F.col("latitude")), 2).alias("center_lat"),
+                       rounded(coord_mean(F.col("longitude")), 2).alias("center_lon"))
 
 
 def hex_rollup_static(df: DataFrame, cell_col: str = "hex_level_8") -> DataFrame:
     """Rollup for the static map image: unrounded centre, sum, id count."""
-    return (df.where(F.col(cell_col).isNotNull()).groupBy(F.col(cell_col).alias("hex_cell"))
-            .agg(coord_mean(F.col("latitude")).alias("latitude"),
-                 coord_mean(F.col("longitude")).alias("longitude"),
-                 money_sum(F.col(ANNUAL)).alias("total_annual"),
-                 F.count("donor_id").alias("donor_count")))
+    return group_cells(df, cell_col,
+                       coord_mean(F.col("latitude")).alias("latitude"),
+                       coord_mean(F.col("longitude")).alias("longitude"),
+                       money_sum(F.col(ANNUAL)).alias("total_annual"),
+                       F.count("donor_id").alias("donor_count"))
 
 
 def report_top_hex(df: DataFrame, cell_col: str = "hex_level_8", k: int = 10) -> DataFrame:
     """Top k cells by total, every measure rounded to 4 places."""
-    agg = (df.where(F.col(cell_col).isNotNull()).groupBy(F.col(cell_col).alias("hex_cell"))
-           .agg(F.count(ANNUAL).alias("donor_count"),
-                money_sum(F.col(ANNUAL)).alias("total_annual"),
-                mean_half_up(F.col(ANNUAL), 4).alias("avg_annual"),
-                rounded(coord_mean(F.col("latitude")), 4).alias("center_lat"),
-                rounded(coord_mean(F.col("longitude")), 4).alias("center_lon")))
+    agg = group_cells(df, cell_col,
+                      F.count(ANNUAL).alias("donor_count"),
+                      money_sum(F.col(ANNUAL)).alias("total_annual"),
+                      mean_half_up(F.col(ANNUAL), 4).alias("avg_annual"),
+                      rounded(coord_mean(F.col("latitude")), 4).alias("center_lat"),
+                      rounded(coord_mean(F.col("longitude")), 4).alias("center_lon"))
     return agg.orderBy(F.col("total_annual").desc(), "hex_cell").limit(k)
 
 
 def hex_top(df: DataFrame, cell_col: str = "hex_level_8", k: int = 5) -> DataFrame:
     """Ad-hoc top k cells by donor count (ties: lowest cell id)."""
-    agg = (df.where(F.col(cell_col).isNotNull()).groupBy(F.col(cell_col).alias("hex_cell"))
-           .agg(F.count(F.lit(1)).alias("donor_count"),
-                money_sum(F.col(ANNUAL)).alias("total_annual"),
-                coord_mean(F.col("latitude")).alias("center_lat"),
-                coord_mean(F.col("longitude")).alias("center_lon")))
+    agg = group_cells(df, cell_col,
+                      F.count(F.lit(1)).alias("donor_count"),
+                      money_sum(F.col(ANNUAL)).alias("total_annual"),
+                      coord_mean(F.col("latitude")).alias("center_lat"),
+                      coord_mean(F.col("longitude")).alias("center_lon"))
     return agg.orderBy(F.col("donor_count").desc(), "hex_cell").limit(k)
 
 
@@ -129,8 +143,8 @@ def parse_polygon(df: DataFrame, wkt_col: str = "wkt") -> DataFrame:
 
 def cell_boundary_stats(rollup: DataFrame, res, digits: int = 6) -> DataFrame:
     """Polygon corners with the statistics of their cell (inner: every
-    rollup row has a cell, so none is lost)."""
-    rows = corner_rows(rollup.where(F.col("hex_cell").isNotNull()), "hex_cell", grid_of(res), digits)
+    rollup row has a cell, so none is lost; a null cell has no corners)."""
+    rows = corner_rows(rollup, "hex_cell", grid_of(res), digits)
     return rows.select("hex_cell", "corner", "lat", "lon",
                        "donor_count", "total_annual", "avg_annual", "total_cumulative")
 

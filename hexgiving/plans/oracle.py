@@ -494,7 +494,7 @@ def _report_sql() -> str:
     def table(section, title, key, grouped, digits=2):
         rows = [f"SELECT {section}, '0', {S.q(title)}", f"SELECT {section}, '1', {S.q('-' * len(title))}",
                 f"SELECT {section}, '2', {S.q(key + ',donor_count,total_annual,avg_annual')}",
-                (f"SELECT {section}, '3:' || printf('%06d', row_number() OVER (ORDER BY total_annual DESC, {key})), "
+                (f"SELECT {section}, '3:' || printf('%016d', 1000000000000000 - CAST(floor(total_annual * 100e0 + 0.5e0) AS BIGINT)) || ':' || {key}, "
                  f"{key} || ',' || CAST(donor_count AS VARCHAR) || ',' || printf('%.2f', total_annual) || ',' || "
                  f"printf('%.{digits}f', avg_annual) FROM ({grouped}) g")]
         return rows
@@ -530,3 +530,5 @@ ORACLE["sql_zip_view"] = w(
     f"SELECT zip_code, count(*) AS donor_count, {S.money_sum(A)} AS total_annual_donations, "
     f"count_if(donor_segment = 'Major Donor') AS major_donors FROM donors GROUP BY zip_code) z "
     f"WHERE donor_count >= 1 AND zip_code <> '29600'")
+ORACLE["partitioned_filter_zip"] = w(
+    f"SELECT donor_id, zip_code, donor_segment, CAST({A} AS DOUBLE) AS {A} FROM donors WHERE {pred(zip_codes=R.ZIPS)}")

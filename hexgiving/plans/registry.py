@@ -543,3 +543,13 @@ def _sql_zip_view(spark, sf):
     return sql(spark, "SELECT zip_code, donor_count, total_annual_donations, major_donors FROM donations_by_zip_code "
                       "WHERE donor_count >= :min_count AND zip_code <> :skip",
                {"min_count": 1, "skip": "29600"})
+
+
+@query("partitioned_filter_zip")
+def _partitioned_filter_zip(spark, sf):
+    """Donor table written once partitioned by zip, read back with a zip
+    filter: only the matching partitions are scanned."""
+    table = export.write_donor_table(T.donors(spark, sf), shared_dir(spark, "donor-table"), files_per_key=4)
+    return (filters.apply_filters(table, zip_codes=ZIPS)
+            .select("donor_id", "zip_code", "donor_segment",
+                    F.col("annual_donation_amount").cast("double").alias("annual_donation_amount")))

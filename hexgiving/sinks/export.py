@@ -66,6 +66,9 @@ def csv_roundtrip(df: DataFrame, path: str) -> DataFrame:
 
 # --- text report -----------------------------------------------------------------
 
+INVERT_CENTS = 10 ** 15
+
+
 def _line(section: int, key: str, text) -> F.Column:
     return F.struct(F.lit(section).alias("section"), F.lit(key).alias("line_key"), text.alias("text"))
 
@@ -118,21 +121,20 @@ def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level
             _line(section, "1", F.lit("-" * len(title))),
             _line(section, "2", F.lit(f"{key},donor_count,total_annual,avg_annual")),
         )).alias("l")).select("l.*")
-        body = df.select(F.lit(section).alias("section"),
-                         F.concat(F.lit("3:"), F.format_string("%06d", F.col("_rank"))).alias("line_key"),
+        # Sort key: inverted cents (fixed width) then the group key, so text
+        # order is total descending, key ascending, with no global window.
+        cents = F.floor(F.col("total_annual") * F.lit(100.0) + F.lit(0.5)).cast("long")
+        order_key = F.concat(F.lit("3:"), F.format_string("%016d", F.lit(INVERT_CENTS) - cents),
+                             F.lit(":"), F.col(key))
+        body = df.select(F.lit(section).alias("section"), order_key.alias("line_key"),
                          F.concat_ws(",", F.col(key), F.col("donor_count").cast("string"),
                                      F.format_string("%.2f", F.col("total_annual")),
                                      F.format_string(f"%.{digits}f", F.col("avg_annual"))).alias("text"))
         return title_rows.unionByName(body)
 
-    def ranked(df: DataFrame, key: str) -> DataFrame:
-        # small grouped results (one row per zip / segment / cell): rank them
-        w = F.row_number().over(_rank_window(key))
-        return df.withColumn("_rank", w)
-
-    zips = ranked(rollups.report_zip(filtered), "zip_code")
-    segs = ranked(rollups.report_segment(filtered), "donor_segment")
-    cells = ranked(hexmap.report_top_hex(filtered, cell_col), "hex_cell")
+    zips = rollups.report_zip(filtered)
+    segs = rollups.report_segment(filtered)
+    cells = hexmap.report_top_hex(filtered, cell_col)
     cols = list(record_columns or filtered.columns)
     rec_title = filtered.sparkSession.range(1).select(F.explode(F.array(
         _line(5, "0", F.lit("INDIVIDUAL DONOR RECORDS")),
@@ -148,12 +150,6 @@ def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level
             .unionByName(rec_title).unionByName(rec_body))
 
 
-def _rank_window(key: str):
-    from pyspark.sql import Window
-    # ranks over a grouped result of bounded size (zips, segments, top 10)
-    return Window.orderBy(F.col("total_annual").desc(), F.col(key).asc())
-
-
 def _csv_cell(df: DataFrame, c: str) -> F.Column:
     """Text of one CSV field: doubles with 6 decimals, null as empty."""
     dtype = dict(df.dtypes)[c]
@@ -169,3 +165,21 @@ def write_report(lines: DataFrame, path: str) -> None:
     """Write the report text in reading order as a multi-part text dataset."""
     (lines.repartitionByRange("section", "line_key").sortWithinPartitions("section", "line_key")
      .select("text").write.mode("overwrite").text(path))
+
+
+def write_donor_table(donors: DataFrame, path: str, partition_by: str = "zip_code",
+                      files_per_key: int = 16, max_records_per_file: int = 5_000_000) -> DataFrame:
+    """Materialise the donor table once, partitioned by ``partition_by``.
+
+    Readers filtering on that column then skip other partitions entirely
+    (``PartitionFilters`` in the plan). Rows are spread over
+    ``files_per_key`` writer tasks per key by a hash salt, so a zip holding a
+    third of all donors is written by many tasks, not one; files are capped
+    at ``max_records_per_file`` rows.
+    """
+    salt = F.pmod(F.xxhash64("donor_id"), F.lit(files_per_key))
+    (donors.repartition(F.col(partition_by), salt)
+     .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy(partition_by).parquet(path))
+    # read back with the declared schema: partition values stay strings
+    return donors.sparkSession.read.schema(donors.schema).parquet(path)
