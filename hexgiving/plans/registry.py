@@ -45,7 +45,8 @@ def query(name: str):
 
 
 def donors(spark, sf):
-    return T.donors_with_cells(spark, sf)
+    """The donor table (materialised once per session, see ``T.donor_table``)."""
+    return T.donor_table(spark, sf)
 
 
 def filtered(spark, sf):
@@ -56,22 +57,22 @@ def filtered(spark, sf):
 
 @query("filter_zip")
 def _filter_zip(spark, sf):
-    return filters.apply_filters(T.donors(spark, sf), zip_codes=ZIPS).select("donor_id", "zip_code")
+    return filters.apply_filters(donors(spark, sf), zip_codes=ZIPS).select("donor_id", "zip_code")
 
 
 @query("filter_segment")
 def _filter_segment(spark, sf):
-    return filters.apply_filters(T.donors(spark, sf), donor_segments=[T.SEGMENT_MAJOR]).select("donor_id", "donor_segment")
+    return filters.apply_filters(donors(spark, sf), donor_segments=[T.SEGMENT_MAJOR]).select("donor_id", "donor_segment")
 
 
 @query("filter_year_range")
 def _filter_year_range(spark, sf):
-    return filters.apply_filters(T.donors(spark, sf), grad_years=YEARS).select("donor_id", "graduation_year")
+    return filters.apply_filters(donors(spark, sf), grad_years=YEARS).select("donor_id", "graduation_year")
 
 
 @query("filter_amount_range")
 def _filter_amount_range(spark, sf):
-    return (filters.apply_filters(T.donors(spark, sf), donation_range=AMOUNTS)
+    return (filters.apply_filters(donors(spark, sf), donation_range=AMOUNTS)
             .select("donor_id", F.col("annual_donation_amount").cast("double").alias("annual_donation_amount")))
 
 
@@ -83,12 +84,12 @@ def _apply_filters(spark, sf):
 
 @query("apply_filters_empty")
 def _apply_filters_empty(spark, sf):
-    return filters.apply_filters(T.donors(spark, sf), **EMPTY_FILTERS).select("donor_id", "zip_code")
+    return filters.apply_filters(donors(spark, sf), **EMPTY_FILTERS).select("donor_id", "zip_code")
 
 
 @query("valid_points")
 def _valid_points(spark, sf):
-    return hexmap.valid_points(T.donors(spark, sf), hexmap.POINT_COLUMNS).select("donor_id", "latitude", "longitude")
+    return hexmap.valid_points(donors(spark, sf), hexmap.POINT_COLUMNS).select("donor_id", "latitude", "longitude")
 
 
 @query("venue_filter")
@@ -111,22 +112,22 @@ def _donor_summary(spark, sf):
 
 @query("donor_overview")
 def _donor_overview(spark, sf):
-    return rollups.donor_overview(T.donors(spark, sf))
+    return rollups.donor_overview(donors(spark, sf))
 
 
 @query("by_grad_year")
 def _by_grad_year(spark, sf):
-    return rollups.by_grad_year(T.donors(spark, sf))
+    return rollups.by_grad_year(donors(spark, sf))
 
 
 @query("by_zip")
 def _by_zip(spark, sf):
-    return rollups.by_zip(T.donors(spark, sf))
+    return rollups.by_zip(donors(spark, sf))
 
 
 @query("by_major")
 def _by_major(spark, sf):
-    return rollups.by_major(T.donors(spark, sf))
+    return rollups.by_major(donors(spark, sf))
 
 
 # --- dashboard tables on the filtered set ------------------------------------
@@ -138,17 +139,17 @@ def _chart_grad_year(spark, sf):
 
 @query("chart_top_zips")
 def _chart_top_zips(spark, sf):
-    return rollups.chart_top_zips(T.donors(spark, sf))
+    return rollups.chart_top_zips(donors(spark, sf))
 
 
 @query("segment_counts")
 def _segment_counts(spark, sf):
-    return rollups.segment_counts(T.donors(spark, sf))
+    return rollups.segment_counts(donors(spark, sf))
 
 
 @query("chart_top_majors")
 def _chart_top_majors(spark, sf):
-    return rollups.chart_top_majors(T.donors(spark, sf))
+    return rollups.chart_top_majors(donors(spark, sf))
 
 
 @query("report_zip")
@@ -168,12 +169,12 @@ def _details_top_zips(spark, sf):
 
 @query("kpi_row")
 def _kpi_row(spark, sf):
-    return rollups.kpi_row(T.donors(spark, sf), filters.donor_predicate(**FILTERS))
+    return rollups.kpi_row(donors(spark, sf), filters.donor_predicate(**FILTERS))
 
 
 @query("kpi_row_empty")
 def _kpi_row_empty(spark, sf):
-    return rollups.kpi_row(T.donors(spark, sf), filters.donor_predicate(**NO_MATCH_FILTERS))
+    return rollups.kpi_row(donors(spark, sf), filters.donor_predicate(**NO_MATCH_FILTERS))
 
 
 @query("top_zip")
@@ -183,7 +184,7 @@ def _top_zip(spark, sf):
 
 @query("top_zip_empty")
 def _top_zip_empty(spark, sf):
-    return rollups.top_zip(filters.apply_filters(T.donors(spark, sf), **NO_MATCH_FILTERS))
+    return rollups.top_zip(filters.apply_filters(donors(spark, sf), **NO_MATCH_FILTERS))
 
 
 @query("top_zip_rows")
@@ -198,7 +199,7 @@ def _geo_extent(spark, sf):
 
 @query("filter_domains")
 def _filter_domains(spark, sf):
-    return rollups.filter_domains(T.donors(spark, sf), T.venues(spark, sf))
+    return rollups.filter_domains(donors(spark, sf), T.venues(spark, sf))
 
 
 @query("distinct_cells")
@@ -215,13 +216,13 @@ def _report_scalars(spark, sf):
 
 def _hex_assign(res):
     def run(spark, sf):
-        return hexmap.assign_cells(T.donors(spark, sf), res).select("donor_id", "hex_cell")
+        return hexmap.assign_cells(donors(spark, sf), res).select("donor_id", "hex_cell")
     return run
 
 
 def _hex_rollup(res):
     def run(spark, sf):
-        return hexmap.hex_rollup(T.donors(spark, sf), res)
+        return hexmap.hex_rollup(donors(spark, sf), res)
     return run
 
 
@@ -252,13 +253,13 @@ def _hex_top5(spark, sf):
 
 @query("cell_boundaries")
 def _cell_boundaries(spark, sf):
-    cells = hexmap.hex_rollup(T.donors(spark, sf), 8).select("hex_cell")
+    cells = hexmap.hex_rollup(donors(spark, sf), 8).select("hex_cell")
     return hexmap.cell_boundaries(cells, 8)
 
 
 @query("cell_polygons")
 def _cell_polygons(spark, sf):
-    cells = hexmap.hex_rollup(T.donors(spark, sf), 8).select("hex_cell")
+    cells = hexmap.hex_rollup(donors(spark, sf), 8).select("hex_cell")
     wkt = hexmap.cell_boundaries(cells, 8).where(F.col("corner") == 0).select("hex_cell", "wkt")
     parsed = hexmap.parse_polygon(wkt)
     return parsed.select("hex_cell", F.posexplode("ring").alias("point", "pt")).select(
@@ -267,7 +268,7 @@ def _cell_polygons(spark, sf):
 
 @query("cell_boundary_stats")
 def _cell_boundary_stats(spark, sf):
-    return hexmap.cell_boundary_stats(hexmap.hex_rollup(T.donors(spark, sf), 8), 8)
+    return hexmap.cell_boundary_stats(hexmap.hex_rollup(donors(spark, sf), 8), 8)
 
 
 @query("hex_colours")
@@ -290,7 +291,7 @@ def _money_double(df: DataFrame) -> DataFrame:
 
 @query("donor_features")
 def _donor_features(spark, sf):
-    return features.donor_features(T.donors(spark, sf))
+    return features.donor_features(donors(spark, sf))
 
 
 @query("venue_features")
@@ -300,7 +301,7 @@ def _venue_features(spark, sf):
 
 @query("map_layers")
 def _map_layers(spark, sf):
-    return features.map_layers(filters.apply_filters(T.donors(spark, sf), **FILTERS), T.venues(spark, sf))
+    return features.map_layers(filters.apply_filters(donors(spark, sf), **FILTERS), T.venues(spark, sf))
 
 
 @query("venue_cards")
@@ -310,22 +311,22 @@ def _venue_cards(spark, sf):
 
 @query("donor_table")
 def _donor_table(spark, sf):
-    return features.donor_table(filters.apply_filters(T.donors(spark, sf), **FILTERS), 50)
+    return features.donor_table(filters.apply_filters(donors(spark, sf), **FILTERS), 50)
 
 
 @query("donor_table_all")
 def _donor_table_all(spark, sf):
-    return features.donor_table(filters.apply_filters(T.donors(spark, sf), **FILTERS), None)
+    return features.donor_table(filters.apply_filters(donors(spark, sf), **FILTERS), None)
 
 
 @query("donor_details")
 def _donor_details(spark, sf):
-    return features.donor_details(filters.apply_filters(T.donors(spark, sf), **FILTERS))
+    return features.donor_details(filters.apply_filters(donors(spark, sf), **FILTERS))
 
 
 @query("point_sizes")
 def _point_sizes(spark, sf):
-    return features.point_sizes(T.donors(spark, sf))
+    return features.point_sizes(donors(spark, sf))
 
 
 # --- governance -----------------------------------------------------------------
@@ -336,18 +337,18 @@ OTHER_ROLE = "PUBLIC"
 
 @query("mask_string")
 def _mask_string(spark, sf):
-    return T.donors(spark, sf).select("donor_id", governance.mask_string(F.col("full_name"), INTERN).alias("full_name"))
+    return donors(spark, sf).select("donor_id", governance.mask_string(F.col("full_name"), INTERN).alias("full_name"))
 
 
 @query("mask_date")
 def _mask_date(spark, sf):
-    return T.donors(spark, sf).select(
+    return donors(spark, sf).select(
         "donor_id", governance.mask_date(F.col("last_donation_date"), "DATASCI").cast("string").alias("last_donation_date"))
 
 
 @query("mask_number")
 def _mask_number(spark, sf):
-    d = T.donors(spark, sf)
+    d = donors(spark, sf)
     return d.select("donor_id",
                     governance.mask_number(F.col("annual_donation_amount"), INTERN, dtype="decimal(10,2)")
                     .cast("double").alias("annual_donation_amount"),
@@ -356,7 +357,7 @@ def _mask_number(spark, sf):
 
 def _masked(role):
     def run(spark, sf):
-        g = governance.governed(T.donors(spark, sf), role)
+        g = governance.governed(donors(spark, sf), role)
         return _money_double(g.select("donor_id", "full_name", "age", "annual_donation_amount",
                                       "cumulative_donation_amount", "donor_segment", "major"))
     return run
@@ -364,7 +365,7 @@ def _masked(role):
 
 def _row_access(role):
     def run(spark, sf):
-        return governance.governed(T.donors(spark, sf), role).select("donor_id", "donor_segment")
+        return governance.governed(donors(spark, sf), role).select("donor_id", "donor_segment")
     return run
 
 
@@ -377,10 +378,12 @@ QUERIES["row_access_other"] = _row_access(OTHER_ROLE)
 
 # --- enrichment -----------------------------------------------------------------
 
+@T.memo
 def pool(spark, sf):
     return enr.address_pool(T.addresses(spark, sf), TARGET_ZIPS, OTHER_ZIPS, 7000, 3000)
 
 
+@T.memo
 def enriched(spark, sf):
     return enr.donor_enrich(pool(spark, sf), 10000, SEED)
 
@@ -465,7 +468,7 @@ def _status_line(spark, sf):
 
 @query("key_uniqueness")
 def _key_uniqueness(spark, sf):
-    return quality.key_uniqueness(T.donors(spark, sf), "donor_id")
+    return quality.key_uniqueness(donors(spark, sf), "donor_id")
 
 
 @query("venue_key_uniqueness")
@@ -521,7 +524,7 @@ def _summary_stream(spark, sf):
     d = T.donors(spark, sf)
     d.repartition(4, "donor_id").write.parquet(src)
     q = start_summary_refresh(spark, src, d.schema, f"{base}/summary", f"{base}/_checkpoint",
-                              available_now=True, max_files_per_trigger=1)
+                              available_now=True, max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/summary")
 

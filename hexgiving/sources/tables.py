@@ -136,6 +136,31 @@ def donors_with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cells(donors(spark, sf_dir))
 
 
+MATERIALIZE_SETTING = "hexgiving.materialize_donors"
+
+
+@memo
+def donor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The donor table with its cell columns, written once per session.
+
+    Like the stored donor table of the data model: the join, derivations
+    and cells are computed once into the shared checkpoint folder, hash-
+    partitioned by (zip, donor id) so a hot zip spans every file, each file
+    sorted by zip; every query reads that table in parallel: column pruning
+    reads only what a query uses and filters are pushed into the parquet
+    scan, skipping row groups by their statistics.
+    ``sinks.export.write_donor_table`` writes the zip-partitioned variant for
+    long-lived deployments. Set
+    ``hexgiving.materialize_donors=false`` to plan every query from the
+    source tables instead.
+    """
+    if spark.conf.get(MATERIALIZE_SETTING, "true").lower() != "true":
+        return donors_with_cells(spark, sf_dir)
+    from hexgiving.session import shared_dir
+    from hexgiving.sinks.export import write_clustered
+    return write_clustered(donors_with_cells(spark, sf_dir), shared_dir(spark, "donor-table"), "zip_code")
+
+
 def venue_type_lookup(spark: SparkSession) -> DataFrame:
     """Inline constant table (SQL ``VALUES`` with column aliases)."""
     return spark.sql(

@@ -64,3 +64,12 @@ def test_enrichment_ranges(spark):
         c = float(r.cumulative_donation_amount)
         assert 0.8 * a * max(1, yo) - 0.01 <= c <= 1.5 * a * max(1, yo) + 0.01
         assert r.hex_level_8.startswith("hx8:")
+
+
+def test_sample_n_large_quota_path_matches_top_k(spark, monkeypatch):
+    from hexgiving.operators import numbering
+    df = spark.range(0, 3000).select(F.col("id").cast("string").alias("key"))
+    small = {r.key for r in sample_n(df, 700, "key", "q").collect()}
+    monkeypatch.setattr(numbering, "TOP_K_MAX", 10)
+    large = {r.key for r in numbering.sample_n(df, 700, "key", "q").collect()}
+    assert len(large) == 700 and large == small
