@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple(str(x) for x in t))
 
 
 def test_partitioned_table_prunes_partitions(spark, tmp_path):
