@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexgiving.functions.draws import order_key
-from hexgiving.session import checkpoint_root
+from hexgiving.session import checkpoint_root, partitions_for
 
 # Above this many rows a sample is taken by numbering, not by a top-k sort
 # (a top-k keeps up to n rows per task in memory).
@@ -34,7 +34,7 @@ def number_rows(df: DataFrame, key: str, seed: str | int = 0, out: str = "rn",
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = num_partitions or partitions_for(df)
     hk = "_hk"
     ordered = (df.withColumn(hk, order_key(F.col(key), seed))
                .repartitionByRange(n_parts, F.col(hk), F.col(key))

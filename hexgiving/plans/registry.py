@@ -477,7 +477,7 @@ def _venue_key_uniqueness(spark, sf):
 
 
 # --- sinks ------------------------------------------------------------------------
-from hexgiving.session import shared_dir  # noqa: E402
+from hexgiving.session import partitions_for, shared_dir  # noqa: E402
 from hexgiving.sinks import export  # noqa: E402
 
 REPORT_TIME = "2024-12-31 00:00:00"
@@ -524,7 +524,8 @@ def _summary_stream(spark, sf):
     d = T.donors(spark, sf)
     d.repartition(4, "donor_id").write.parquet(src)
     q = start_summary_refresh(spark, src, d.schema, f"{base}/summary", f"{base}/_checkpoint",
-                              available_now=True, max_files_per_trigger=2)
+                              available_now=True, max_files_per_trigger=2,
+                              state_partitions=partitions_for(d))
     q.awaitTermination()
     return spark.read.parquet(f"{base}/summary")
 

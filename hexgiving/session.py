@@ -75,3 +75,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/hexgiving/{name}-{uuid.uuid4().hex[:12]}"
+
+
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def input_bytes(df) -> int | None:
+    """Bytes the plan scans: the sum of its leaf relations' sizes (file
+    sizes for parquet). ``None`` when a leaf has no known size. The root
+    estimate is not used: without cost-based statistics Catalyst bounds a
+    join by the product of its inputs."""
+    try:    # no public Python API for plan statistics
+        unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        total = 0
+        while leaves.hasNext():
+            size = int(str(leaves.next().stats().sizeInBytes()))
+            if size >= unknown:
+                return None
+            total += size
+        return total
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition (or file) count for ``df``: about ``target_bytes`` of
+    scanned input each, at least one per core, at most
+    ``spark.sql.shuffle.partitions`` (the cluster's sizing)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    cap = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    est = input_bytes(df)
+    if est is None:
+        return cap
+    return max(cores, min(cap, -(-est // target_bytes)))

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
 from hexgiving.operators import hexmap, rollups
-from hexgiving.session import checkpoint_root
+from hexgiving.session import checkpoint_root, partitions_for
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -163,7 +163,8 @@ def _csv_cell(df: DataFrame, c: str) -> F.Column:
 
 def write_report(lines: DataFrame, path: str) -> None:
     """Write the report text in reading order as a multi-part text dataset."""
-    (lines.repartitionByRange("section", "line_key").sortWithinPartitions("section", "line_key")
+    (lines.repartitionByRange(partitions_for(lines), "section", "line_key")
+     .sortWithinPartitions("section", "line_key")
      .select("text").write.mode("overwrite").text(path))
 
 
@@ -186,23 +187,6 @@ def write_donor_table(donors: DataFrame, path: str, partition_by: str = "zip_cod
     return donors.sparkSession.read.schema(donors.schema).parquet(path).select(*donors.columns)
 
 
-TARGET_FILE_BYTES = 128 * 1024 * 1024
-
-
-def file_count(df: DataFrame, target_bytes: int = TARGET_FILE_BYTES) -> int:
-    """Files for writing ``df``: about ``target_bytes`` each by Catalyst's
-    size estimate, at least one per core, at most
-    ``spark.sql.shuffle.partitions``."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    cap = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    try:    # the optimizer's size estimate (no public Python API for it)
-        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        return cap
-    return max(cores, min(cap, -(-est // target_bytes)))
-
-
 def write_clustered(df: DataFrame, path: str, cluster_by: str = "zip_code", tiebreak: str = "donor_id",
                     num_files: int | None = None) -> DataFrame:
     """Write ``df`` as ``num_files`` balanced files, each sorted by ``cluster_by``.
@@ -213,10 +197,10 @@ def write_clustered(df: DataFrame, path: str, cluster_by: str = "zip_code", tieb
     range and filters on it skip row groups through parquet statistics.
     Hash partitioning needs no sampling pass (range partitioning would
     compute the whole input twice). ``num_files`` defaults to
-    ``file_count(df)``.
+    ``partitions_for(df)`` (about 128 MB per file).
     """
     spark = df.sparkSession
-    n = num_files or file_count(df)
+    n = num_files or partitions_for(df)
     (df.repartition(n, F.col(cluster_by), F.col(tiebreak))
      .sortWithinPartitions(cluster_by, tiebreak)
      .write.mode("overwrite").parquet(path))

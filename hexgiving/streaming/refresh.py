@@ -32,9 +32,15 @@ def summary_of_stream(spark: SparkSession, source_dir: str, schema: StructType,
 
 def start_summary_refresh(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
                           checkpoint_dir: str, available_now: bool = False,
-                          interval: str = "10 minutes", max_files_per_trigger: int | None = None) -> StreamingQuery:
+                          interval: str = "10 minutes", max_files_per_trigger: int | None = None,
+                          state_partitions: int | None = None) -> StreamingQuery:
     """Start the refresh: each micro-batch overwrites ``sink_dir`` with the
-    complete, current summary."""
+    complete, current summary.
+
+    ``state_partitions`` fixes the number of state-store partitions of the
+    aggregation (read once, at the first start, and kept in the checkpoint);
+    by default the session's ``spark.sql.shuffle.partitions``.
+    """
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink_dir)
 
@@ -42,4 +48,12 @@ def start_summary_refresh(spark: SparkSession, source_dir: str, schema: StructTy
               .outputMode("complete").option("checkpointLocation", checkpoint_dir)
               .foreachBatch(publish))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start()
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(int(state_partitions)))    # captured by the query at start
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
