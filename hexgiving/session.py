@@ -56,8 +56,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by whoever runs the job and points at storage
-    every executor can reach. Only when it is unset (local tests) a fresh
-    temporary folder is created and registered.
+    every executor can reach; if it is missing there, this fails rather than
+    fall back to a machine-local folder. Only in local mode (tests) is a
+    fresh temporary folder created and registered when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on storage shared by all executors")
         configured = tempfile.mkdtemp(prefix="hexgiving-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
