@@ -61,6 +61,3 @@ def sample_n(df: DataFrame, n: int, key: str, seed: str | int = 0) -> DataFrame:
         return df.orderBy(hk, F.col(key)).limit(int(n))
     return number_rows(df, key, seed, out="_rn").where(F.col("_rn") <= n).drop("_rn")
 
-
-def hash_order(key: Column, seed: str | int) -> Column:
-    return order_key(key, seed)

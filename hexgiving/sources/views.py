@@ -21,7 +21,7 @@ VIEWS = ("donors", "venues", "donor_overview", "donations_by_graduation_year",
 
 def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
     """Create or replace the temp views; returns their names."""
-    donors = T.donors_with_cells(spark, sf_dir)
+    donors = T.donor_table(spark, sf_dir)
     frames = {"donors": donors, "venues": T.venues(spark, sf_dir),
               "donor_overview": rollups.donor_overview(donors),
               "donations_by_graduation_year": rollups.by_grad_year(donors),
