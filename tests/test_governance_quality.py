@@ -62,3 +62,13 @@ def test_catalog_listing(spark, edge_donors):
     assert [r.table_name for r in t] == ["alumni_donors_t"]
     cols = quality.catalog_columns(edge_donors, "%segment%").collect()
     assert [(r.column_name, r.data_type) for r in cols] == [("donor_segment", "string")]
+
+
+def test_adapters_conform_to_declared_schemas(spark):
+    from hexgiving import schemas
+    from hexgiving.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    assert schemas.conforms(T.donors_with_cells(spark, sf), schemas.DONORS) == []
+    assert schemas.conforms(T.addresses(spark, sf), schemas.ADDRESSES) == []
+    assert schemas.conforms(T.venues(spark, sf), schemas.VENUES) == []
+    assert schemas.empty(spark, schemas.DONOR_SUMMARY).count() == 0
