@@ -189,19 +189,22 @@ def write_donor_table(donors: DataFrame, path: str, partition_by: str = "zip_cod
 
 def write_clustered(df: DataFrame, path: str, cluster_by: str = "zip_code", tiebreak: str = "donor_id",
                     num_files: int | None = None) -> DataFrame:
-    """Write ``df`` as ``num_files`` balanced files, each sorted by ``cluster_by``.
-
-    Rows are hash-partitioned on (``cluster_by``, ``tiebreak``), so a key
-    holding a third of all rows is spread over every writer task; inside a
-    file rows are sorted by the key, so each row group covers a narrow key
-    range and filters on it skip row groups through parquet statistics.
-    Hash partitioning needs no sampling pass (range partitioning would
-    compute the whole input twice). ``num_files`` defaults to
-    ``partitions_for(df)`` (about 128 MB per file).
+    """Write ``df`` as balanced files, each sorted by ``cluster_by``.
+
+    Inside a file rows are sorted by the key, so each row group covers a
+    narrow key range and filters on it skip row groups through parquet
+    statistics. When the plan already has at least ``num_files`` partitions
+    (the usual case on a cluster, where scans and shuffled joins are split
+    into many balanced tasks, skew split by AQE) the files follow them and no
+    shuffle is added. Only when it has fewer (one input split, as with small
+    local files) are rows hash-partitioned on (``cluster_by``, ``tiebreak``)
+    into ``num_files`` parts; the tiebreak spreads a key holding a third of
+    all rows over every part. ``num_files`` defaults to
+    ``partitions_for(df)`` (about 64 MB of input per file).
     """
     spark = df.sparkSession
     n = num_files or partitions_for(df)
-    (df.repartition(n, F.col(cluster_by), F.col(tiebreak))
-     .sortWithinPartitions(cluster_by, tiebreak)
-     .write.mode("overwrite").parquet(path))
+    if df.rdd.getNumPartitions() < n:
+        df = df.repartition(n, F.col(cluster_by), F.col(tiebreak))
+    df.sortWithinPartitions(cluster_by, tiebreak).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
