@@ -63,20 +63,20 @@ ORACLE["donor_summary"] = w(
     f"SELECT zip_code, hex_level_7, hex_level_8, hex_level_9, count(*) AS donor_count, "
     f"{S.money_sum(A)} AS total_annual_donations, {S.money_sum(C)} AS total_cumulative_donations, "
     f"{S.mean_half_up(A, 2)} AS avg_annual_donation, {S.mean_half_up(C, 2)} AS avg_cumulative_donation, "
-    f"count_if({A} >= 10000) AS major_donors_count "
+    f"CAST(count_if({A} >= 10000) AS BIGINT) AS major_donors_count "
     f"FROM donors GROUP BY zip_code, hex_level_7, hex_level_8, hex_level_9", cells=True)
 ORACLE["donor_overview"] = w(
     f"SELECT count(*) AS total_donors, {S.money_sum(A)} AS total_annual_donations, "
     f"{S.money_sum(C)} AS total_cumulative_donations, {S.mean_half_up(A, 2)} AS avg_annual_donation, "
     f"{S.mean_half_up(C, 2)} AS avg_cumulative_donation, "
-    f"count_if(donor_segment = 'Major Donor') AS major_donors, "
-    f"count_if(donor_segment = 'Mid-Level Donor') AS mid_level_donors, "
-    f"count_if(donor_segment = 'Annual Donor') AS annual_donors FROM donors")
+    f"CAST(count_if(donor_segment = 'Major Donor') AS BIGINT) AS major_donors, "
+    f"CAST(count_if(donor_segment = 'Mid-Level Donor') AS BIGINT) AS mid_level_donors, "
+    f"CAST(count_if(donor_segment = 'Annual Donor') AS BIGINT) AS annual_donors FROM donors")
 ORACLE["by_grad_year"] = w(
     f"SELECT graduation_year, {VIEW_MEASURES}, {S.mean_half_up('age', 1, 0)} AS avg_age "
     f"FROM donors GROUP BY graduation_year")
 ORACLE["by_zip"] = w(
-    f"SELECT zip_code, {VIEW_MEASURES}, count_if(donor_segment = 'Major Donor') AS major_donors, "
+    f"SELECT zip_code, {VIEW_MEASURES}, CAST(count_if(donor_segment = 'Major Donor') AS BIGINT) AS major_donors, "
     f"{S.rounded(S.coord_mean('latitude'), 6)} AS center_latitude, "
     f"{S.rounded(S.coord_mean('longitude'), 6)} AS center_longitude FROM donors GROUP BY zip_code")
 ORACLE["by_major"] = w(
@@ -108,8 +108,8 @@ ORACLE["details_top_zips"] = w(
 
 def kpi_sql(p: str) -> str:
     sel = f"coalesce(({p}), FALSE)"
-    n = f"count_if({sel})"
-    major = f"count_if({sel} AND donor_segment = 'Major Donor')"
+    n = f"CAST(count_if({sel}) AS BIGINT)"
+    major = f"CAST(count_if({sel} AND donor_segment = 'Major Donor') AS BIGINT)"
     annual_sel = f"(CASE WHEN {sel} THEN {A} END)"
     return w(
         f"SELECT {n} AS total_donors, {n} - count(*) AS delta_from_full, "
@@ -445,13 +445,13 @@ def _completeness(total: str, src: str) -> str:
 ORACLE["completeness"] = w(_completeness("total_records", "donors"), cells=True)
 ORACLE["venue_completeness"] = f"WITH venues AS ({S.with_cells(S.VENUES)}) {_completeness('total_venues', 'venues')}"
 ORACLE["status_line"] = w(
-    f"SELECT CASE WHEN count_if(hex_level_7 IS NOT NULL) > 0 THEN {S.q(QL.STATUS_OK)} ELSE {S.q(QL.STATUS_EMPTY)} END "
+    f"SELECT CASE WHEN CAST(count_if(hex_level_7 IS NOT NULL) AS BIGINT) > 0 THEN {S.q(QL.STATUS_OK)} ELSE {S.q(QL.STATUS_EMPTY)} END "
     f"AS final_status FROM donors", cells=True)
 
 
 def _uniq(src: str, key: str) -> str:
     return (f"SELECT CAST(sum(_n) AS BIGINT) AS total_rows, count({key}) AS distinct_keys, "
-            f"count_if({key} IS NOT NULL AND _n > 1) AS duplicated_keys, "
+            f"CAST(count_if({key} IS NOT NULL AND _n > 1) AS BIGINT) AS duplicated_keys, "
             f"CAST(coalesce(sum(CASE WHEN {key} IS NULL THEN _n END), 0) AS BIGINT) AS null_keys "
             f"FROM (SELECT {key}, count(*) AS _n FROM {src} GROUP BY {key}) g")
 
@@ -528,7 +528,7 @@ ORACLE["inline_values"] = (
 ORACLE["sql_zip_view"] = w(
     f"SELECT zip_code, donor_count, total_annual_donations, major_donors FROM ("
     f"SELECT zip_code, count(*) AS donor_count, {S.money_sum(A)} AS total_annual_donations, "
-    f"count_if(donor_segment = 'Major Donor') AS major_donors FROM donors GROUP BY zip_code) z "
+    f"CAST(count_if(donor_segment = 'Major Donor') AS BIGINT) AS major_donors FROM donors GROUP BY zip_code) z "
     f"WHERE donor_count >= 1 AND zip_code <> '29600'")
 ORACLE["partitioned_filter_zip"] = w(
     f"SELECT donor_id, zip_code, donor_segment, CAST({A} AS DOUBLE) AS {A} FROM donors WHERE {pred(zip_codes=R.ZIPS)}")

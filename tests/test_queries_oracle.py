@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, canon
+from tools.oracle_check import SPARK_TO_DUCKDB, TABLES, canon
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -35,8 +35,10 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     sc, sr = canon(df.columns, [tuple(r) for r in df.collect()])
-    res = con.execute(E.oracle_sql()[name])
-    oc, orr = canon([d[0] for d in res.description], res.fetchall())
+    rel = con.sql(E.oracle_sql()[name])
+    otypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in df.dtypes} == otypes
+    oc, orr = canon(rel.columns, rel.fetchall())
     assert sc == oc
     assert sr == orr
 
