@@ -8,19 +8,53 @@ treats it as "no rows".
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+
+def decimal_bounds(lo: float, hi: float, scale: int) -> tuple[Decimal, Decimal]:
+    """Decimal thresholds at ``scale`` that select exactly the values whose
+    double lies in [lo, hi].
+
+    A decimal value k·10^-scale compares with a double bound through its
+    correctly rounded double, which grows with k; so the rows kept are
+    k ≥ k_lo and k ≤ k_hi, found here exactly. Comparing the column with
+    decimal literals keeps it uncast, so the predicate reaches the parquet
+    scan.
+    """
+    unit = Decimal(1).scaleb(-scale)
+
+    def as_double(k: int) -> float:
+        return float(Decimal(k) * unit)
+
+    k_lo = math.ceil(lo * 10 ** scale)
+    while as_double(k_lo - 1) >= lo:
+        k_lo -= 1
+    while as_double(k_lo) < lo:
+        k_lo += 1
+    k_hi = math.floor(hi * 10 ** scale)
+    while as_double(k_hi + 1) <= hi:
+        k_hi += 1
+    while as_double(k_hi) > hi:
+        k_hi -= 1
+    return Decimal(k_lo) * unit, Decimal(k_hi) * unit
 
 
 def donor_predicate(zip_codes: Sequence[str] | None = None,
                     grad_years: tuple[int, int] | None = None,
                     donation_range: tuple[float, float] | None = None,
-                    donor_segments: Sequence[str] | None = None) -> Column:
+                    donor_segments: Sequence[str] | None = None,
+                    amount_scale: int | None = None) -> Column:
     """AND of the optional donor filters; empty or missing means no filter.
 
-    Ranges are closed on both ends and a null value never passes them.
+    Ranges are closed on both ends and a null value never passes them. With
+    ``amount_scale`` (the decimal scale of the amount column) the amount
+    bounds become exact decimal thresholds (``decimal_bounds``).
     """
     pred = F.lit(True)
     if zip_codes:
@@ -29,6 +63,8 @@ def donor_predicate(zip_codes: Sequence[str] | None = None,
         pred = pred & F.col("graduation_year").between(int(grad_years[0]), int(grad_years[1]))
     if donation_range:
         lo, hi = donation_range
+        if amount_scale is not None and math.isfinite(lo) and math.isfinite(hi):
+            lo, hi = decimal_bounds(float(lo), float(hi), amount_scale)
         pred = pred & F.col("annual_donation_amount").between(F.lit(lo), F.lit(hi))
     if donor_segments:
         pred = pred & F.col("donor_segment").isin(list(donor_segments))
@@ -38,7 +74,9 @@ def donor_predicate(zip_codes: Sequence[str] | None = None,
 def apply_filters(df: DataFrame, zip_codes=None, grad_years=None, donation_range=None,
                   donor_segments=None) -> DataFrame:
     """Donor filters: zips, closed year range, closed amount range, segments."""
-    return df.filter(donor_predicate(zip_codes, grad_years, donation_range, donor_segments))
+    dtype = df.schema["annual_donation_amount"].dataType if "annual_donation_amount" in df.columns else None
+    scale = dtype.scale if isinstance(dtype, DecimalType) else None
+    return df.filter(donor_predicate(zip_codes, grad_years, donation_range, donor_segments, scale))
 
 
 def valid_points(df: DataFrame, columns: Sequence[str] = ("latitude", "longitude")) -> DataFrame:

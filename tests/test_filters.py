@@ -63,3 +63,26 @@ def test_filter_reaches_scan(spark, tmp_path, edge_donors):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "zip_code" in plan.split("PushedFilters")[1]
     assert df.select(F.count("*")).collect()[0][0] > 0
+
+
+def test_decimal_bounds_match_double_comparison(spark):
+    from decimal import Decimal as D
+    from hexgiving.operators.filters import decimal_bounds
+    vals = [D(k) / 100 for k in range(99990, 100020)] + [D("0.10"), D("0.09"), D("0.11"), D("1000.01")]
+    df = spark.createDataFrame([(v,) for v in vals], "annual_donation_amount decimal(10,2)")
+    for lo, hi in [(1000.0, 1000.1), (999.995, 1000.005), (0.1, 1000.0), (999.999999, 1000.0000001)]:
+        lo_d, hi_d = decimal_bounds(lo, hi, 2)
+        by_double = {v for v in vals if lo <= float(v) <= hi}
+        by_decimal = {v for v in vals if lo_d <= v <= hi_d}
+        assert by_double == by_decimal, (lo, hi)
+        got = {r[0] for r in filters.apply_filters(df, donation_range=(lo, hi)).collect()}
+        assert got == by_double
+
+
+def test_amount_range_reaches_scan(spark, tmp_path, edge_donors):
+    path = str(tmp_path / "d")
+    edge_donors.write.parquet(path)
+    df = filters.apply_filters(spark.read.parquet(path), donation_range=(1000.0, 20000.0))
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    assert "GreaterThanOrEqual(annual_donation_amount" in plan
