@@ -22,6 +22,7 @@ Scale notes
 
 from __future__ import annotations
 
+import hashlib
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,26 +140,47 @@ def donors_with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATERIALIZE_SETTING = "hexgiving.materialize_donors"
 
 
+PATH_SETTING = "hexgiving.donor_table_path"
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a completed parquet write (``_SUCCESS`` marker) is at ``path``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return bool(marker.getFileSystem(conf).exists(marker))
+
+
 @memo
 def donor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The donor table with its cell columns, written once per session.
+    """The donor table with its cell columns, computed once.
 
     Like the stored donor table of the data model: the join, derivations
-    and cells are computed once into the shared checkpoint folder, hash-
-    partitioned by (zip, donor id) so a hot zip spans every file, each file
-    sorted by zip; every query reads that table in parallel: column pruning
-    reads only what a query uses and filters are pushed into the parquet
-    scan, skipping row groups by their statistics.
-    ``sinks.export.write_donor_table`` writes the zip-partitioned variant for
-    long-lived deployments. Set
-    ``hexgiving.materialize_donors=false`` to plan every query from the
+    and cells are computed once, hash-partitioned by (zip, donor id) only if
+    the plan has too few partitions, each file sorted by zip; every query
+    reads that table in parallel: column pruning reads only what a query
+    uses and filters are pushed into the parquet scan, skipping row groups
+    by their statistics.
+
+    Where it is written: under ``hexgiving.donor_table_path`` when set (one
+    folder per source, reused by every later session once its write has
+    completed), else in the session's shared checkpoint folder.
+    ``sinks.export.write_donor_table`` writes the zip-partitioned variant.
+    Set ``hexgiving.materialize_donors=false`` to plan every query from the
     source tables instead.
     """
     if spark.conf.get(MATERIALIZE_SETTING, "true").lower() != "true":
         return donors_with_cells(spark, sf_dir)
-    from hexgiving.session import shared_dir
     from hexgiving.sinks.export import write_clustered
-    return write_clustered(donors_with_cells(spark, sf_dir), shared_dir(spark, "donor-table"), "zip_code")
+    df = donors_with_cells(spark, sf_dir)
+    base = spark.conf.get(PATH_SETTING, "") or ""
+    if base:
+        location = f"{base.rstrip('/')}/donors-{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()[:12]}"
+        if _written(spark, location):
+            return spark.read.schema(df.schema).parquet(location)
+    else:
+        from hexgiving.session import shared_dir
+        location = shared_dir(spark, "donor-table")
+    return write_clustered(df, location, "zip_code")
 
 
 def venue_type_lookup(spark: SparkSession) -> DataFrame:

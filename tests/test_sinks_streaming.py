@@ -95,3 +95,19 @@ def test_streaming_refresh_resumes_from_checkpoint(spark, tmp_path):
     streamed = spark.read.parquet(sink)
     batch = rollups.donor_summary(T.donors_with_cells(spark, SF))
     assert rows(streamed) == rows(batch.select(*streamed.columns))
+
+
+def test_donor_table_path_is_reused_across_sessions(spark, tmp_path):
+    from hexgiving.sources.tables import PATH_SETTING, _PLANS
+    spark.conf.set(PATH_SETTING, str(tmp_path / "tables"))
+    try:
+        _PLANS.clear()
+        first = T.donor_table(spark, SF)
+        files = sorted(first.inputFiles())
+        _PLANS.clear()                      # as a new session would
+        second = T.donor_table(spark, SF)
+        assert sorted(second.inputFiles()) == files
+        assert rows(second) == rows(T.donors_with_cells(spark, SF))
+    finally:
+        spark.conf.unset(PATH_SETTING)
+        _PLANS.clear()
