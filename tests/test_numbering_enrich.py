@@ -73,3 +73,14 @@ def test_sample_n_large_quota_path_matches_top_k(spark, monkeypatch):
     monkeypatch.setattr(numbering, "TOP_K_MAX", 10)
     large = {r.key for r in numbering.sample_n(df, 700, "key", "q").collect()}
     assert len(large) == 700 and large == small
+
+
+def test_enrichment_independent_of_partitioning(spark):
+    pool = spark.range(1, 400).select(
+        F.concat(F.lit("A"), F.col("id").cast("string")).alias("address_id"), F.lit("City").alias("city"),
+        F.lit("SC").alias("state"), F.lit("29601").alias("zip"), (F.lit(34.6) + F.col("id") / 1000.0).alias("latitude"),
+        F.lit(-82.4).alias("longitude"), F.lit("1 Main").alias("street_address"), F.lit("TARGET").alias("address_type"))
+    a = enr.donor_enrich(pool.repartition(1), n_donors=300, seed="p")
+    b = enr.donor_enrich(pool.repartition(7), n_donors=300, seed="p")
+    key = lambda r: r.donor_id
+    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
