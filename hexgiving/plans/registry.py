@@ -438,8 +438,8 @@ def _pick_from_array(spark, sf):
 def _scalar_subquery(spark, sf):
     arrays = spark.createDataFrame([(list(enr.FIRST_NAMES), list(enr.LAST_NAMES))],
                                    "first_names array<string>, last_names array<string>")
-    first_names = arrays.select("first_names").scalar()
-    last_names = arrays.select("last_names").scalar()
+    lists = arrays.select(F.struct("first_names", "last_names")).scalar()   # one subquery, run once
+    first_names, last_names = lists["first_names"], lists["last_names"]
     key = F.col("address_id")
     from hexgiving.functions.draws import uniform_int, unit_draw
     return T.addresses(spark, sf).select(
