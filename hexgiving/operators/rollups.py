@@ -238,9 +238,18 @@ def filter_domains(donors: DataFrame, venues: DataFrame) -> DataFrame:
             .unionByName(bound_rows).unionByName(cap))
 
 
-def distinct_cells(df: DataFrame, cell_cols: Sequence[str] = ("hex_level_7", "hex_level_8", "hex_level_9")) -> DataFrame:
-    """Exact distinct cell count per level (nulls not counted)."""
-    return df.agg(*[F.countDistinct(c).alias(f"cells_{c.rsplit('_', 1)[-1]}") for c in cell_cols])
+def distinct_cells(df: DataFrame, cell_cols: Sequence[str] = ("hex_level_7", "hex_level_8", "hex_level_9"),
+                   approx_rsd: float | None = None) -> DataFrame:
+    """Distinct cell count per level (nulls not counted).
+
+    Exact by default (each task deduplicates before the shuffle). With
+    ``approx_rsd`` a HyperLogLog++ sketch of that relative standard
+    deviation is merged instead: constant memory per task and a shuffle of
+    sketches only, however many cells there are.
+    """
+    def count(c):
+        return F.approx_count_distinct(c, approx_rsd) if approx_rsd else F.countDistinct(c)
+    return df.agg(*[count(c).alias(f"cells_{c.rsplit('_', 1)[-1]}") for c in cell_cols])
 
 
 def report_scalars(filtered: DataFrame) -> DataFrame:

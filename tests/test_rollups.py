@@ -78,3 +78,13 @@ def test_distinct_cells_ignores_nulls(spark):
                                "hex_level_7 string, hex_level_8 string, hex_level_9 string")
     r = rollups.distinct_cells(df).collect()[0]
     assert (r.cells_7, r.cells_8, r.cells_9) == (1, 1, 2)
+
+
+def test_distinct_cells_approx_close_to_exact(spark):
+    df = spark.range(0, 20000).selectExpr("CAST(id % 5000 AS STRING) AS hex_level_7",
+                                          "CAST(id % 700 AS STRING) AS hex_level_8",
+                                          "CAST(id AS STRING) AS hex_level_9")
+    exact = rollups.distinct_cells(df).collect()[0]
+    approx = rollups.distinct_cells(df, approx_rsd=0.02).collect()[0]
+    for k in ("cells_7", "cells_8", "cells_9"):
+        assert abs(approx[k] - exact[k]) <= 0.08 * exact[k]
