@@ -53,3 +53,7 @@ def test_no_python_udf_in_any_plan(spark):
     for name, fn in E.queries().items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
+
+
+def test_entry_schema_is_stable(spark):
+    assert E.entry(spark).schema == E.entry(spark).schema
