@@ -542,12 +542,13 @@ def _inline_values(spark, sf):
 
 @query("sql_zip_view")
 def _sql_zip_view(spark, sf):
-    """The zip view through SQL, filtered with bound parameters."""
+    """The zip view through SQL: view name and filter values are bound
+    parameters (``IDENTIFIER(:view)``), never spliced into the text."""
     from hexgiving.sources.views import register_views, sql
     register_views(spark, sf)
-    return sql(spark, "SELECT zip_code, donor_count, total_annual_donations, major_donors FROM donations_by_zip_code "
+    return sql(spark, "SELECT zip_code, donor_count, total_annual_donations, major_donors FROM IDENTIFIER(:view) "
                       "WHERE donor_count >= :min_count AND zip_code <> :skip",
-               {"min_count": 1, "skip": "29600"})
+               {"view": "donations_by_zip_code", "min_count": 1, "skip": "29600"})
 
 
 @query("partitioned_filter_zip")
