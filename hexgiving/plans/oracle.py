@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from hexgiving.plans import registry as R
 from hexgiving.plans import sqltext as S
-from hexgiving.functions import hexgrid as hg
 
 ORACLE: dict[str, str] = {}
 
