@@ -16,8 +16,11 @@ Scale notes
   ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both sides
   on the customer key; AQE splits a customer that owns a third of all orders
   (skew join) instead of giving it one task.
-* ``nation`` is bounded by definition (25 rows), so it alone carries an
-  explicit broadcast hint.
+* ``nation`` (25 rows) and the 4-row venue-type lookup are bounded by
+  definition; only they carry explicit broadcast hints.
+* ``donor_table`` computes the donor table once (per session, or per source
+  at ``hexgiving.donor_table_path``) so queries scan stored columns instead
+  of re-running the join.
 """
 
 from __future__ import annotations
