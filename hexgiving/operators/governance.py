@@ -1,8 +1,8 @@
 """Role-based column masking and row access as governed ``DataFrame`` views.
 
-The role is an explicit argument (or the session setting
-``hexgiving.current_role``). Because it is a literal in the plan, Catalyst
-folds every policy test: an all-seeing role leaves no filter at all, a
+The role is an explicit argument, or the SQL session variable
+``hexgiving_role``, or the session setting ``hexgiving.current_role``.
+Because it is a literal in the plan, Catalyst folds every policy test: an all-seeing role leaves no filter at all, a
 masked column becomes a constant, and the intern's segment predicate is
 pushed into the parquet scan.
 
@@ -38,10 +38,22 @@ DONOR_MASKS = {"last_name": "string", "full_name": "string", "email": "string",
                "cumulative_donation_amount": "number"}
 
 
+ROLE_VARIABLE = "hexgiving_role"
+
+
 def current_role(spark: SparkSession, role: str | None = None) -> str:
-    """Explicit role, else the session setting, else empty (sees nothing)."""
+    """Explicit role; else the SQL session variable ``hexgiving_role``
+    (``DECLARE VARIABLE hexgiving_role STRING DEFAULT '...'`` /
+    ``SET VAR hexgiving_role = '...'``); else the session setting
+    ``hexgiving.current_role``; else empty, which sees nothing."""
     if role is not None:
         return role
+    try:
+        value = spark.sql(f"SELECT session.{ROLE_VARIABLE}").first()[0]
+        if value:
+            return value
+    except Exception:  # noqa: BLE001  (variable not declared)
+        pass
     return spark.conf.get(ROLE_SETTING, "") or ""
 
 

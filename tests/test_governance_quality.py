@@ -72,3 +72,14 @@ def test_adapters_conform_to_declared_schemas(spark):
     assert schemas.conforms(T.addresses(spark, sf), schemas.ADDRESSES) == []
     assert schemas.conforms(T.venues(spark, sf), schemas.VENUES) == []
     assert schemas.empty(spark, schemas.DONOR_SUMMARY).count() == 0
+
+
+def test_role_from_sql_session_variable(spark, edge_donors):
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {gv.ROLE_VARIABLE} STRING DEFAULT '{gv.INTERN_ROLE}'")
+    try:
+        assert gv.governed(edge_donors).count() == 8
+        spark.sql(f"SET VAR {gv.ROLE_VARIABLE} = 'ACCOUNTADMIN'")
+        assert gv.governed(edge_donors).count() == edge_donors.count()
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE {gv.ROLE_VARIABLE}")
+    assert gv.governed(edge_donors).count() == 0      # nothing declared or set: sees nothing
