@@ -2,9 +2,10 @@
 
 The role is an explicit argument, or the SQL session variable
 ``hexgiving_role``, or the session setting ``hexgiving.current_role``.
-Because it is a literal in the plan, Catalyst folds every policy test: an all-seeing role leaves no filter at all, a
-masked column becomes a constant, and the intern's segment predicate is
-pushed into the parquet scan.
+Because it is a literal in the plan, Catalyst folds every policy test: an
+all-seeing role leaves no filter at all, a masked column becomes a
+constant, and the intern's segment predicate is pushed into the parquet
+scan.
 
 This is a presentation rule, not a security boundary: whoever can read the
 files can read them without it. Real enforcement belongs to the catalog.
