@@ -49,10 +49,15 @@ def test_entry_smoke(spark):
     assert "hex_cell" in df.columns
 
 
-def test_no_python_udf_in_any_plan(spark):
+def test_plan_hygiene_for_every_query(spark):
+    """No Python evaluation, no cartesian product or nested-loop join (the
+    physical forms of a cross join) in any registered query."""
     for name, fn in E.queries().items():
-        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        df = fn(spark, SF)
+        df.write.format("noop").mode("overwrite").save()       # final (AQE) plan
+        plan = df._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_entry_schema_is_stable(spark):
