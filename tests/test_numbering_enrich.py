@@ -84,3 +84,16 @@ def test_enrichment_independent_of_partitioning(spark):
     b = enr.donor_enrich(pool.repartition(7), n_donors=300, seed="p")
     key = lambda r: r.donor_id
     assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
+
+
+def test_address_pool_quotas_bind_exactly(spark):
+    from hexgiving.sources import tables as T
+    addr = T.addresses(spark, "/root/testdata/sf0.01")
+    pool = enr.address_pool(addr, ["29607", "29610"], ["29601", "29602", "29603"], target_n=5, other_n=3)
+    rows = pool.collect()
+    assert sum(r.address_type == "TARGET" for r in rows) == 5
+    assert sum(r.address_type == "OTHER" for r in rows) == 3
+    assert all(r.state == "SC" and r.latitude is not None for r in rows)
+    again = {r.address_id for r in enr.address_pool(addr.repartition(5), ["29607", "29610"],
+                                                    ["29601", "29602", "29603"], 5, 3).collect()}
+    assert again == {r.address_id for r in rows}
