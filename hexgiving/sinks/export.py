@@ -67,6 +67,9 @@ def csv_roundtrip(df: DataFrame, path: str) -> DataFrame:
 # --- text report -----------------------------------------------------------------
 
 INVERT_CENTS = 10 ** 15
+# Tables written once and scanned by every query are stored with zstd:
+# about a quarter smaller than the default snappy, so less I/O per scan.
+STORED_CODEC = "zstd"
 
 
 def _line(section: int, key: str, text) -> F.Column:
@@ -181,6 +184,7 @@ def write_donor_table(donors: DataFrame, path: str, partition_by: str = "zip_cod
     salt = F.pmod(F.xxhash64("donor_id"), F.lit(files_per_key))
     (donors.repartition(F.col(partition_by), salt)
      .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+     .option("compression", STORED_CODEC)
      .partitionBy(partition_by).parquet(path))
     # read back with the declared schema (partition values stay strings)
     # and the declared column order
@@ -206,5 +210,6 @@ def write_clustered(df: DataFrame, path: str, cluster_by: str = "zip_code", tieb
     n = num_files or partitions_for(df)
     if df.rdd.getNumPartitions() < n:
         df = df.repartition(n, F.col(cluster_by), F.col(tiebreak))
-    df.sortWithinPartitions(cluster_by, tiebreak).write.mode("overwrite").parquet(path)
+    (df.sortWithinPartitions(cluster_by, tiebreak).write.mode("overwrite")
+     .option("compression", STORED_CODEC).parquet(path))
     return spark.read.schema(df.schema).parquet(path)
