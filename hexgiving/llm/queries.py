@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hexgiving.llm import minhash
+from hexgiving.llm import minhash, substring, urlfilter
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+             ("com/de/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, URL_RULES))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup,)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = substring.repeated_units(_table(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"),
+                    "first_start")
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_minhash_near_dedup, op10_substring_dedup)}
