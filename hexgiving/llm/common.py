@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexgiving.session import shared_dir
 
-CACHE_ENTRIES = 400_000     # bound of each per-worker word cache; a full cache is emptied, results do not change
+CACHE_ENTRIES = 300_000     # bound of each half of a per-worker word cache; results do not depend on it
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,16 +30,24 @@ def fold(id_column: str | Column, parts: int) -> Column:
 
 
 class WordCache(dict):
-    """Word -> value, computed once per worker; emptied when full."""
+    """Word -> value, computed once while the word stays in use.
+
+    When full, the entries become the old half and replace the former one;
+    words met again move back. So frequent words stay and memory is bounded.
+    """
 
     def __init__(self, compute, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.old = compute, entries, {}
 
     def __missing__(self, word):
         if len(self) >= self.entries:
+            self.old = self.copy()
             self.clear()
-        value = self[word] = self.compute(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.compute(word)
+        self[word] = value
         return value
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.llm import minhash, substring, urlfilter
+from hexgiving.llm import bestfit, minhash, substring, tokenbits, tokencount, urlfilter
+from hexgiving.session import shared_dir
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
              ("com/de/", "block")]
@@ -15,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, URL_RULES))
 
@@ -23,10 +33,21 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", words=2, percent=80)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2, 1024)
+
+
+def op6_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "llm-token-files")
+    tokenbits.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), 49_408, 1)
+    return tokenbits.read_tokens(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = substring.repeated_units(_table(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"),
                     "first_start")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_minhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing, op6_token_bits, op10_substring_dedup)}
