@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.llm import bestfit, minhash, substring, tokenbits, tokencount, urlfilter
+from hexgiving.llm import bestfit, minhash, substring, tiling, tokenbits, tokencount, urlfilter
 from hexgiving.session import shared_dir
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
@@ -37,6 +37,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2, 1024)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return r.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op6_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "llm-token-files")
     tokenbits.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), 49_408, 1)
@@ -50,4 +55,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing, op6_token_bits, op10_substring_dedup)}
+    op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing,
+    op5_benchmark_decontamination, op6_token_bits, op10_substring_dedup)}
