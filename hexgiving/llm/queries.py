@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.llm import bestfit, minhash, substring, tiling, tokenbits, tokencount, urlfilter
+from hexgiving.llm import bestfit, minhash, substring, tiling, tokenbits, tokencount, toxicity, urlfilter
+from hexgiving.llm.common import fold
 from hexgiving.session import shared_dir
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
@@ -48,6 +49,14 @@ def op6_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbits.read_tokens(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), train=toxicity.training_rows())
+    scored = toxicity.with_scores(docs, model, out="score")
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = substring.repeated_units(_table(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"),
@@ -56,4 +65,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing,
-    op5_benchmark_decontamination, op6_token_bits, op10_substring_dedup)}
+    op5_benchmark_decontamination, op6_token_bits, op7_toxicity, op10_substring_dedup)}
