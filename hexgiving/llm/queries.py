@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.llm import bestfit, minhash, substring, tiling, tokenbits, tokencount, toxicity, urlfilter
+from hexgiving.llm import bestfit, interpolation, minhash, substring, tiling, tokenbits, tokencount, toxicity, urlfilter
 from hexgiving.llm.common import fold
 from hexgiving.session import shared_dir
 
@@ -57,6 +57,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = substring.repeated_units(_table(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"),
@@ -65,4 +69,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing,
-    op5_benchmark_decontamination, op6_token_bits, op7_toxicity, op10_substring_dedup)}
+    op5_benchmark_decontamination, op6_token_bits, op7_toxicity,
+    op9_language_model, op10_substring_dedup)}
