@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.llm import bestfit, interpolation, minhash, substring, tiling, tokenbits, tokencount, toxicity, urlfilter
+import corpus_pipeline
+from hexgiving.llm import bestfit, interpolation, minhash, multiindex, substring, tiling, tokenbits, tokencount, toxicity, urlfilter
 from hexgiving.llm.common import fold
 from hexgiving.session import shared_dir
 
@@ -57,6 +58,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = multiindex.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+    return r.withColumnRenamed("id", "vec_id")
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(_table(spark, sf_dir, "documents"))
 
@@ -70,4 +76,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing,
     op5_benchmark_decontamination, op6_token_bits, op7_toxicity,
-    op9_language_model, op10_substring_dedup)}
+    op8_nearest_neighbours, op9_language_model, op10_substring_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
