@@ -27,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, train=toxicity.training_rows())
-    scored = toxicity.with_scores(docs, model, out="__toxicity")
-    return scored.where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.with_scores(docs, model, out=name).where(F.col(name) < TOXIC).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +61,8 @@ def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover less than 0.7 of every benchmark item. Null ids, short and null texts stay unless covered."""
     found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = stored(found.select(F.col("id").alias("__id")).distinct(), "contaminated")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    ids = stored(found.select("id").distinct(), "contaminated")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,16 +154,16 @@ def pack(items: DataFrame, capacity: int, length_col: str, order_by: list[str])
         at = rank - t[:, 1]
         return pd.DataFrame({"sequence_id": t[:, 2] + at // t[:, 3], "offset": t[:, 4] + at % t[:, 3] * length})
 
-    bucket = F.pmod(F.xxhash64(*order_by), F.lit(buckets))
-    items = items.withColumn("__bucket", bucket)
-    before = F.sum("__n").over(Window.partitionBy(length_col).orderBy("__bucket")) - F.col("__n")
-    offsets = (items.groupBy(length_col, "__bucket").agg(F.count("*").alias("__n"))
-               .select(n.alias("__length"), F.col("__bucket").alias("__b"), before.alias("__before")))
-    inside = F.row_number().over(Window.partitionBy(length_col, "__bucket").orderBy(*order_by))
-    ranked = (items.withColumn("__rank", inside)
-              .join(offsets, (n == F.col("__length")) & (F.col("__bucket") == F.col("__b")))
-              .withColumn("__at", place(n.cast("long"), (F.col("__before") + F.col("__rank") - 1).cast("long"))))
-    return ranked.select(*(c for c in items.columns if c != "__bucket"), "__at.sequence_id", "__at.offset")
+    # the row as one struct: no name of the input meets one of the ranks
+    key = [F.col("row")[c] for c in order_by]
+    rows = items.select(F.struct(*items.columns).alias("row"), n.cast("long").alias("length"),
+                        F.pmod(F.xxhash64(*order_by), F.lit(buckets)).alias("bucket"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
+    offsets = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*key))
+    ranked = (rows.withColumn("rank", inside).join(offsets, ["length", "bucket"])
+              .withColumn("at", place("length", (F.col("before") + F.col("rank") - 1).cast("long"))))
+    return ranked.select("row.*", "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id",

@@ -84,7 +84,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``repeated_units``.
     """
     spans = (repeated_units(docs, id_col, text_col, min_words).distinct().groupBy("id", "text_hash")
-             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans")))
+             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
 
     @F.pandas_udf("string")
     def cut(text, cuts):
@@ -100,9 +100,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append("".join([*pieces, t[at:]]))
         return type(text)(out, dtype=object)
 
-    keyed = docs.drop("removed").withColumn("__hash", F.xxhash64(text_col))
-    joined = keyed.join(spans.toDF("__id", "__h", "__spans"),
-                        F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))
     kept = [c for c in docs.columns if c != "removed"]
-    return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in kept), F.col("__spans").alias("removed"))
+    # the row as one struct: no name of the input meets one of the spans
+    rows = docs.select(F.struct(*kept).alias("row"), F.xxhash64(text_col).alias("row_hash"))
+    joined = rows.join(spans, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash")), "left")
+    text = F.col("row")[text_col]
+    new = F.when(F.col("spans").isNull(), text).otherwise(cut(text, F.col("spans")))
+    return joined.select(*((new if c == text_col else F.col("row")[c]).alias(c) for c in kept), F.col("spans").alias("removed"))

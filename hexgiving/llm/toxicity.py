@@ -255,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a score of 0 to 1 for each whole text; a column named ``out`` is replaced.
 
-    Null and empty texts have no words and get the low score of such. No
+    Null and empty texts have no words and share the score of such. No
     shuffle; rows are scored by themselves, so ties and repeats agree.
     """
     docs = docs.drop(out)
