@@ -131,7 +131,7 @@ def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.
                     continue
                 s = ngram_hashes(t, least)
                 at = np.flatnonzero(hit[s & mask])
-                at = at[np.isin(s[at], table)]
+                at = at[table[np.searchsorted(table[:-1], s[at])] == s[at]] if len(table) else at[:0]
                 if not len(at):
                     continue
                 cover = np.zeros(len(t) + 1, np.int32)
