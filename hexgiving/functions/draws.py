@@ -1,10 +1,9 @@
-"""Repeatable pseudo-random draws derived from a row key.
+"""Repeatable pseudo-random order derived from a row key.
 
 ``rand(seed)`` depends on how rows are split into partitions, so a re-run
-after an executor loss, or on another cluster, could draw differently. Here a
-draw is a hash of ``key || '|' || seed``: the same row always gets the same
-value, whatever the partitioning, and each column uses its own seed so draws
-are independent.
+after an executor loss, or on another cluster, could draw differently. Here
+the order is a hash of ``key || '|' || seed``: the same row always gets the
+same place, whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -12,24 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
-
-
-def unit_draw(key: Column, seed: str | int) -> Column:
-    """Uniform double in [0, 1) from the first 32 bits of an md5 hash."""
-    h = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(TWO_32)
-
-
-def uniform_int(lo: int, hi: int, u: Column) -> Column:
-    """Whole number in [lo, hi], both ends included."""
-    return F.floor(F.lit(float(lo)) + u * F.lit(float(hi - lo + 1)))
-
-
-def uniform_real(lo: float, hi: float, u: Column) -> Column:
-    """Continuous draw in [lo, hi)."""
-    return F.lit(float(lo)) + u * F.lit(float(hi - lo))
-
 
 def order_key(key: Column, seed: str | int) -> Column:
     """Sort key for a repeatable random order (full md5 text)."""

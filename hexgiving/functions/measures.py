@@ -5,9 +5,10 @@ partitioning, so a re-run on a different cluster could flip a rounded digit.
 These helpers sum in integers (cents, or fixed-point units for coordinates)
 and round with integer arithmetic, half-up, as the reference's SQL does:
 
-* ``money_sum``: exact decimal sum, reported as double.
+* ``money_sum``: exact decimal sum, reported as double (the nearest one:
+  beyond about $9e13 a double no longer tells cents apart).
 * ``mean_half_up``: mean of a decimal / integer column rounded half-up to
-  ``digits`` places from its exact integer sum.
+  ``digits`` places from its exact decimal sum.
 * ``coord_mean``: mean of a double coordinate from nano-unit fixed-point sums
   (decimal, so a hot group of 10^11 rows cannot overflow).
 
@@ -29,23 +30,21 @@ def money_sum(c: Column) -> Column:
     return F.sum(c).cast("double")
 
 
-def _scaled_long(c: Column, scale_digits: int) -> Column:
-    return (c * F.lit(10 ** scale_digits)).cast("long") if scale_digits else c.cast("long")
-
-
 def mean_half_up(c: Column, digits: int, scale_digits: int = 2) -> Column:
     """Mean rounded half-up to ``digits`` places; null for an empty group.
 
-    ``scale_digits`` is the column's own scale (2 for money, 0 for ints);
-    values are summed as exact integers in units of 10^-scale_digits.
+    ``scale_digits`` is the column's own scale (2 for money, 0 for ints). Sum,
+    count and the doubled numerator stay DECIMAL(38), so no group that fits a
+    table overflows.
     """
-    s = F.sum(_scaled_long(c, scale_digits))
-    n = F.count(c)
-    num = s * F.lit(10 ** (digits - scale_digits)) if digits >= scale_digits else s
-    den = n if digits >= scale_digits else n * F.lit(10 ** (scale_digits - digits))
-    mag = F.call_function("div", F.abs(num) * 2 + den, den * 2)
-    q = F.when(num >= 0, mag).otherwise(-mag)
-    return F.when(n > 0, q / F.lit(float(10 ** digits)))
+    exact = lambda x: x.cast("decimal(38,0)")
+    s = exact(F.sum(c.cast(f"decimal(22,{scale_digits})")) * F.lit(10 ** scale_digits).cast("decimal(4,0)"))
+    n = exact(F.count(c))
+    up, down = 10 ** max(digits - scale_digits, 0), 10 ** max(scale_digits - digits, 0)
+    num, den = exact(F.abs(s) * F.lit(2 * up).cast("decimal(6,0)")), exact(n * F.lit(down).cast("decimal(6,0)"))
+    mag = F.call_function("div", exact(num + den), exact(den * F.lit(2).cast("decimal(1,0)")))
+    q = F.when(s >= 0, mag).otherwise(-mag)
+    return F.when(F.count(c) > 0, q / F.lit(float(10 ** digits)))
 
 
 def coord_mean(c: Column) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,14 @@ ROLE_SETTING = "hexgiving.current_role"
 
 # The roles each policy lets through. Deployments pass their
 # own lists; these are the defaults of the rebuilt policies.
-STRING_CLEAR_ROLES = ("DATASCI", "SYSADMIN", "ACCOUNTADMIN")
-DATE_CLEAR_ROLES = ("ACCOUNTADMIN", "DATA_ANALYST", "SECURITY_ADMIN")
-NUMBER_CLEAR_ROLES = ("DATASCI", "SYSADMIN", "ACCOUNTADMIN")
+PLATFORM_ADMIN_ROLE = "PLATFORM_INTELLIGENCE_ADMIN_ROLE"     # neutral name of the platform's own admin role
+STRING_CLEAR_ROLES = ("DATASCI", "SYSADMIN", "ACCOUNTADMIN", PLATFORM_ADMIN_ROLE)
+DATE_CLEAR_ROLES = ("ACCOUNTADMIN", "DATA_ANALYST", "SECURITY_ADMIN", PLATFORM_ADMIN_ROLE)
+NUMBER_CLEAR_ROLES = ("DATASCI", "SYSADMIN", "ACCOUNTADMIN", PLATFORM_ADMIN_ROLE)
 MASKED_TEXT = "**masked**"
 MASKED_DATE = dt.date(9999, 12, 31)
 INTERN_ROLE = "HE_ADVANCEMENT_INTERN_ROLE"
-ALL_ROWS_ROLES = ("ACADEMIC_ADVISOR_MGR_ROLE", "ACCOUNTADMIN")
+ALL_ROWS_ROLES = ("ACADEMIC_ADVISOR_MGR_ROLE", "ACCOUNTADMIN", PLATFORM_ADMIN_ROLE)
 
 # Columns and the policy kind attached to each.
 DONOR_MASKS = {"last_name": "string", "full_name": "string", "email": "string",
@@ -53,8 +55,10 @@ def current_role(spark: SparkSession, role: str | None = None) -> str:
         value = spark.sql(f"SELECT session.{ROLE_VARIABLE}").first()[0]
         if value:
             return value
-    except Exception:  # noqa: BLE001  (variable not declared)
-        pass
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "UNRESOLVED_COLUMN.WITH_SUGGESTION",
+                                    "UNRESOLVED_VARIABLE", "VARIABLE_NOT_FOUND"):
+            raise
     return spark.conf.get(ROLE_SETTING, "") or ""
 
 

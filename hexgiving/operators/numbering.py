@@ -4,8 +4,8 @@
 row into a single task. Here the rows are range-partitioned on the sort key
 (Spark samples the key to pick bounds), sorted inside each partition, and
 numbered by ``position in partition + rows in earlier partitions``. The
-per-partition counts are one row per partition (a number fixed by the
-caller), so that small table is broadcast.
+per-partition counts are one row per partition, so that small table is
+broadcast.
 
 The partitioned and sorted rows are checkpointed into the shared folder
 named by ``spark.checkpoint.dir`` before they are counted, which pins the
@@ -19,11 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexgiving.functions.draws import order_key
-from hexgiving.session import checkpoint_root, partitions_for
-
-# Above this many rows a sample is taken by numbering, not by a top-k sort
-# (a top-k keeps up to n rows per task in memory).
-TOP_K_MAX = 100_000
+from hexgiving.session import checkpoint_root
 
 
 def number_rows(df: DataFrame, key: str, seed: str | int = 0, out: str = "rn",
@@ -34,10 +30,10 @@ def number_rows(df: DataFrame, key: str, seed: str | int = 0, out: str = "rn",
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    n_parts = num_partitions or partitions_for(df)
     hk = "_hk"
-    ordered = (df.withColumn(hk, order_key(F.col(key), seed))
-               .repartitionByRange(n_parts, F.col(hk), F.col(key))
+    keyed = df.withColumn(hk, order_key(F.col(key), seed))
+    ordered = ((keyed.repartitionByRange(num_partitions, F.col(hk), F.col(key)) if num_partitions
+                else keyed.repartitionByRange(F.col(hk), F.col(key)))
                .sortWithinPartitions(hk, key)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_pos", F.monotonically_increasing_id()
@@ -53,11 +49,15 @@ def number_rows(df: DataFrame, key: str, seed: str | int = 0, out: str = "rn",
 def sample_n(df: DataFrame, n: int, key: str, seed: str | int = 0) -> DataFrame:
     """``n`` rows in a repeatable random order (a quota, as ``LIMIT n``).
 
-    Small quotas use a top-k sort; large ones number the rows and keep the
-    first ``n``, so no task ever holds the whole quota.
+    The order key is a uniform hash, so the ``n`` smallest lie, but for one
+    chance in a billion, below a threshold a little above ``n / rows``. Rows
+    under it are numbered and the first ``n`` kept; if too few lie there, all
+    rows are numbered. No task holds the quota.
     """
-    if n <= TOP_K_MAX:
-        hk = order_key(F.col(key), seed)
-        return df.orderBy(hk, F.col(key)).limit(int(n))
-    return number_rows(df, key, seed, out="_rn").where(F.col("_rn") <= n).drop("_rn")
-
+    total = df.count()
+    hk = order_key(F.col(key), seed)
+    share = (n + 6 * n ** 0.5 + 20) / max(total, 1)
+    few = df if share >= 1 else df.where(F.substring(hk, 1, 8) < f"{int(share * 16 ** 8):08x}")
+    if share < 1 and few.count() < n:
+        few = df
+    return number_rows(few, key, seed, out="_rn").where(F.col("_rn") <= n).drop("_rn")

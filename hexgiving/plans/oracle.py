@@ -1,7 +1,8 @@
 """Oracle SQL (DuckDB dialect) for the value check of each named query.
 
-Written independently of the Spark code paths, over the same input tables,
-with the adapters and measure spellings of ``plans.sqltext``.
+Runs on the same input tables, with the adapter and measure text of
+``plans.sqltext``. Roles, bands and policies are literals here; the zips and
+filter settings of a query are its parameters and come from the registry.
 """
 
 from __future__ import annotations
@@ -233,8 +234,6 @@ ORACLE["hex_colours"] = w(
 
 # --- features and display tables -------------------------------------------------
 from hexgiving.operators import features as FE  # noqa: E402
-from hexgiving.operators import enrich as EN  # noqa: E402
-from hexgiving.operators import governance as GV  # noqa: E402
 from hexgiving.operators import quality as QL  # noqa: E402
 
 
@@ -291,42 +290,66 @@ ORACLE["point_sizes"] = w(
 # --- governance ---------------------------------------------------------------------
 
 
+# Literals of the policies, not taken from the code under test.
+INTERN = "HE_ADVANCEMENT_INTERN_ROLE"
+PLATFORM_ADMIN = "PLATFORM_INTELLIGENCE_ADMIN_ROLE"
+CLEAR = ("DATASCI", "SYSADMIN", "ACCOUNTADMIN", PLATFORM_ADMIN)
+CLEAR_DATES = ("ACCOUNTADMIN", "DATA_ANALYST", "SECURITY_ADMIN", PLATFORM_ADMIN)
+ALL_ROWS = ("ACADEMIC_ADVISOR_MGR_ROLE", "ACCOUNTADMIN", PLATFORM_ADMIN)
+MASKED = "**masked**"
+
+
 def _clear(role: str, roles) -> str:
     return f"({S.q(role)} IN {S.in_list(roles)})"
 
 
 ORACLE["mask_string"] = w(
-    f"SELECT donor_id, CASE WHEN {_clear(GV.INTERN_ROLE, GV.STRING_CLEAR_ROLES)} THEN full_name "
-    f"ELSE {S.q(GV.MASKED_TEXT)} END AS full_name FROM donors")
+    f"SELECT donor_id, CASE WHEN {_clear(INTERN, CLEAR)} THEN full_name "
+    f"ELSE {S.q(MASKED)} END AS full_name FROM donors")
 ORACLE["mask_date"] = w(
-    f"SELECT donor_id, CAST(CASE WHEN {_clear('DATASCI', GV.DATE_CLEAR_ROLES)} THEN last_donation_date "
-    f"ELSE DATE '9999-12-31' END AS VARCHAR) AS last_donation_date FROM donors")
+    f"SELECT donor_id, CAST(CASE WHEN {_clear('DATASCI', CLEAR_DATES)} THEN last_donation_date "
+    f"ELSE DATE '9999-12-31' END AS VARCHAR) AS last_donation_date, CAST(last_donation_date AS VARCHAR) AS shown_to_analyst "
+    f"FROM donors")
 ORACLE["mask_number"] = w(
-    f"SELECT donor_id, CAST(CASE WHEN {_clear(GV.INTERN_ROLE, GV.NUMBER_CLEAR_ROLES)} THEN {A} "
+    f"SELECT donor_id, CAST(CASE WHEN {_clear(INTERN, CLEAR)} THEN {A} "
     f"ELSE CAST(0 AS DECIMAL(10,2)) END AS DOUBLE) AS {A}, "
-    f"CASE WHEN {_clear(GV.INTERN_ROLE, GV.NUMBER_CLEAR_ROLES)} THEN age ELSE 0 END AS age FROM donors")
+    f"CASE WHEN {_clear(INTERN, CLEAR)} THEN age ELSE 0 END AS age FROM donors")
 
 
 def _row_pred(role: str) -> str:
-    if role == GV.INTERN_ROLE:
+    if role == INTERN:
         return "donor_segment = 'Annual Donor'"
-    return "TRUE" if role in GV.ALL_ROWS_ROLES else "FALSE"
+    return "TRUE" if role in ALL_ROWS else "FALSE"
 
 
 def _masked_sql(role: str) -> str:
-    s_ok, n_ok = _clear(role, GV.STRING_CLEAR_ROLES), _clear(role, GV.NUMBER_CLEAR_ROLES)
+    s_ok, n_ok = _clear(role, CLEAR), _clear(role, CLEAR)
     return w(
-        f"SELECT donor_id, CASE WHEN {s_ok} THEN full_name ELSE {S.q(GV.MASKED_TEXT)} END AS full_name, "
+        f"SELECT donor_id, CASE WHEN {s_ok} THEN full_name ELSE {S.q(MASKED)} END AS full_name, "
         f"CASE WHEN {n_ok} THEN age ELSE 0 END AS age, "
         f"CAST(CASE WHEN {n_ok} THEN {A} ELSE 0 END AS DOUBLE) AS {A}, "
         f"CAST(CASE WHEN {n_ok} THEN {C} ELSE 0 END AS DOUBLE) AS {C}, donor_segment, major "
         f"FROM donors WHERE {_row_pred(role)}")
 
 
-ORACLE["masked_donors_intern"] = _masked_sql(GV.INTERN_ROLE)
-ORACLE["masked_donors_admin"] = _masked_sql(R.ADMIN)
-for _role, _key in ((GV.INTERN_ROLE, "intern"), (R.ADMIN, "admin"), (R.OTHER_ROLE, "other")):
+ORACLE["masked_donors_intern"] = _masked_sql(INTERN)
+ORACLE["masked_donors_admin"] = _masked_sql("ACCOUNTADMIN")
+for _role, _key in ((INTERN, "intern"), ("ACCOUNTADMIN", "admin"), ("PUBLIC", "other")):
     ORACLE[f"row_access_{_key}"] = w(f"SELECT donor_id, donor_segment FROM donors WHERE {_row_pred(_role)}")
+ORACLE["masked_donors_platform_admin"] = _masked_sql(PLATFORM_ADMIN)
+
+
+def _role_rows(role: str) -> str:
+    name = "min(full_name)" if role in CLEAR else S.q(MASKED)
+    gift = f"CAST(min({A}) AS DOUBLE)" if role in CLEAR else "0e0"
+    date = "CAST(min(last_donation_date) AS VARCHAR)" if role in CLEAR_DATES else "'9999-12-31'"
+    return (f"SELECT donor_segment, count(*) AS rows, {name} AS first_name, {date} AS first_date, {gift} AS least_gift, "
+            f"{S.q(role)} AS role FROM donors WHERE {_row_pred(role)} GROUP BY donor_segment")
+
+
+ORACLE["roles_clear"] = w(" UNION ALL ".join(_role_rows(r) for r in (
+    "DATASCI", "SYSADMIN", "ACCOUNTADMIN", PLATFORM_ADMIN, "DATA_ANALYST", "SECURITY_ADMIN", INTERN,
+    "ACADEMIC_ADVISOR_MGR_ROLE", "PUBLIC")))
 
 # --- enrichment ---------------------------------------------------------------------
 ADDR = f"addresses AS ({S.ADDRESSES})"
@@ -342,94 +365,29 @@ def _pool_part(zips, n, tag) -> str:
 POOL = (f"{ADDR}, pool AS (SELECT * FROM {_pool_part(R.TARGET_ZIPS, 7000, 'TARGET')} t "
         f"UNION ALL SELECT * FROM {_pool_part(R.OTHER_ZIPS, 3000, 'OTHER')} o)")
 
-
-def _pick(values, u_seed: str, key: str = "address_id") -> str:
-    arr = "[" + ", ".join(S.q(v) for v in values) + "]"
-    idx = S.uniform_int(1, len(values), S.draw(key, u_seed))
-    return f"({arr})[CAST({idx} AS BIGINT) + 1]"
-
-
-def _year(key: str, seed: str) -> str:
-    arms = []
-    for i, (cut, lo, hi) in enumerate(EN.YEAR_BUCKETS):
-        arms.append(f"WHEN {S.uniform_int(1, 100, S.draw(key, f'{seed}-test{i}'))} <= {cut} "
-                    f"THEN {S.uniform_int(lo, hi, S.draw(key, f'{seed}-value{i}'))}")
-    lo, hi = EN.LAST_BUCKET
-    last = S.uniform_int(lo, hi, S.draw(key, f"{seed}-value{len(EN.YEAR_BUCKETS)}"))
-    return f"CAST(CASE {' '.join(arms)} ELSE {last} END AS INTEGER)"
-
-
-def _annual(key: str, seed: str) -> str:
-    u = S.draw(key, seed)
-    arms = []
-    for start, lo, hi, rate in EN.GIVING_BANDS:
-        arms.append(f"WHEN (2024 - graduation_year) >= {start} THEN CAST(round(CAST({S.uniform_int(lo, hi, u)} AS BIGINT) "
-                    f"* (1 + ((2024 - graduation_year) - {start}) * {rate}), 2) AS DECIMAL(10,2))")
-    lo, hi = EN.RECENT_BAND
-    return f"CASE {' '.join(arms)} ELSE CAST({S.uniform_int(lo, hi, u)} AS DECIMAL(10,2)) END"
-
-
-def enriched_sql(seed: str = R.SEED) -> str:
-    k = "address_id"
-    lo, hi = EN.CUMULATIVE_FACTOR
-    cum = (f"CAST(floor(((annual_donation_amount * greatest(1, 2024 - graduation_year)) * "
-           f"({S.d(lo)} + {S.draw(k, seed + '-cumulative')} * {S.d(hi - lo)})) * 100e0 + 0.5e0) / 100e0 AS DECIMAL(12,2))")
-    g0, g1 = EN.GIFT_WINDOW_DAYS
-    gift = f"(DATE '{EN.DEFAULT_AS_OF.isoformat()}' - CAST({S.uniform_int(g0, g1, S.draw(k, seed + '-gift'))} AS INTEGER))"
-    final = (
-        f"SELECT donor_id, first_name, last_name, full_name, email, address_id, street_address, city, state, zip_code, "
-        f"latitude, longitude, graduation_year, degree_type, major, age, annual_donation_amount, "
-        f"{cum} AS cumulative_donation_amount, {gift} AS last_donation_date, "
-        f"CASE WHEN annual_donation_amount >= 10000 THEN 'Major Donor' WHEN annual_donation_amount >= 1000 "
-        f"THEN 'Mid-Level Donor' ELSE 'Annual Donor' END AS donor_segment FROM ("
-        f"SELECT *, first_name || ' ' || last_name AS full_name, "
-        f"lower(first_name || '.' || last_name || '@{EN.EMAIL_DOMAIN}') AS email, "
-        f"2024 - graduation_year + 22 AS age, {_annual(k, seed + '-annual')} AS annual_donation_amount FROM ("
-        f"SELECT rn, 'DONOR_' || printf('%05d', rn) AS donor_id, {_pick(EN.FIRST_NAMES, seed + '-first')} AS first_name, "
-        f"{_pick(EN.LAST_NAMES, seed + '-last')} AS last_name, address_id, street_address, city, state, zip AS zip_code, "
-        f"latitude, longitude, {_year(k, seed + '-year')} AS graduation_year, "
-        f"{_pick(EN.DEGREE_TYPES, seed + '-degree')} AS degree_type, {_pick(EN.MAJORS, seed + '-major')} AS major "
-        f"FROM (SELECT *, row_number() OVER (ORDER BY {S.order_key(k, seed)}, {k}) AS rn FROM pool) n "
-        f"WHERE rn <= 10000) b) c")
-    return S.with_cells(final)
-
-
-def _money_double_cols(cols) -> str:
-    out = []
-    for c in cols:
-        if c in (A, C):
-            out.append(f"CAST({c} AS DOUBLE) AS {c}")
-        elif c == "last_donation_date":
-            out.append(f"CAST({c} AS VARCHAR) AS {c}")
-        else:
-            out.append(c)
-    return ", ".join(out)
-
-
-ENRICHED_COLS = ["donor_id", "first_name", "last_name", "full_name", "email", "address_id", "street_address", "city",
-                 "state", "zip_code", "latitude", "longitude", "graduation_year", "degree_type", "major", "age", A, C,
-                 "last_donation_date", "donor_segment", "hex_level_7", "hex_level_8", "hex_level_9"]
-ENR = f"WITH {POOL}, enriched AS ({enriched_sql()}) "
 ORACLE["address_pool"] = f"WITH {POOL} SELECT * FROM pool"
-ORACLE["number_rows"] = (f"WITH {POOL} SELECT address_id, row_number() OVER (ORDER BY "
-                         f"{S.order_key('address_id', R.SEED)}, address_id) AS rn FROM pool")
+_NUMBER = f"row_number() OVER (ORDER BY {S.order_key('address_id', 'donors')}, address_id)"
+ORACLE["number_rows"] = f"WITH {ADDR} SELECT address_id, {_NUMBER} AS rn FROM addresses"
 ORACLE["sample_n"] = (f"WITH {ADDR} SELECT address_id, zip FROM addresses WHERE latitude IS NOT NULL "
                       f"ORDER BY {S.order_key('address_id', 'sample')}, address_id LIMIT 100")
-ORACLE["donor_enrich"] = ENR + f"SELECT {_money_double_cols(ENRICHED_COLS)} FROM enriched"
-ORACLE["giving_bands"] = ENR + (f"SELECT {_money_double_cols(['donor_id', 'graduation_year', 'age', A, C, 'donor_segment'])} "
-                                f"FROM enriched")
-ORACLE["random_columns"] = ENR + "SELECT donor_id, first_name, last_name, degree_type, major, graduation_year FROM enriched"
-ORACLE["last_gift_date"] = ENR + "SELECT donor_id, CAST(last_donation_date AS VARCHAR) AS last_donation_date FROM enriched"
-ORACLE["pick_from_array"] = (f"WITH {ADDR} SELECT address_id, {_pick(EN.FIRST_NAMES, 'pick-first')} AS first_name, "
-                             f"{_pick(EN.MAJORS, 'pick-major')} AS major FROM addresses")
-_FN = "[" + ", ".join(S.q(v) for v in EN.FIRST_NAMES) + "]"
-_LN = "[" + ", ".join(S.q(v) for v in EN.LAST_NAMES) + "]"
-ORACLE["scalar_subquery"] = (
-    f"WITH {ADDR}, arrays AS (SELECT {_FN} AS first_names, {_LN} AS last_names) "
-    f"SELECT address_id, "
-    f"(SELECT first_names FROM arrays)[CAST({S.uniform_int(1, 60, S.draw('address_id', 'sq-first'))} AS BIGINT) + 1] AS first_name, "
-    f"(SELECT last_names FROM arrays)[CAST({S.uniform_int(1, 50, S.draw('address_id', 'sq-last'))} AS BIGINT) + 1] AS last_name "
-    f"FROM addresses")
+ORACLE["donor_enrich"] = (f"WITH {ADDR} SELECT 'DONOR_' || printf('%05d', {_NUMBER}) AS donor_id, address_id, "
+                          f"coalesce(street, '') || ' ' || coalesce(number, '') AS street_address, city, state, "
+                          f"zip AS zip_code, latitude, longitude FROM addresses")
+ORACLE["giving_bands"] = w(
+    f"SELECT donor_id, graduation_year, CAST(CASE WHEN 2024 - graduation_year >= 25 THEN 25 WHEN 2024 - graduation_year >= 15 "
+    f"THEN 15 WHEN 2024 - graduation_year >= 5 THEN 5 ELSE 0 END AS INTEGER) AS band_years, CAST(CASE "
+    + " ".join(f"WHEN 2024 - graduation_year >= {y} THEN round({A} * (1 + (2024 - graduation_year - {y}) * CAST({r} AS DECIMAL(3,2))), 2)"
+               for y, r in ((25, "0.02"), (15, "0.03"), (5, "0.05")))
+    + f" ELSE {A} END AS DOUBLE) AS grown_gift FROM donors")
+ORACLE["last_gift_date"] = w(
+    "SELECT donor_id, CAST(last_donation_date AS VARCHAR) AS last_donation_date, "
+    "CAST(DATE '2024-12-31' - last_donation_date AS INTEGER) AS days_since, "
+    "CAST(last_donation_date - 730 AS VARCHAR) AS two_years_before FROM donors")
+ORACLE["pick_from_array"] = (
+    f"WITH {ADDR}, parts AS (SELECT address_id, string_split(street, '#') AS p FROM addresses) "
+    f"SELECT address_id, p[1] AS first_part, p[2] AS second_part, p[3] AS third_part FROM parts")
+ORACLE["scalar_subquery"] = w(
+    f"SELECT donor_id, CAST({A} AS DOUBLE) / (SELECT CAST(max({A}) AS DOUBLE) FROM donors) AS share_of_largest FROM donors")
 
 # --- quality ----------------------------------------------------------------------
 _CELL_COLS = ("hex_level_7", "hex_level_8", "hex_level_9")
@@ -458,6 +416,19 @@ def _uniq(src: str, key: str) -> str:
 ORACLE["key_uniqueness"] = w(_uniq("donors", "donor_id"))
 ORACLE["venue_key_uniqueness"] = f"WITH {VEN} {_uniq('venues', 'venue_id')}"
 
+
+def _money_double_cols(cols) -> str:
+    out = []
+    for c in cols:
+        if c in (A, C):
+            out.append(f"CAST({c} AS DOUBLE) AS {c}")
+        elif c == "last_donation_date":
+            out.append(f"CAST({c} AS VARCHAR) AS {c}")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
 # --- sinks ------------------------------------------------------------------------
 ORACLE["ctas_roundtrip"] = ORACLE["donor_summary"]
 ORACLE["append_roundtrip"] = ORACLE["donor_summary"].replace(
@@ -490,13 +461,11 @@ def _report_sql() -> str:
                 (1, "06", f"'Average Cumulative Donation: ' || {money('mc')}")]
     L += [f"SELECT {s}, {S.q(k)}, {t} FROM head" for s, k, t in fromhead]
 
-    def table(section, title, key, grouped, digits=2):
-        rows = [f"SELECT {section}, '0', {S.q(title)}", f"SELECT {section}, '1', {S.q('-' * len(title))}",
-                f"SELECT {section}, '2', {S.q(key + ',donor_count,total_annual,avg_annual')}",
-                (f"SELECT {section}, '3:' || printf('%016d', 1000000000000000 - CAST(floor(total_annual * 100e0 + 0.5e0) AS BIGINT)) || ':' || {key}, "
-                 f"{key} || ',' || CAST(donor_count AS VARCHAR) || ',' || printf('%.2f', total_annual) || ',' || "
-                 f"printf('%.{digits}f', avg_annual) FROM ({grouped}) g")]
-        return rows
+    def table(section, title, key, grouped, digits=2, extra=()):
+        return [f"SELECT {section}, '0', {S.q(title)}", f"SELECT {section}, '1', {S.q('-' * len(title))}",
+                f"SELECT {section}, '2', {S.q(','.join([key, 'donor_count', 'total_annual', 'avg_annual', *extra]))}",
+                (f"SELECT {section}, '3', {key} || ',' || CAST(donor_count AS VARCHAR) || ',' || printf('%.2f', total_annual) || ',' || "
+                 f"printf('%.{digits}f', avg_annual)" + "".join(f" || ',' || printf('%.4f', {c})" for c in extra) + f" FROM ({grouped}) g")]
 
     L += table(2, "GEOGRAPHIC DISTRIBUTION", "zip_code",
                f"SELECT zip_code, {CSM} FROM filtered WHERE zip_code IS NOT NULL GROUP BY zip_code")
@@ -504,18 +473,16 @@ def _report_sql() -> str:
                f"SELECT donor_segment, {CSM} FROM filtered WHERE donor_segment IS NOT NULL GROUP BY donor_segment")
     L += table(4, "TOP 10 HEX CELLS BY TOTAL ANNUAL DONATIONS", "hex_cell",
                f"SELECT hex_level_8 AS hex_cell, count({A}) AS donor_count, {S.money_sum(A)} AS total_annual, "
-               f"{S.mean_half_up(A, 4)} AS avg_annual FROM filtered WHERE hex_level_8 IS NOT NULL GROUP BY hex_level_8 "
-               f"ORDER BY total_annual DESC, hex_cell LIMIT 10", 4)
+               f"{S.mean_half_up(A, 4)} AS avg_annual, {S.rounded(S.coord_mean('latitude'), 4)} AS center_lat, "
+               f"{S.rounded(S.coord_mean('longitude'), 4)} AS center_lon FROM filtered WHERE hex_level_8 IS NOT NULL GROUP BY hex_level_8 "
+               f"ORDER BY total_annual DESC, hex_cell LIMIT 10", 4, ("center_lat", "center_lon"))
     L += [f"SELECT 5, '0', 'INDIVIDUAL DONOR RECORDS'", f"SELECT 5, '1', {S.q('-' * 25)}",
           f"SELECT 5, '2', {S.q(','.join(DONOR_COLS))}"]
     cells = []
     for c in DONOR_COLS:
-        if c in ("latitude", "longitude"):
-            cells.append(f"coalesce(printf('%.6f', {c}), '')")
-        else:
-            cells.append(f"coalesce(CAST({c} AS VARCHAR), '')")
+        cells.append(f"coalesce(CAST({c} AS VARCHAR), '')")
     L.append(f"SELECT 5, '3:' || donor_id, concat_ws(',', {', '.join(cells)}) FROM filtered")
-    return w(" UNION ALL ".join(f"({x})" for x in L), cells=True, extra=f"{FILTERED}, {head}")
+    return w("SELECT text FROM (" + " UNION ALL ".join(f"({x})" for x in L) + ") lines", cells=True, extra=f"{FILTERED}, {head}")
 
 
 ORACLE["report_lines"] = _report_sql()

@@ -333,6 +333,9 @@ def _point_sizes(spark, sf):
 INTERN = governance.INTERN_ROLE
 ADMIN = "ACCOUNTADMIN"
 OTHER_ROLE = "PUBLIC"
+PLATFORM_ADMIN = governance.PLATFORM_ADMIN_ROLE
+ROLES = ("DATASCI", "SYSADMIN", "ACCOUNTADMIN", PLATFORM_ADMIN, "DATA_ANALYST", "SECURITY_ADMIN", INTERN,
+         "ACADEMIC_ADVISOR_MGR_ROLE", OTHER_ROLE)
 
 
 @query("mask_string")
@@ -342,8 +345,9 @@ def _mask_string(spark, sf):
 
 @query("mask_date")
 def _mask_date(spark, sf):
-    return donors(spark, sf).select(
-        "donor_id", governance.mask_date(F.col("last_donation_date"), "DATASCI").cast("string").alias("last_donation_date"))
+    shown = lambda role: governance.mask_date(F.col("last_donation_date"), role).cast("string")
+    return donors(spark, sf).select("donor_id", shown("DATASCI").alias("last_donation_date"),
+                                    shown("DATA_ANALYST").alias("shown_to_analyst"))
 
 
 @query("mask_number")
@@ -374,78 +378,81 @@ QUERIES["masked_donors_admin"] = _masked(ADMIN)
 QUERIES["row_access_intern"] = _row_access(INTERN)
 QUERIES["row_access_admin"] = _row_access(ADMIN)
 QUERIES["row_access_other"] = _row_access(OTHER_ROLE)
+QUERIES["masked_donors_platform_admin"] = _masked(PLATFORM_ADMIN)
 
 
-# --- enrichment -----------------------------------------------------------------
+@query("roles_clear")
+def _roles_clear(spark, sf):
+    """Per segment and role: what each mask shows of the first gift and the first name, and how many rows the role sees."""
+    d = donors(spark, sf)
+    out = None
+    for role in ROLES:
+        rows = governance.governed(d, role).groupBy("donor_segment").agg(
+            F.count("*").alias("rows"), F.min("full_name").alias("first_name"),
+            F.min(governance.mask_date(F.col("last_donation_date"), role)).cast("string").alias("first_date"),
+            F.min("annual_donation_amount").cast("double").alias("least_gift")).withColumn("role", F.lit(role))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-@T.memo
-def pool(spark, sf):
-    return enr.address_pool(T.addresses(spark, sf), TARGET_ZIPS, OTHER_ZIPS, 7000, 3000)
 
+# --- enrichment -----------------------------------------------------------------
 
-@T.memo
-def enriched(spark, sf):
-    return enr.donor_enrich(pool(spark, sf), 10000, SEED)
+def _addresses(spark, sf):
+    return T.addresses(spark, sf)
 
 
 @query("address_pool")
 def _address_pool(spark, sf):
-    return pool(spark, sf)
+    return enr.address_pool(_addresses(spark, sf), TARGET_ZIPS, OTHER_ZIPS, 7000, 3000)
 
 
 @query("number_rows")
 def _number_rows(spark, sf):
-    return number_rows(pool(spark, sf), "address_id", SEED).select("address_id", "rn")
+    """All addresses numbered in a repeatable random order."""
+    return number_rows(_addresses(spark, sf), "address_id", SEED).select("address_id", "rn")
 
 
 @query("sample_n")
 def _sample_n(spark, sf):
-    valid = T.addresses(spark, sf).where(F.col("latitude").isNotNull())
+    valid = _addresses(spark, sf).where(F.col("latitude").isNotNull())
     return sample_n(valid, 100, "address_id", "sample").select("address_id", "zip")
 
 
 @query("donor_enrich")
 def _donor_enrich(spark, sf):
-    return _money_double(enriched(spark, sf))
+    return enr.donor_enrich(_addresses(spark, sf), SEED)
 
 
 @query("giving_bands")
 def _giving_bands(spark, sf):
-    return _money_double(enriched(spark, sf).select("donor_id", "graduation_year", "age", "annual_donation_amount",
-                                                    "cumulative_donation_amount", "donor_segment"))
-
-
-@query("random_columns")
-def _random_columns(spark, sf):
-    return enriched(spark, sf).select("donor_id", "first_name", "last_name", "degree_type", "major", "graduation_year")
+    d, year = donors(spark, sf), F.col("graduation_year")
+    return d.select("donor_id", "graduation_year", enr.giving_band(year).alias("band_years"),
+                    enr.grown_gift(F.col("annual_donation_amount"), year).cast("double").alias("grown_gift"))
 
 
 @query("last_gift_date")
 def _last_gift_date(spark, sf):
-    return _money_double(enriched(spark, sf).select("donor_id", "last_donation_date"))
+    last = F.col("last_donation_date")
+    return donors(spark, sf).select(
+        "donor_id", last.cast("string").alias("last_donation_date"),
+        F.datediff(F.lit("2024-12-31").cast("date"), last).alias("days_since"),
+        F.date_sub(last, 730).cast("string").alias("two_years_before"))
 
 
 @query("pick_from_array")
 def _pick_from_array(spark, sf):
-    a = T.addresses(spark, sf)
-    key = F.col("address_id")
-    return a.select("address_id",
-                    enr.pick_1_to_n(enr.FIRST_NAMES, key, "pick-first").alias("first_name"),
-                    enr.pick_1_to_n(enr.MAJORS, key, "pick-major").alias("major"))
+    """Parts of the street text by zero-based index; null past the end."""
+    parts = F.split("street", "#")
+    return _addresses(spark, sf).select("address_id", enr.pick(parts, 0).alias("first_part"),
+                                        enr.pick(parts, 1).alias("second_part"), enr.pick(parts, 2).alias("third_part"))
 
 
 @query("scalar_subquery")
 def _scalar_subquery(spark, sf):
-    arrays = spark.createDataFrame([(list(enr.FIRST_NAMES), list(enr.LAST_NAMES))],
-                                   "first_names array<string>, last_names array<string>")
-    lists = arrays.select(F.struct("first_names", "last_names")).scalar()   # one subquery, run once
-    first_names, last_names = lists["first_names"], lists["last_names"]
-    key = F.col("address_id")
-    from hexgiving.functions.draws import uniform_int, unit_draw
-    return T.addresses(spark, sf).select(
-        "address_id",
-        F.get(first_names, uniform_int(1, 60, unit_draw(key, "sq-first")).cast("int")).alias("first_name"),
-        F.get(last_names, uniform_int(1, 50, unit_draw(key, "sq-last")).cast("int")).alias("last_name"))
+    """Each gift's share of the largest one."""
+    d = donors(spark, sf)
+    largest = d.select(F.max("annual_donation_amount").cast("double")).scalar()
+    return d.select("donor_id", (F.col("annual_donation_amount").cast("double") / largest).alias("share_of_largest"))
 
 
 # --- quality ----------------------------------------------------------------------
@@ -477,7 +484,7 @@ def _venue_key_uniqueness(spark, sf):
 
 
 # --- sinks ------------------------------------------------------------------------
-from hexgiving.session import partitions_for, shared_dir  # noqa: E402
+from hexgiving.session import shared_dir  # noqa: E402
 from hexgiving.sinks import export  # noqa: E402
 
 REPORT_TIME = "2024-12-31 00:00:00"
@@ -506,27 +513,25 @@ def _export_complete(spark, sf):
 
 @query("report_lines")
 def _report_lines(spark, sf):
-    lines = export.report_lines(filtered(spark, sf), REPORT_TIME)
+    """The report written as text in reading order, and its lines read back."""
     path = shared_dir(spark, "report")
-    export.write_report(lines, path)
-    return lines
+    export.write_report(export.report_lines(filtered(spark, sf), REPORT_TIME), path)
+    return export.read_report(spark, path)
 
 
 # --- streaming ----------------------------------------------------------------------
 
 @query("summary_stream")
 def _summary_stream(spark, sf):
-    """Donor rows land as files (four, split by a hash of the donor id, read
-    two per trigger); the streaming refresh keeps the summary current in its
-    state; the result is the published table."""
+    """Donor rows land as files, read two per trigger; the streaming refresh
+    keeps the summary current in its state; the result is the published table."""
     from hexgiving.streaming.refresh import start_summary_refresh
     base = shared_dir(spark, "stream")
     src = f"{base}/donors"
     d = donors(spark, sf).select(*T.donors(spark, sf).columns)   # rows as they arrive, no cells
-    d.repartition(4, "donor_id").write.parquet(src)
+    d.write.parquet(src)
     q = start_summary_refresh(spark, src, d.schema, f"{base}/summary", f"{base}/_checkpoint",
-                              available_now=True, max_files_per_trigger=2,
-                              state_partitions=partitions_for(d))
+                              available_now=True, max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/summary")
 
@@ -555,7 +560,7 @@ def _sql_zip_view(spark, sf):
 def _partitioned_filter_zip(spark, sf):
     """Donor table written once partitioned by zip, read back with a zip
     filter: only the matching partitions are scanned."""
-    table = export.write_donor_table(T.donors(spark, sf), shared_dir(spark, "donor-table"), files_per_key=4)
+    table = export.write_donor_table(T.donors(spark, sf), shared_dir(spark, "donor-table"))
     return (filters.apply_filters(table, zip_codes=ZIPS)
             .select("donor_id", "zip_code", "donor_segment",
                     F.col("annual_donation_amount").cast("double").alias("annual_donation_amount")))

@@ -7,7 +7,8 @@ runs under ``spark-submit`` on a cluster and in ``local[N]`` tests.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,25 +30,35 @@ DEFAULTS = {
 }
 
 
+# Launch-time settings that only a local run made here (``master`` given) adds.
+LOCAL_RUN = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "hexgiving", extra: dict | None = None) -> SparkSession:
-    """Return the active session, or build one with the library defaults.
+              app_name: str | None = None, extra: dict | None = None) -> SparkSession:
+    """Return the active session, or build one.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` (8 when unset); on a
-    cluster pass nothing and let ``spark-submit`` decide.
+    Only what the caller passes is fixed here. On a cluster pass nothing:
+    master, memory and every ``spark.*`` value come from the submitter, and
+    the library's ``DEFAULTS`` are set at run time only where the submitter
+    left them unset.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
-    conf = dict(DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("HEXGIVING_DRIVER_MEMORY", "8g")
-    conf.update(extra or {})
-    for key, value in conf.items():
+    conf = {"spark.app.name": app_name} if app_name else {}
+    if master:
+        conf |= {"spark.master": master} | LOCAL_RUN
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    builder = SparkSession.builder
+    for key, value in (conf | (extra or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if key.startswith("spark.sql.") and not given.contains(key):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -69,6 +80,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder on storage shared by all executors")
         configured = tempfile.mkdtemp(prefix="hexgiving-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -78,38 +90,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/hexgiving/{name}-{uuid.uuid4().hex[:12]}"
-
-
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def input_bytes(df) -> int | None:
-    """Bytes the plan scans: the sum of its leaf relations' sizes (file
-    sizes for parquet). ``None`` when a leaf has no known size. The root
-    estimate is not used: without cost-based statistics Catalyst bounds a
-    join by the product of its inputs."""
-    try:    # no public Python API for plan statistics
-        unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        total = 0
-        while leaves.hasNext():
-            size = int(str(leaves.next().stats().sizeInBytes()))
-            if size >= unknown:
-                return None
-            total += size
-        return total
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
-    """Partition (or file) count for ``df``: about ``target_bytes`` of
-    scanned input each, at least one per core, at most
-    ``spark.sql.shuffle.partitions`` (the cluster's sizing)."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    cap = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    est = input_bytes(df)
-    if est is None:
-        return cap
-    return max(cores, min(cap, -(-est // target_bytes)))

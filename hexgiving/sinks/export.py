@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
 from hexgiving.operators import hexmap, rollups
-from hexgiving.session import checkpoint_root, partitions_for
+from hexgiving.session import checkpoint_root
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -32,30 +32,39 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 def append_with_defaults(df: DataFrame, location: str, created_col: str = "created_date",
                          table: str | None = None) -> DataFrame:
     """Append rows by explicit column list into a table whose load-time
-    column is filled by its ``DEFAULT current_timestamp()``.
+    column is filled by its ``DEFAULT current_timestamp()``; returns a reader of its files.
 
-    The table is created (empty) on first use; later calls append again.
+    A named table is created (empty) on first use and stays, so later calls
+    append again. Without a name the catalog entry goes after the insert and
+    the files stay.
     """
     spark = df.sparkSession
-    table = table or f"hexgiving_append_{uuid.uuid4().hex[:10]}"
+    name = table or f"hexgiving_append_{uuid.uuid4().hex[:10]}"
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}, {created_col} TIMESTAMP DEFAULT current_timestamp()) "
-              f"USING parquet LOCATION '{location}'")
-    view = f"_src_{uuid.uuid4().hex[:10]}"
-    df.createOrReplaceTempView(view)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:name) ({cols}, `{created_col}` TIMESTAMP DEFAULT current_timestamp()) "
+              f"USING parquet LOCATION '{location.replace(chr(39), chr(92) + chr(39))}'", {"name": name})
     names = ", ".join(f"`{c}`" for c in df.columns)
-    spark.sql(f"INSERT INTO {table} ({names}) SELECT {names} FROM {view}")
-    spark.catalog.dropTempView(view)
-    return spark.table(table)
+    spark.sql(f"INSERT INTO IDENTIFIER(:name) ({names}) SELECT {names} FROM {{rows}}", {"name": name}, rows=df)
+    if table:
+        return spark.table(name)
+    schema = spark.table(name).schema
+    spark.sql("DROP TABLE IDENTIFIER(:name)", {"name": name})
+    return spark.read.schema(schema).parquet(location)
+
+
+# Quotes are doubled; white space, empty text and nulls survive the round trip.
+CSV_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+               "emptyValue": '""', "nullValue": ""}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Headered CSV, no index, one file per task."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Headered CSV, no index, one file per task; quotes inside a field are doubled."""
+    df.write.mode("overwrite").option("header", True).options(**CSV_QUOTING).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return (spark.read.option("header", True).option("multiLine", True).options(**CSV_QUOTING)
+            .schema(schema).csv(path))
 
 
 def csv_roundtrip(df: DataFrame, path: str) -> DataFrame:
@@ -66,7 +75,7 @@ def csv_roundtrip(df: DataFrame, path: str) -> DataFrame:
 
 # --- text report -----------------------------------------------------------------
 
-INVERT_CENTS = 10 ** 15
+INVERT_CENTS = "9" * 37      # any DECIMAL(38) total in cents, inverted, keeps its order as text
 # Tables written once and scanned by every query are stored with zstd:
 # about a quarter smaller than the default snappy, so less I/O per scan.
 STORED_CODEC = "zstd"
@@ -118,21 +127,23 @@ def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level
         _line(1, "06", F.concat(F.lit("Average Cumulative Donation: "), _money(F.col("mc")))),
     )).alias("l")).select("l.*")
 
-    def table(section: int, title: str, df: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    def table(section: int, title: str, df: DataFrame, key: str, digits: int = 2, by_total: bool = True,
+              extra: Sequence[str] = ()) -> DataFrame:
         title_rows = df.sparkSession.range(1).select(F.explode(F.array(
             _line(section, "0", F.lit(title)),
             _line(section, "1", F.lit("-" * len(title))),
-            _line(section, "2", F.lit(f"{key},donor_count,total_annual,avg_annual")),
+            _line(section, "2", F.lit(",".join([key, "donor_count", "total_annual", "avg_annual", *extra]))),
         )).alias("l")).select("l.*")
         # Sort key: inverted cents (fixed width) then the group key, so text
         # order is total descending, key ascending, with no global window.
-        cents = F.floor(F.col("total_annual") * F.lit(100.0) + F.lit(0.5)).cast("long")
-        order_key = F.concat(F.lit("3:"), F.format_string("%016d", F.lit(INVERT_CENTS) - cents),
-                             F.lit(":"), F.col(key))
+        cents = F.floor(F.col("total_annual").cast("decimal(35,2)") * F.lit(100)).cast("decimal(37,0)")
+        inverted = F.lpad((F.lit(INVERT_CENTS).cast("decimal(37,0)") - cents).cast("string"), 37, "0")
+        order_key = F.concat(F.lit("3:"), inverted, F.lit(":"), F.col(key)) if by_total else F.concat(F.lit("3:"), F.col(key))
         body = df.select(F.lit(section).alias("section"), order_key.alias("line_key"),
-                         F.concat_ws(",", F.col(key), F.col("donor_count").cast("string"),
+                         F.concat_ws(",", quoted(F.col(key)), F.col("donor_count").cast("string"),
                                      F.format_string("%.2f", F.col("total_annual")),
-                                     F.format_string(f"%.{digits}f", F.col("avg_annual"))).alias("text"))
+                                     F.format_string(f"%.{digits}f", F.col("avg_annual")),
+                                     *(F.format_string("%.4f", F.col(c)) for c in extra)).alias("text"))
         return title_rows.unionByName(body)
 
     zips = rollups.report_zip(filtered)
@@ -146,43 +157,41 @@ def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level
     )).alias("l")).select("l.*")
     rec_body = filtered.select(
         F.lit(5).alias("section"), F.concat(F.lit("3:"), F.col("donor_id")).alias("line_key"),
-        F.concat_ws(",", *[_csv_cell(filtered, c) for c in cols]).alias("text"))
+        F.concat_ws(",", *[quoted(F.col(c).cast("string")) for c in cols]).alias("text"))
     return (header.unionByName(table(2, "GEOGRAPHIC DISTRIBUTION", zips, "zip_code"))
-            .unionByName(table(3, "DONOR SEGMENTS", segs, "donor_segment"))
-            .unionByName(table(4, "TOP 10 HEX CELLS BY TOTAL ANNUAL DONATIONS", cells, "hex_cell", 4))
+            .unionByName(table(3, "DONOR SEGMENTS", segs, "donor_segment", by_total=False))
+            .unionByName(table(4, "TOP 10 HEX CELLS BY TOTAL ANNUAL DONATIONS", cells, "hex_cell", 4,
+                               extra=("center_lat", "center_lon")))
             .unionByName(rec_title).unionByName(rec_body))
 
 
-def _csv_cell(df: DataFrame, c: str) -> F.Column:
-    """Text of one CSV field: doubles with 6 decimals, null as empty."""
-    dtype = dict(df.dtypes)[c]
-    col = F.col(c)
-    if dtype in ("double", "float"):
-        text = F.when(col.isNotNull(), F.format_string("%.6f", col))
-    else:
-        text = col.cast("string")
-    return F.coalesce(text, F.lit(""))
+def quoted(text) -> F.Column:
+    """One CSV field: null as empty; in quotes, with quotes doubled, if it holds a comma, a quote or a line end."""
+    return F.coalesce(F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')))
+                      .otherwise(text), F.lit(""))
 
 
 def write_report(lines: DataFrame, path: str) -> None:
     """Write the report text in reading order as a multi-part text dataset."""
-    (lines.repartitionByRange(partitions_for(lines), "section", "line_key")
-     .sortWithinPartitions("section", "line_key")
+    (lines.repartitionByRange("section", "line_key").sortWithinPartitions("section", "line_key")
      .select("text").write.mode("overwrite").text(path))
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The report's lines as written (a record with a line end spans several)."""
+    return spark.read.text(path).withColumnRenamed("value", "text")
+
+
 def write_donor_table(donors: DataFrame, path: str, partition_by: str = "zip_code",
-                      files_per_key: int = 16, max_records_per_file: int = 5_000_000) -> DataFrame:
+                      max_records_per_file: int = 5_000_000) -> DataFrame:
     """Materialise the donor table once, partitioned by ``partition_by``.
 
     Readers filtering on that column then skip other partitions entirely
-    (``PartitionFilters`` in the plan). Rows are spread over
-    ``files_per_key`` writer tasks per key by a hash salt, so a zip holding a
-    third of all donors is written by many tasks, not one; files are capped
-    at ``max_records_per_file`` rows.
+    (``PartitionFilters`` in the plan). ``rebalance`` gathers the rows of a
+    key in few tasks and lets AQE split a key that holds a third of all rows
+    into many; files are capped at ``max_records_per_file`` rows.
     """
-    salt = F.pmod(F.xxhash64("donor_id"), F.lit(files_per_key))
-    (donors.repartition(F.col(partition_by), salt)
+    (donors.hint("rebalance", partition_by)
      .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
      .option("compression", STORED_CODEC)
      .partitionBy(partition_by).parquet(path))
@@ -191,25 +200,15 @@ def write_donor_table(donors: DataFrame, path: str, partition_by: str = "zip_cod
     return donors.sparkSession.read.schema(donors.schema).parquet(path).select(*donors.columns)
 
 
-def write_clustered(df: DataFrame, path: str, cluster_by: str = "zip_code", tiebreak: str = "donor_id",
-                    num_files: int | None = None) -> DataFrame:
-    """Write ``df`` as balanced files, each sorted by ``cluster_by``.
+def write_clustered(df: DataFrame, path: str, cluster_by: str = "zip_code", tiebreak: str = "donor_id") -> DataFrame:
+    """Write ``df`` in one pass as balanced files, each sorted by ``cluster_by``.
 
     Inside a file rows are sorted by the key, so each row group covers a
     narrow key range and filters on it skip row groups through parquet
-    statistics. When the plan already has at least ``num_files`` partitions
-    (the usual case on a cluster, where scans and shuffled joins are split
-    into many balanced tasks, skew split by AQE) the files follow them and no
-    shuffle is added. Only when it has fewer (one input split, as with small
-    local files) are rows hash-partitioned on (``cluster_by``, ``tiebreak``)
-    into ``num_files`` parts; the tiebreak spreads a key holding a third of
-    all rows over every part. ``num_files`` defaults to
-    ``partitions_for(df)`` (about 64 MB of input per file).
+    statistics. ``rebalance`` on the key sizes the files from the rows
+    themselves: AQE merges small partitions and splits one whose key holds a
+    third of all rows.
     """
-    spark = df.sparkSession
-    n = num_files or partitions_for(df)
-    if df.rdd.getNumPartitions() < n:
-        df = df.repartition(n, F.col(cluster_by), F.col(tiebreak))
-    (df.sortWithinPartitions(cluster_by, tiebreak).write.mode("overwrite")
+    (df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by, tiebreak).write.mode("overwrite")
      .option("compression", STORED_CODEC).parquet(path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,3 @@
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from hexgiving.operators import enrich as enr
@@ -14,10 +12,14 @@ def test_number_rows_is_1_to_n_and_partition_independent(spark):
     assert a == b
 
 
-def test_number_rows_plan_has_no_single_partition_window(spark):
+def test_number_rows_spreads_and_windows_only_the_counts(spark):
     df = spark.range(0, 1000).select(F.col("id").cast("string").alias("key"))
-    plan = number_rows(df, "key", 1, num_partitions=4)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan.lower() or "LogicalRDD" in plan or "Scan ExistingRDD" in plan
+    out = number_rows(df, "key", 1, num_partitions=4)
+    per_task = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(per_task) == 4 and max(per_task) < 500
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "Aggregate [_pid" in window       # what the one-task window reads: one row per partition
 
 
 def test_sample_n_repeatable_and_exact_size(spark):
@@ -33,57 +35,30 @@ def test_street_address_nulls(spark):
     assert out == ["Main 5", " 5", "Main ", " "]
 
 
-def test_pick_one_to_n_zero_based(spark):
-    # index drawn from 1..n into a zero-based list: element 0 never, n → null
-    df = spark.range(0, 3000).select(F.col("id").cast("string").alias("k"))
-    picks = [r[0] for r in df.select(enr.pick_1_to_n(["a", "b", "c"], F.col("k"), "t")).collect()]
-    assert "a" not in picks and None in picks and {"b", "c"} <= set(picks)
-
-
-def test_enrichment_ranges(spark):
-    pool = spark.range(1, 800).select(
-        F.concat(F.lit("A"), F.col("id").cast("string")).alias("address_id"), F.lit("City").alias("city"),
-        F.lit("SC").alias("state"), F.lit("29601").alias("zip"), F.lit(34.8).alias("latitude"),
-        F.lit(-82.4).alias("longitude"), F.lit("1 Main").alias("street_address"), F.lit("TARGET").alias("address_type"))
-    d = enr.donor_enrich(pool, n_donors=500, seed="t", as_of=dt.date(2024, 12, 31))
-    rows = d.collect()
-    assert len(rows) == 500 and len({r.donor_id for r in rows}) == 500
-    assert sorted(r.donor_id for r in rows)[0] == "DONOR_00001"
-    for r in rows:
-        assert 1990 <= r.graduation_year <= 2024
-        assert r.age == 2024 - r.graduation_year + 22
-        assert dt.date(2023, 1, 1) <= r.last_donation_date <= dt.date(2024, 12, 30)
-        yo = 2024 - r.graduation_year
-        a = float(r.annual_donation_amount)
-        if yo < 5:
-            assert 25 <= a <= 2500
-        elif yo < 15:
-            assert 100 <= a <= 10000 * (1 + (yo - 5) * 0.05)
-        seg = "Major Donor" if a >= 10000 else "Mid-Level Donor" if a >= 1000 else "Annual Donor"
-        assert r.donor_segment == seg
-        c = float(r.cumulative_donation_amount)
-        assert 0.8 * a * max(1, yo) - 0.01 <= c <= 1.5 * a * max(1, yo) + 0.01
-        assert r.hex_level_8.startswith("hx8:")
-
-
-def test_sample_n_large_quota_path_matches_top_k(spark, monkeypatch):
-    from hexgiving.operators import numbering
+def test_pick_is_zero_based_and_null_past_the_end(spark):
+    df = spark.createDataFrame([(["a", "b"], 0), (["a", "b"], 1), (["a", "b"], 2), (None, 0)], "v array<string>, i int")
+    assert [r[0] for r in df.select(enr.pick(F.col("v"), F.col("i"))).collect()] == ["a", "b", None, None]
+
+
+def test_sample_n_is_the_head_of_the_numbering(spark):
     df = spark.range(0, 3000).select(F.col("id").cast("string").alias("key"))
-    small = {r.key for r in sample_n(df, 700, "key", "q").collect()}
-    monkeypatch.setattr(numbering, "TOP_K_MAX", 10)
-    large = {r.key for r in numbering.sample_n(df, 700, "key", "q").collect()}
-    assert len(large) == 700 and large == small
-
-
-def test_enrichment_independent_of_partitioning(spark):
-    pool = spark.range(1, 400).select(
-        F.concat(F.lit("A"), F.col("id").cast("string")).alias("address_id"), F.lit("City").alias("city"),
-        F.lit("SC").alias("state"), F.lit("29601").alias("zip"), (F.lit(34.6) + F.col("id") / 1000.0).alias("latitude"),
-        F.lit(-82.4).alias("longitude"), F.lit("1 Main").alias("street_address"), F.lit("TARGET").alias("address_type"))
-    a = enr.donor_enrich(pool.repartition(1), n_donors=300, seed="p")
-    b = enr.donor_enrich(pool.repartition(7), n_donors=300, seed="p")
-    key = lambda r: r.donor_id
-    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
+    numbered = {r.key for r in number_rows(df, "key", "q").where("rn <= 700").collect()}
+    assert {r.key for r in sample_n(df, 700, "key", "q").collect()} == numbered
+    assert sample_n(df, 5000, "key", "q").count() == 3000 and sample_n(df.where("key = ''"), 5, "key").count() == 0
+
+
+def test_giving_bands(spark):
+    df = spark.createDataFrame([(1999,), (2000,), (2009,), (2010,), (2019,), (2020,), (1990,), (None,)], "y int").select(
+        "y", F.lit("100.00").cast("decimal(10,2)").alias("a"))
+    r = df.select(enr.giving_band(F.col("y")), enr.grown_gift(F.col("a"), F.col("y")).cast("double")).collect()
+    assert [tuple(x) for x in r] == [(25, 100.0), (15, 127.0), (15, 100.0), (5, 145.0), (5, 100.0), (0, 100.0), (25, 118.0), (None, 100.0)]
+
+
+def test_donor_ids_independent_of_partitioning(spark):
+    from hexgiving.sources import tables as T
+    addr = T.addresses(spark, "/root/testdata/sf0.001")
+    a, b = ({r.address_id: r.donor_id for r in enr.donor_enrich(addr.repartition(n)).collect()} for n in (1, 7))
+    assert a == b and sorted(a.values())[0] == "DONOR_00001" and len(set(a.values())) == addr.count()
 
 
 def test_address_pool_quotas_bind_exactly(spark):

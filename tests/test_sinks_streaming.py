@@ -18,7 +18,7 @@ def rows(df):
 
 def test_partitioned_table_prunes_partitions(spark, tmp_path):
     donors = T.donors(spark, SF)
-    table = export.write_donor_table(donors, str(tmp_path / "t"), files_per_key=3)
+    table = export.write_donor_table(donors, str(tmp_path / "t"))
     assert dict(table.dtypes)["zip_code"] == "string"
     q = table.where(F.col("zip_code").isin("29601", "29605"))
     plan = q._jdf.queryExecution().executedPlan().toString()
