@@ -44,7 +44,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.pattern, self.lower = self._words(kind["normalizer"], kind["pre_tokenizer"])
-        self.cache, self.word_cache = WordCache(self._chunk), WordCache(self._word, 50_000)
+        self.cache, self.word_cache = WordCache(self._chunk, 400_000), WordCache(self._word, 50_000)
 
     @staticmethod
     def _words(normal: dict | None, split: dict | None):
@@ -62,15 +62,21 @@ class Encoder:
         return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(ALPHABET)
+        # the alphabet shows letters as themselves
+        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(ALPHABET)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not LATIN.fullmatch(chunk):
-            return self.whole(chunk)
+        if not chunk.isascii():
+            if not LATIN.fullmatch(chunk):
+                return self.whole(chunk)
+            if self.lower:
+                chunk = unicodedata.normalize("NFC", chunk)
         if self.lower:
-            chunk = unicodedata.normalize("NFC", chunk).lower()
-        words = [chunk] if not self.lower and chunk[1:].isalpha() and chunk[0] == " " else self.pattern.findall(chunk)
+            chunk = chunk.lower()
+        if chunk[0] == " " and chunk[1:].isalpha():
+            return self._word(chunk[1:] if self.lower else chunk)
+        words = self.pattern.findall(chunk)
         return b"".join([self._word(w) if len(w) > 3 else self.word_cache[w] for w in words])
 
     def _text(self, text: str | None) -> bytes:
