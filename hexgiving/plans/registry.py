@@ -525,7 +525,7 @@ def _report_lines(spark, sf):
 def _summary_stream(spark, sf):
     """Donor rows land as files, read two per trigger; the streaming refresh
     keeps the summary current in its state; the result is the published table."""
-    from hexgiving.streaming.refresh import start_summary_refresh
+    from hexgiving.streaming.refresh import read_summary, start_summary_refresh
     base = shared_dir(spark, "stream")
     src = f"{base}/donors"
     d = donors(spark, sf).select(*T.donors(spark, sf).columns)   # rows as they arrive, no cells
@@ -533,7 +533,7 @@ def _summary_stream(spark, sf):
     q = start_summary_refresh(spark, src, d.schema, f"{base}/summary", f"{base}/_checkpoint",
                               available_now=True, max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/summary")
+    return read_summary(spark, f"{base}/summary")
 
 
 # --- inline values, views and bound SQL ------------------------------------------------

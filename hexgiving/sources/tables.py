@@ -59,8 +59,8 @@ _PLANS: dict[tuple, DataFrame] = {}
 def memo(fn):
     """Reuse the adapter's plan object per (session, folder).
 
-    Only the lazy plan is kept (no data is cached), which saves rebuilding
-    the same projections for every query of a session.
+    The plan is kept, which saves rebuilding the same projections for every
+    query of a session; for ``donor_table`` that plan reads the written files.
     """
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir)
@@ -153,20 +153,36 @@ def _written(spark: SparkSession, path: str) -> bool:
     return bool(marker.getFileSystem(conf).exists(marker))
 
 
+ADAPTER_VERSION = 2     # raise when the donor rows' derivation changes
+
+
+def source_version(spark: SparkSession, sf_dir: str) -> str:
+    """Hash of the adapter version and of the source files' paths, sizes and times (file contents are not read)."""
+    files = None
+    for name in ("orders", "customer"):
+        f = (spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/{name}.parquet")
+             .select("path", "length", "modificationTime"))
+        files = f if files is None else files.unionByName(f)
+    seen = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return hashlib.sha1(f"{ADAPTER_VERSION}|{sf_dir.rstrip('/')}|{tuple(seen)}".encode()).hexdigest()[:12]
+
+
 @memo
 def donor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The donor table with its cell columns, computed once.
 
     Like the stored donor table of the data model: the join, derivations
-    and cells are computed once, hash-partitioned by (zip, donor id) only if
-    the plan has too few partitions, each file sorted by zip; every query
-    reads that table in parallel: column pruning reads only what a query
+    and cells are computed once, rebalanced on the zip, each file sorted by
+    zip; every query reads that table in parallel: column pruning reads only what a query
     uses and filters are pushed into the parquet scan, skipping row groups
     by their statistics.
 
     Where it is written: under ``hexgiving.donor_table_path`` when set (one
-    folder per source, reused by every later session once its write has
-    completed), else in the session's shared checkpoint folder.
+    folder per ``source_version``, reused by every later session once its
+    write has completed; changed source files or a changed derivation get a
+    new one), else in the session's shared checkpoint folder. Within a
+    session the first answer is kept per folder, so the load is one job that
+    the first donor query starts.
     ``sinks.export.write_donor_table`` writes the zip-partitioned variant.
     Set ``hexgiving.materialize_donors=false`` to plan every query from the
     source tables instead.
@@ -177,7 +193,7 @@ def donor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = donors_with_cells(spark, sf_dir)
     base = spark.conf.get(PATH_SETTING, "") or ""
     if base:
-        location = f"{base.rstrip('/')}/donors-{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()[:12]}"
+        location = f"{base.rstrip('/')}/donors-{source_version(spark, sf_dir)}"
         if _written(spark, location):
             return spark.read.schema(df.schema).parquet(location)
     else:

@@ -5,9 +5,10 @@ re-running the whole summary, a Structured Streaming query reads new donor
 files as they land, adds the cell columns (a narrow projection), and keeps
 the summary aggregate in state: one state row per (zip, cell, cell, cell)
 group, however many donors arrive. Every micro-batch writes the complete
-summary to the sink folder; the stream's checkpoint (offsets and state)
-lives in shared storage, so a restarted driver or lost executor resumes
-where it stopped.
+summary to a folder of its own under the sink; readers take the newest one
+that is complete (``read_summary``), so none sees a table half written or
+gone. The stream's checkpoint (offsets and state) lives in shared storage,
+so a restarted driver or lost executor resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -30,19 +31,45 @@ def summary_of_stream(spark: SparkSession, source_dir: str, schema: StructType,
     return rollups.donor_summary(with_cells(stream))
 
 
+KEPT_VERSIONS = 2
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _versions(spark: SparkSession, sink_dir: str) -> list[str]:
+    """Complete versions (their write has put its marker), oldest first."""
+    fs, path = _folder(spark, sink_dir)
+    names = [f.getPath().getName() for f in fs.listStatus(path(sink_dir))] if fs.exists(path(sink_dir)) else []
+    return sorted(n for n in names if n.startswith("v") and fs.exists(path(f"{sink_dir}/{n}/_SUCCESS")))
+
+
+def read_summary(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The newest complete summary under ``sink_dir``."""
+    versions = _versions(spark, sink_dir)
+    if not versions:
+        raise FileNotFoundError(f"no summary has been published under {sink_dir}")
+    return spark.read.parquet(f"{sink_dir}/{versions[-1]}")
+
+
 def start_summary_refresh(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
                           checkpoint_dir: str, available_now: bool = False,
                           interval: str = "10 minutes", max_files_per_trigger: int | None = None,
                           state_partitions: int | None = None) -> StreamingQuery:
-    """Start the refresh: each micro-batch overwrites ``sink_dir`` with the
-    complete, current summary.
+    """Start the refresh: each micro-batch publishes the complete, current
+    summary as the next version under ``sink_dir``; the last two stay.
 
     ``state_partitions`` fixes the number of state-store partitions of the
     aggregation (read once, at the first start, and kept in the checkpoint);
     by default the session's ``spark.sql.shuffle.partitions``.
     """
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/v{batch_id:020d}")     # a retried batch repeats its own
+        fs, path = _folder(spark, sink_dir)
+        for old in _versions(spark, sink_dir)[:-KEPT_VERSIONS]:
+            fs.delete(path(f"{sink_dir}/{old}"), True)
 
     writer = (summary_of_stream(spark, source_dir, schema, max_files_per_trigger).writeStream
               .outputMode("complete").option("checkpointLocation", checkpoint_dir)

@@ -50,3 +50,13 @@ def test_append_leaves_no_catalog_entry(spark, tmp_path):
     out = export.append_with_defaults(df, f"{tmp_path}/append's")
     assert [r["i"] for r in out.where("created_date IS NOT NULL").collect()] == [1]
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_changed_source_files_get_a_new_donor_table(spark, tmp_path):
+    from hexgiving.sources import tables as T
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/sf/{name}.parquet")
+    first = T.source_version(spark, f"{tmp_path}/sf")
+    assert first == T.source_version(spark, f"{tmp_path}/sf/")
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(10).write.mode("append").parquet(f"{tmp_path}/sf/orders.parquet")
+    assert T.source_version(spark, f"{tmp_path}/sf") != first

@@ -7,7 +7,7 @@ from hexgiving.plans.dashboard import dashboard_tables
 from hexgiving.sinks import export
 from hexgiving.sources import tables as T
 from hexgiving.sources.views import register_views, sql
-from hexgiving.streaming.refresh import start_summary_refresh
+from hexgiving.streaming.refresh import read_summary, start_summary_refresh
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,7 +67,7 @@ def test_streaming_refresh_equals_batch_summary(spark, tmp_path):
     q = start_summary_refresh(spark, src, donors.schema, str(tmp_path / "sink"), str(tmp_path / "ckpt"),
                               available_now=True, max_files_per_trigger=1)
     q.awaitTermination()
-    streamed = spark.read.parquet(str(tmp_path / "sink"))
+    streamed = read_summary(spark, str(tmp_path / "sink"))
     batch = rollups.donor_summary(T.donors_with_cells(spark, SF))
     assert rows(streamed) == rows(batch.select(*streamed.columns))
 
@@ -92,7 +92,7 @@ def test_streaming_refresh_resumes_from_checkpoint(spark, tmp_path):
     start_summary_refresh(spark, src, donors.schema, sink, ckpt, available_now=True).awaitTermination()
     rest.write.mode("append").parquet(src)
     start_summary_refresh(spark, src, donors.schema, sink, ckpt, available_now=True).awaitTermination()
-    streamed = spark.read.parquet(sink)
+    streamed = read_summary(spark, sink)
     batch = rollups.donor_summary(T.donors_with_cells(spark, SF))
     assert rows(streamed) == rows(batch.select(*streamed.columns))
 
