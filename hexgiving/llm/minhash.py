@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from hexgiving.llm.components import connected_components
 BANDS, ROWS = 50, 5     # a pair at similarity 0.8 shares no band with probability 2.3e-9
 ESTIMATE_SLACK = 0.16   # over six standard deviations of the 250-minima estimate at 0.8
 SEED = 20240229
+BLOCK = 256, 1024       # visitors and members that one block of the remainder compares
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -120,18 +122,35 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every left with every right set, through the left sets' sorted elements."""
+    elements = np.concatenate(left)
+    owner = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for j, r in enumerate(right):
+        lo, hi = np.searchsorted(elements, r, "left"), np.searchsorted(elements, r, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        out[:, j] = np.bincount(owner[at], minlength=len(left))
+    return out
+
+
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (id, c) of different components that can reach ``percent``.
-
-    Exact filters. Prefix: with shingles ordered from rare to common, two
-    sets at or above the threshold share one among the first
-    ``size - ceil(percent * size / 100) + 1`` of each. A shingle that many
-    sets have there is mostly one component's; only members of the others
-    are compared with all. Own shingles: those of one set alone are in no
-    intersection, which bounds the similarity of each pair before it is made.
+    """Links between members (id, c) of different components, by an exact prefix filter.
+
+    With shingles ordered from rare to common, two sets at or above the
+    threshold share one among the first ``size - ceil(percent * size / 100)
+    + 1`` of each. A shingle that many sets have there is mostly one
+    component's (its home); members of other components that have it there
+    are that home's visitors. So a link joins a visitor with a home member or
+    another visitor. Those are counted against each other in blocks of
+    bounded size, and only links leave a block.
     """
-    shingles = stored(sets.join(members, "id").select(
-        "id", "c", F.size("set").alias("size"), F.xxhash64("set").alias("row"), F.explode("set").alias("s")), "shingles")
+    rows = sets.join(members, "id").select("id", "c", "set", F.size("set").alias("size"), F.xxhash64("set").alias("row"))
+    rows = stored(rows, "members")
+    shingles = rows.select("id", "c", "size", "row", F.explode("set").alias("s"))
     counts = shingles.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     order = Window.partitionBy("id", "row", "size").orderBy(F.coalesce("n", F.lit(1)), "s")
     first = F.expr(f"size - ({percent} * size + 99) div 100 + 1")
@@ -139,15 +158,38 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = stored(shingles.join(counts, "s", "left").withColumn("rank", F.row_number().over(order))
                     .withColumn("common", common)
                     .where((F.col("rank") <= first) & (F.col("n") > 1) & F.expr(f"100 * common >= {percent} * size"))
-                    .select("s", "id", "c", "size", "common"), "prefix")
-    main = (prefix.groupBy("s", "c").agg(F.count("*").alias("k"))
-            .groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("main")))
-    a = (prefix.join(main, "s").where("c != main")
-         .select("s", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("size").alias("na"), F.col("common").alias("ka")))
-    b = prefix.select("s", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"), F.col("common").alias("kb"))
-    reach = F.expr(f"ca != cb AND {100 + percent} * least(ka, kb) >= {percent} * (na + nb)")
-    return (a.join(b.withColumnRenamed("s", "sb"), (F.col("s") == F.col("sb")) & reach)
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+                    .select("s", "id", "row", "c"), "prefix")
+    home = (prefix.groupBy("s", "c").agg(F.count("*").alias("k"))
+            .groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("home")))
+    at = prefix.join(home, "s").select("home", "id", "row", (F.col("c") != F.col("home")).alias("visits")).distinct()
+    at = stored(at.groupBy("home", "id", "row").agg(F.max("visits").alias("visits")), "homes")
+    size = at.groupBy("home").agg((F.sum(F.col("visits").cast("int")) / BLOCK[0]).cast("int").alias("la"),
+                                  (F.count("*") / BLOCK[1]).cast("int").alias("lb"),
+                                  F.max("visits").alias("any")).where("any").drop("any")
+    at = at.join(size, "home").join(rows.drop("size"), ["id", "row"])
+    spread = F.xxhash64("id", "row")
+    every = F.sequence(F.lit(0), F.col("lb"))
+    # keys of one type on both sides: a cogroup does not cast them
+    left = at.where("visits").select("home", F.pmod(spread, F.col("la") + 1).cast("int").alias("i"), F.explode(every).alias("j"),
+                                     "id", "c", "set")
+    right = at.select("home", F.explode(F.sequence(F.lit(0), F.col("la"))).alias("i"),
+                      F.pmod(spread, F.col("lb") + 1).cast("int").alias("j"), "id", "c", "set").toDF("home", "i", "j", "id", "c", "set")
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        sets = [[x.values.to_numpy() for x in t.column("set")] for t in (a, b)]
+        if not sets[0] or not sets[1]:
+            return pa.table({"a": a.column("id").slice(0, 0), "b": b.column("id").slice(0, 0)})
+        both = _overlaps(*sets)
+        union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]]) - both
+        i, j = np.nonzero(100 * both >= percent * union)
+        a, b = a.take(pa.array(i)), b.take(pa.array(j))
+        out = pa.table({"a": a.column("id"), "b": b.column("id")})
+        return out.filter(pc.not_equal(a.column("c"), b.column("c")))
+
+    id_type = members.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    keys = ("home", "i", "j")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(count, schema).distinct()
 
 
 def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, words: int,
@@ -184,7 +226,7 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str, text_c
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     members = stored(placed.join(open_keys, "key").select(F.col("rep").alias("id"), "c").distinct(), "open")
     sets = _sets_of(members.select("id"), docs, id_col, text_col, words)
-    return links.unionByName(verify(_across(members, sets, percent), "rest"))
+    return links.unionByName(stored(_across(members, sets, percent), "rest-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
