@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
@@ -39,6 +39,14 @@ def by_total(df: DataFrame, total: str, key: str) -> DataFrame:
     return df.orderBy(F.col(total).desc(), F.col(key).asc())
 
 
+def ranked(df: DataFrame, total: str | None, key: str) -> DataFrame:
+    """``df`` with its place in presentation order, as column ``position``: total
+    descending, then key (null first). For small grouped results only: the
+    groups of one key, or a filter's values, are numbered in one task."""
+    order = ([F.col(total).desc()] if total else []) + [F.col(key).asc_nulls_first()]
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 def top_k(df: DataFrame, k: int, by: str, key: str | Sequence[str], ascending: bool = False) -> DataFrame:
     """Top k rows by ``by`` (descending by default), ties broken on ``key`` ascending."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -100,16 +108,21 @@ def by_major(donors: DataFrame) -> DataFrame:
 
 # --- dashboard charts, report and detail tables (null keys dropped) -------
 
+def total_or_zero(c: Column) -> Column:
+    """Sum of a group; 0 where all its amounts are null."""
+    return F.coalesce(money_sum(c), F.lit(0.0))
+
+
 def chart_grad_year(donors: DataFrame) -> DataFrame:
     return (_drop_null_keys(donors, ["graduation_year"]).groupBy("graduation_year")
-            .agg(money_sum(F.col(ANNUAL)).alias("total_annual"),
+            .agg(total_or_zero(F.col(ANNUAL)).alias("total_annual"),
                  mean_half_up(F.col(ANNUAL), 2).alias("avg_annual"),
                  F.count(ANNUAL).alias("donor_count")))
 
 
 def zip_totals(donors: DataFrame) -> DataFrame:
     return (_drop_null_keys(donors, ["zip_code"]).groupBy("zip_code")
-            .agg(money_sum(F.col(ANNUAL)).alias("total_annual"),
+            .agg(total_or_zero(F.col(ANNUAL)).alias("total_annual"),
                  F.count(ANNUAL).alias("donor_count")))
 
 
@@ -124,14 +137,14 @@ def segment_counts(donors: DataFrame) -> DataFrame:
 
 def chart_top_majors(donors: DataFrame, k: int = 10) -> DataFrame:
     totals = (_drop_null_keys(donors, ["major"]).groupBy("major")
-              .agg(money_sum(F.col(ANNUAL)).alias("total_annual")))
+              .agg(total_or_zero(F.col(ANNUAL)).alias("total_annual")))
     return top_k(totals, k, "total_annual", "major")
 
 
 def _count_sum_mean(key: str, df: DataFrame) -> DataFrame:
     return (_drop_null_keys(df, [key]).groupBy(key)
             .agg(F.count(ANNUAL).alias("donor_count"),
-                 money_sum(F.col(ANNUAL)).alias("total_annual"),
+                 total_or_zero(F.col(ANNUAL)).alias("total_annual"),
                  mean_half_up(F.col(ANNUAL), 2).alias("avg_annual")))
 
 
@@ -146,7 +159,7 @@ def report_segment(donors: DataFrame) -> DataFrame:
 def details_top_zips(donors: DataFrame, k: int = 5) -> DataFrame:
     totals = (_drop_null_keys(donors, ["zip_code"]).groupBy("zip_code")
               .agg(F.count("donor_id").alias("donor_count"),
-                   money_sum(F.col(ANNUAL)).alias("total_annual")))
+                   total_or_zero(F.col(ANNUAL)).alias("total_annual")))
     return top_k(totals, k, "total_annual", "zip_code")
 
 

@@ -88,13 +88,21 @@ ORACLE["chart_grad_year"] = w(
     f"count({A}) AS donor_count FROM filtered WHERE graduation_year IS NOT NULL GROUP BY graduation_year",
     extra=FILTERED)
 ORACLE["chart_top_zips"] = w(
-    f"SELECT zip_code, {S.money_sum(A)} AS total_annual, count({A}) AS donor_count FROM donors "
-    f"WHERE zip_code IS NOT NULL GROUP BY zip_code ORDER BY total_annual DESC, zip_code LIMIT 10")
+    f"SELECT zip_code, {S.money_sum(A)} AS total_annual, count({A}) AS donor_count FROM filtered "
+    f"WHERE zip_code IS NOT NULL GROUP BY zip_code ORDER BY total_annual DESC, zip_code LIMIT 10", extra=FILTERED)
 ORACLE["segment_counts"] = w(
-    "SELECT donor_segment, count(*) AS donor_count FROM donors WHERE donor_segment IS NOT NULL GROUP BY donor_segment")
+    "SELECT donor_segment, count(*) AS donor_count FROM filtered WHERE donor_segment IS NOT NULL GROUP BY donor_segment",
+    extra=FILTERED)
 ORACLE["chart_top_majors"] = w(
-    f"SELECT major, {S.money_sum(A)} AS total_annual FROM donors WHERE major IS NOT NULL GROUP BY major "
-    f"ORDER BY total_annual DESC, major LIMIT 10")
+    f"SELECT major, {S.money_sum(A)} AS total_annual FROM filtered WHERE major IS NOT NULL GROUP BY major "
+    f"ORDER BY total_annual DESC, major LIMIT 10", extra=FILTERED)
+for _key, _name in (("zip_code", "by_zip_ranked"), ("major", "by_major_ranked")):
+    ORACLE[_name] = w(
+        f"SELECT {_key}, total_annual_donations, CAST(row_number() OVER (ORDER BY total_annual_donations DESC, {_key} NULLS FIRST) "
+        f"AS INTEGER) AS position FROM (SELECT {_key}, {S.money_sum(A)} AS total_annual_donations FROM donors GROUP BY {_key}) g")
+ORACLE["grad_years_sorted"] = w(
+    "SELECT graduation_year, CAST(row_number() OVER (ORDER BY graduation_year) AS INTEGER) AS position "
+    "FROM (SELECT DISTINCT graduation_year FROM donors WHERE graduation_year IS NOT NULL) g")
 CSM = f"count({A}) AS donor_count, {S.money_sum(A)} AS total_annual, {S.mean_half_up(A, 2)} AS avg_annual"
 ORACLE["report_zip"] = w(f"SELECT zip_code, {CSM} FROM filtered WHERE zip_code IS NOT NULL GROUP BY zip_code",
                          extra=FILTERED)

@@ -130,6 +130,25 @@ def _by_major(spark, sf):
     return rollups.by_major(donors(spark, sf))
 
 
+@query("by_zip_ranked")
+def _by_zip_ranked(spark, sf):
+    return rollups.ranked(rollups.by_zip(donors(spark, sf)).select("zip_code", "total_annual_donations"),
+                          "total_annual_donations", "zip_code")
+
+
+@query("by_major_ranked")
+def _by_major_ranked(spark, sf):
+    return rollups.ranked(rollups.by_major(donors(spark, sf)).select("major", "total_annual_donations"),
+                          "total_annual_donations", "major")
+
+
+@query("grad_years_sorted")
+def _grad_years_sorted(spark, sf):
+    """The year domain of the filter widgets in order."""
+    years = donors(spark, sf).select("graduation_year").dropna().distinct()
+    return rollups.ranked(years, None, "graduation_year")
+
+
 # --- dashboard tables on the filtered set ------------------------------------
 
 @query("chart_grad_year")
@@ -139,17 +158,17 @@ def _chart_grad_year(spark, sf):
 
 @query("chart_top_zips")
 def _chart_top_zips(spark, sf):
-    return rollups.chart_top_zips(donors(spark, sf))
+    return rollups.chart_top_zips(filtered(spark, sf))
 
 
 @query("segment_counts")
 def _segment_counts(spark, sf):
-    return rollups.segment_counts(donors(spark, sf))
+    return rollups.segment_counts(filtered(spark, sf))
 
 
 @query("chart_top_majors")
 def _chart_top_majors(spark, sf):
-    return rollups.chart_top_majors(donors(spark, sf))
+    return rollups.chart_top_majors(filtered(spark, sf))
 
 
 @query("report_zip")

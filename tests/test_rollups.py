@@ -88,3 +88,15 @@ def test_distinct_cells_approx_close_to_exact(spark):
     approx = rollups.distinct_cells(df, approx_rsd=0.02).collect()[0]
     for k in ("cells_7", "cells_8", "cells_9"):
         assert abs(approx[k] - exact[k]) <= 0.08 * exact[k]
+
+
+def test_sum_of_null_amounts_is_zero_in_charts(spark):
+    df = spark.createDataFrame([("29601", None), ("29602", 5.0)], "zip_code string, a double").select(
+        "zip_code", F.col("a").cast("decimal(10,2)").alias("annual_donation_amount"))
+    got = {r.zip_code: (r.total_annual, r.donor_count) for r in rollups.zip_totals(df).collect()}
+    assert got == {"29601": (0.0, 0), "29602": (5.0, 1)}
+
+
+def test_ranked_orders_by_total_then_key(spark):
+    df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 9.0), (None, 2.0)], "k string, t double")
+    assert [r.k for r in rollups.ranked(df, "t", "k").orderBy("position").collect()] == ["c", None, "a", "b"]
