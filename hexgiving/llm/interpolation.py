@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from hexgiving.llm.common import chain, fold, stored, word_hashes
 
-BLOCK_TOKENS = 4_000_000
-KEYS_PER_PARTITION = 2_000_000
+BLOCK_TOKENS = 1_000_000
+KEYS_PER_PARTITION = 1_000_000
 START, END = np.uint64(1), np.uint64(2)     # stand for a text's start (a context only) and its end (a token)
 RETAINED, DELETED, UNSEEN = 0, 1, 2         # a block's part: estimates, mixture weights, neither
 BUCKETS = 24                                # context counts 0, 1, 2-3, 4-7, ...
