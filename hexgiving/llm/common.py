@@ -51,7 +51,7 @@ class WordCache(dict):
         return value
 
 
-_hashes = WordCache(xxhash.xxh3_64_intdigest)
+_hashes = WordCache(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def words(text: bytes | None) -> list[bytes]:

@@ -18,6 +18,7 @@ from hexgiving.llm.components import connected_components
 BANDS, ROWS = 50, 5     # a pair at similarity 0.8 shares no band with probability 2.3e-9
 ESTIMATE_SLACK = 0.16   # over six standard deviations of the 250-minima estimate at 0.8
 SEED = 20240229
+SMALL_PAIRS = 500_000   # two ids each, under 16 MB
 BLOCK = 256, 1024       # visitors and members that one block of the remainder compares
 
 
@@ -83,6 +84,19 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _both_sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """(a, b, x, y): pairs with the values of their two ids. Only the pairs' own values are shuffled, by b.
+
+    Up to ``SMALL_PAIRS`` pairs are broadcast to the values; beyond that the joins shuffle.
+    """
+    small = pairs.count() <= SMALL_PAIRS
+    send = F.broadcast if small else lambda df: df
+    left = values.select(F.col("id").alias("a"), F.col(name).alias("x")).join(send(pairs), "a")
+    right = (values.select(F.col("id").alias("b"), F.col(name).alias("y"))
+             .join(send(pairs.select("b").distinct()), "b", "left_semi"))
+    return left.join(right, "b").select("a", "b", "x", "y")
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in at least the share ``least`` of the minima."""
     def run(batches):
@@ -93,9 +107,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 batch = batch.filter(pa.array((x == y).mean(axis=1) >= least))
             yield batch.select([0, 1])
 
-    sig = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    both = (pairs.join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
-            .select("a", "b", "sa", "sb"))
+    both = _both_sides(stored(pairs, "pairs"), reps.withColumnRenamed("rep", "id"), "sig")
     return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
@@ -116,9 +128,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sets_of(ids, docs, id_col, text_col, n)
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y"))
+    both = _both_sides(pairs, _sets_of(ids, docs, id_col, text_col, n), "set")
     return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 

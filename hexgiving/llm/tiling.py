@@ -22,7 +22,7 @@ GAP = 0                 # stands for document words outside all seeds
 
 _FOLD = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(),
                         (string.ascii_lowercase + " " * len(string.punctuation)).encode())
-_hashes = WordCache(xxhash.xxh3_64_intdigest)
+_hashes = WordCache(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def tokens(text: bytes | None) -> np.ndarray:
