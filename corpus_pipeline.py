@@ -49,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every repeated sentence or line but its earliest occurrence cut from the texts; ``n_chars`` follows.
+    """Every repeated sentence, line or run of short sentences but its earliest occurrence cut from the texts; ``n_chars`` follows.
 
     All rows stay, with an empty text if nothing else was in it; null texts stay null.
     """

@@ -67,14 +67,24 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(_table(spark, sf_dir, "documents"))
 
 
-def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = substring.repeated_units(_table(spark, sf_dir, "documents"))
+def _repeats(spark: SparkSession, sf_dir: str, split) -> DataFrame:
+    r = substring.repeated_units(_table(spark, sf_dir, "documents"), split=split)
     return r.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"),
                     "first_start")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single sentences alone: what its SQL lists."""
+    return _repeats(spark, sf_dir, substring.sentences)
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of short sentences too; no SQL."""
+    return _repeats(spark, sf_dir, substring.passages)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing,
     op5_benchmark_decontamination, op6_token_bits, op7_toxicity,
-    op8_nearest_neighbours, op9_language_model, op10_substring_dedup)}
+    op8_nearest_neighbours, op9_language_model, op10_substring_dedup, op10_passage_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run

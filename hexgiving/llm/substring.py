@@ -1,4 +1,4 @@
-"""Substring dedup by unit hashing: every repeated line or sentence keeps only its earliest occurrence."""
+"""Substring dedup by unit hashing: every repeated line, sentence or run of short sentences keeps only its earliest occurrence."""
 
 from __future__ import annotations
 
@@ -17,6 +17,10 @@ from hexgiving.llm.common import stored
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 NOISE = regex.compile(r"[^\p{L}\p{N}]+")
 MIN_WORDS = 8       # shorter units (headings, stock phrases) repeat by chance and are left alone
+# For passages: sentences also end at the full stops of scripts without blanks, whose letters count as words.
+SENTENCE = re.compile(r"[^.!?\u3002\uff01\uff1f\uff61\n]*[.!?\u3002\uff01\uff1f\uff61\n]+|[^.!?\u3002\uff01\uff1f\uff61\n]+")
+_LETTER = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+UNSPACED, WORD = regex.compile(f"[{_LETTER}]"), regex.compile(f"[{_LETTER}]|[^ {_LETTER}]+")
 
 
 def normalise(unit: str) -> str:
@@ -24,23 +28,57 @@ def normalise(unit: str) -> str:
     return NOISE.sub(" ", unit.lower()).strip()
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def sentences(text: str, min_words: int):
+    """(start, end, n_words, normalised) of each sentence of at least ``min_words`` blank-separated words."""
+    for m in UNIT.finditer(text):
+        if m.end() - m.start() < 2 * min_words - 1:
+            continue
+        norm = normalise(m[0])
+        n = norm.count(" ") + 1
+        if n >= min_words and norm:
+            yield m.start(), m.end(), n, norm
+
+
+def passages(text: str, min_words: int):
+    """(start, end, n_words, normalised) of each sentence of at least ``min_words`` words, and of short ones with neighbours.
+
+    A shorter sentence gives two units: the shortest run of sentences from
+    it on, and the shortest run up to it, that have ``min_words`` words. So a
+    run of whole sentences (a line, a paragraph) of that many words in all is
+    covered by units inside it, however short its sentences are.
+    """
+    parts = []
+    for m in SENTENCE.finditer(text):
+        norm = normalise(m[0])
+        if norm:
+            spaced = norm.isascii() or not UNSPACED.search(norm)
+            parts.append((m.start(), m.end(), norm.count(" ") + 1 if spaced else len(WORD.findall(norm)), norm))
+    runs = set()
+    for i, (_, _, n, _) in enumerate(parts):
+        for step, edge in ((1, len(parts) - 1), (-1, 0)):
+            j, total = i, n
+            while total < min_words and j != edge:
+                j += step
+                total += parts[j][2]
+            if total >= min_words:
+                runs.add((min(i, j), max(i, j)))
+    for i, j in sorted(runs):
+        yield (parts[i][0], parts[j][1], sum(p[2] for p in parts[i:j + 1]),
+               parts[i][3] if i == j else " ".join([p[3] for p in parts[i:j + 1]]))
+
+
+def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, split=passages) -> DataFrame:
     """(id, text_hash, start, end, n_words, digest): units of the whole texts, offsets in code points."""
     def run(batches):
         for batch in batches:
             rows, start, end, n_words, digest = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for m in UNIT.finditer(text or ""):
-                    if m.end() - m.start() < 2 * min_words - 1:
-                        continue
-                    norm = normalise(m[0])
-                    n = norm.count(" ") + 1
-                    if n >= min_words and norm:
-                        rows.append(i)
-                        start.append(m.start())
-                        end.append(m.end())
-                        n_words.append(n)
-                        digest.append(xxhash.xxh128_digest(norm.encode()))
+                for first, last, n, norm in split(text or "", min_words):
+                    rows.append(i)
+                    start.append(first)
+                    end.append(last)
+                    n_words.append(n)
+                    digest.append(xxhash.xxh128_digest(norm.encode()))
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()),
@@ -54,37 +92,54 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   min_words: int = MIN_WORDS, split=passages) -> DataFrame:
     """(id, text_hash, start, end, n_words, first_id, first_start): each unit that an earlier one equals.
 
-    Units rank by id (null last), start, then text hash; the earliest of each
-    digest is not listed. Null, empty or short texts have no units. Rows that
-    repeat an id with the same text are one document: their units tie and
-    neither counts against the other. Other columns are not read.
+    Units (``split``: ``passages``, which may overlap, or ``sentences``) rank
+    by id (null last), text hash, then start (sentences: start, then text
+    hash); the earliest of each digest is not listed, nor one that overlaps
+    it. Null, empty or short texts have no units. Rows that repeat an id with
+    the same text are one document: their units tie and neither counts
+    against the other. Other columns are not read.
 
     One shuffle of 16-byte digests with map-side minima finds the earliest;
     the join back splits a digest with a third of all rows (AQE skew join).
     """
-    u = stored(units(docs, id_col, text_col, min_words), "units")
-    rank = F.struct(F.col("id").isNull().alias("n"), "id", "start", "text_hash")
+    u = stored(units(docs, id_col, text_col, min_words, split), "units")
+    order = ("start", "text_hash") if split is sentences else ("text_hash", "start")
+    rank = F.struct(F.col("id").isNull().alias("n"), "id", *order, "end")
     first = (u.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1")
              .select("digest", "first"))
     return (u.join(first, "digest")
-            .where("NOT (first.id <=> id AND first.start = start AND first.text_hash = text_hash)")
+            .where("NOT (first.id <=> id AND start < first.end AND first.text_hash = text_hash)")
             .select("id", "text_hash", "start", "end", "n_words", F.col("first.id").alias("first_id"),
                     F.col("first.start").alias("first_start")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   min_words: int = MIN_WORDS, split=passages) -> DataFrame:
     """``docs`` with the repeated units cut from the text, and their original offsets in ``removed``.
 
-    Every row stays, its text perhaps empty; ``removed`` is null where nothing
+    Overlapping units are joined there. Every row stays, its text perhaps empty; ``removed`` is null where nothing
     went (a column of that name in the input is replaced). The rest as for
     ``repeated_units``.
     """
-    spans = (repeated_units(docs, id_col, text_col, min_words).distinct().groupBy("id", "text_hash")
-             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def join(spans):
+        out = []
+        for one in spans:
+            whole = []
+            for s in one:
+                if whole and s["start"] < whole[-1]["end"]:
+                    whole[-1]["end"] = max(whole[-1]["end"], s["end"])
+                else:
+                    whole.append({"start": s["start"], "end": s["end"]})
+            out.append(whole)
+        return type(spans)(out, dtype=object)
+
+    spans = (repeated_units(docs, id_col, text_col, min_words, split).distinct().groupBy("id", "text_hash")
+             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+             .select("id", "text_hash", join("spans").alias("spans")))
 
     @F.pandas_udf("string")
     def cut(text, cuts):
