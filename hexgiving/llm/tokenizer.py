@@ -32,18 +32,24 @@ class Encoder:
     put together; each chunk's words go to the library's merge model once and
     are kept in a bounded cache. Texts with other white space, chunks beyond
     Latin letters and tokenizers of another kind are encoded by the library
-    as a whole. Strings of special tokens are ordinary text. Null: no ids.
+    as a whole, and so are texts that hold an added token. With ``special``
+    (the library's default) strings of special tokens give their ids, else
+    they are ordinary text. Null: no ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.model = self.library.model
         self.pattern, self.lower = self._words(kind["normalizer"], kind["pre_tokenizer"])
+        added = [t for t in kind["added_tokens"] if special or not t["special"]]
+        self.added = [t["content"] for t in added]
+        if any(t["normalized"] for t in added):     # these also match other spellings
+            self.pattern = None
         self.cache, self.word_cache = WordCache(self._chunk, 400_000), WordCache(self._word, 50_000)
 
     @staticmethod
@@ -82,7 +88,7 @@ class Encoder:
     def _text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.pattern is None or OTHER_SPACE.search(text) or "\0" in text:
+        if self.pattern is None or OTHER_SPACE.search(text) or "\0" in text or any(t in text for t in self.added):
             return self.whole(text)
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             chunks = CHUNK.findall(text)
@@ -97,7 +103,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+    """The worker's encoder for a tokenizer file: ids as the library gives them by default."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, special=True)
     return _encoders[path]

@@ -1,8 +1,15 @@
 """Cases where an operator once did less than its whole job."""
 
+import json
 import random
 
-from hexgiving.llm import substring
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from hexgiving.llm import bestfit, substring, tokenbits, tokenizer
+from hexgiving.session import shared_dir
 
 
 def test_short_sentences_of_a_repeated_passage_go(spark):
@@ -25,3 +32,22 @@ def test_short_sentences_of_a_repeated_passage_go(spark):
         spans = [tuple(s) for s in out[i]["removed"]]
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     assert out[9]["text"].split() == ["No."] * 8
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_in_texts_give_their_ids(spark, name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    special = {t["id"] for t in json.loads(library.to_str())["added_tokens"]}
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>x y\n<|endoftext|>", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> c",
+             "<|endof text|> d", "a\t<|endoftext|>  b", "plain words", "日本<|endoftext|> 語", ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encoder(path).encode(texts)] == want
+    assert sum(i in special for ids in want for i in ids) == (7 if len(special) == 1 else 8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bestfit.pack_documents(df, path, 2, 1024, keep_ids=True).collect()}
+    assert [got[i][:-1] for i in range(len(texts))] == want
+    folder = shared_dir(spark, "special")
+    tokenbits.write_tokens(df, folder, path, 50_257, 1)
+    got = {r["id"]: r["ids"] for r in tokenbits.read_tokens(spark, folder, with_ids=True).collect()}
+    assert [got[i][:-1] for i in range(len(texts))] == want
