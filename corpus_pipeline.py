@@ -59,10 +59,13 @@ def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tiles cover less than 0.7 of every benchmark item. Null ids, short and null texts stay unless covered."""
-    found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = stored(found.select("id").distinct(), "contaminated")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_anti")
+    """Documents whose tiles cover less than 0.7 of every benchmark item. Null ids, short and null texts stay unless covered.
+
+    Of rows that share an id (or have none), those whose own text is covered go.
+    """
+    found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True)
+    gone = stored(found.select("id", "text_hash").distinct(), "contaminated")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

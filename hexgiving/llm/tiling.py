@@ -155,13 +155,15 @@ def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH,
-                 coverage: float = COVERAGE) -> DataFrame:
+                 coverage: float = COVERAGE, by_text: bool = False) -> DataFrame:
     """(id, item, coverage, n_tiles, longest): documents whose tiles cover at least that share of a test item.
 
     Order of the passages does not matter. Null, empty or shorter texts than
     ``min_match`` words give nothing on either side, nor does a null item
     id; a null document id is kept. Rows that repeat a document (or an item)
-    give one result. Other columns are not read.
+    give one result; with ``by_text`` one for each distinct text of an id,
+    whose xxhash64 is the column ``text_hash`` after id. Other columns are
+    not read.
 
     Benchmark seeds travel to the documents in parts of at most
     ``SEEDS_PER_PASS``, one pass over the documents for each part, so memory
@@ -189,26 +191,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     left = likely.toDF(*(f"l_{c}" for c in likely.columns))
     pairs = (matches.join(left, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_text_hash"))
                           & (F.col("part") == F.col("l_part")))
-             .select("id", F.col("l_item").alias("item"), "tokens").distinct()
-             .join(items, "item").select("id", "item", "tokens", "item_tokens"))
+             .select("id", "text_hash", F.col("l_item").alias("item"), "tokens").distinct()
+             .join(items, "item").select("id", "text_hash", "item", "tokens", "item_tokens"))
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text, item in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, item in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 found = tile(item, text, min_match)
                 rows.append((sum(x[2] for x in found) / len(item), len(found), max((x[2] for x in found), default=0)))
             out = pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.float64()),
+                [*batch.columns[:3], pa.array([r[0] for r in rows], pa.float64()),
                  *(pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2))],
-                names=["id", "item", "coverage", "n_tiles", "longest"])
+                names=["id", "text_hash", "item", "coverage", "n_tiles", "longest"])
             yield out.filter(pa.array([r[0] >= coverage for r in rows], pa.bool_()))
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType),
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()),
                            T.StructField("item", benchmark.schema[item_col].dataType),
                            T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()),
                            T.StructField("longest", T.IntegerType())])
     # one pair a row costs most here: spread them
-    tiled = pairs.repartition("id", "item").mapInArrow(run, schema)
-    return tiled.groupBy("id", "item").agg(F.max_by(F.struct("coverage", "n_tiles", "longest"), "coverage").alias("t")).select(
-        "id", "item", "t.*")
+    tiled = pairs.repartition("id", "text_hash", "item").mapInArrow(run, schema)
+    keys = ("id", "text_hash", "item") if by_text else ("id", "item")
+    return tiled.groupBy(*keys).agg(F.max_by(F.struct("coverage", "n_tiles", "longest"), "coverage").alias("t")).select(
+        *keys, "t.*")

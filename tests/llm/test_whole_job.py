@@ -6,8 +6,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from hexgiving.llm import bestfit, substring, tokenbits, tokenizer
 from hexgiving.session import shared_dir
 
@@ -51,3 +53,12 @@ def test_special_tokens_in_texts_give_their_ids(spark, name):
     tokenbits.write_tokens(df, folder, path, 50_257, 1)
     got = {r["id"]: r["ids"] for r in tokenbits.read_tokens(spark, folder, with_ids=True).collect()}
     assert [got[i][:-1] for i in range(len(texts))] == want
+
+
+def test_only_the_covered_row_of_an_id_goes(spark, tmp_path):
+    item = " ".join(f"t{i}" for i in range(30))
+    rows = [(None, f"a b {item} c"), (None, "a clean text without an id"), (None, None), (5, item), (5, "another text of five"), (6, "six")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, left)) == sorted(str(Row(doc_id=i, text=t)) for i, t in rows if item not in (t or ""))
