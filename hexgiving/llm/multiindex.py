@@ -85,7 +85,8 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     candidates every other row. Distance to a cell is minus the inner
     products with its two centroids; visited entries are reranked on the
     original vectors in double precision. The codebooks are fitted on a
-    sample chosen by hash; every row is indexed. Null, zero and non-finite
+    sample chosen by hash; every row is indexed. A query visits ``share`` of
+    the index, and ``k`` entries of other ids at least, or all. Null, zero and non-finite
     vectors and those of an uncommon length take no part; null ids neither.
     Rows that repeat an id are one candidate per distinct vector. Other columns are not read.
 
@@ -128,6 +129,9 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     for r in index.groupBy("a", "b").count().collect():     # at most CENTROIDS ** 2 rows
         sizes[r["a"], r["b"]] = r["count"]
     full = spark.sparkContext.broadcast(sizes)
+    wanted = data.where(query)
+    # most rows of one query's id: no candidates of that query, so it visits them on top of k
+    own = wanted.groupBy("id").count().agg(F.max("count")).first()[0] or 0
 
     def visit(batches):
         for batch in batches:
@@ -137,7 +141,7 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
             d1, d2 = -(x[:, :half] @ one.T), -(x[:, half:] @ two.T)
             row, first, cells = [], [], []
             for i in range(len(x)):
-                mask = traverse(d1[i], d2[i], full.value, int(np.ceil(share * n)))
+                mask = traverse(d1[i], d2[i], full.value, max(int(np.ceil(share * n)), k + own))
                 for a in np.flatnonzero(mask.any(1)):
                     row.append(i)
                     first.append(a)
@@ -146,7 +150,6 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()),
                                               pa.array(cells, pa.binary())], names=["id", "v", "a", "cells"])
 
-    wanted = data.where(query)
     visited = T.StructType([*data.schema.fields, T.StructField("a", T.IntegerType()), T.StructField("cells", T.BinaryType())])
     queries = stored(wanted.mapInArrow(visit, visited), "queries")
     groups = queries.select("id", "v").distinct().count() // BLOCK[1] + 1

@@ -1,5 +1,6 @@
 """Cases where an operator once did less than its whole job."""
 
+import collections
 import json
 import random
 
@@ -7,10 +8,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hexgiving.llm import bestfit, substring, tokenbits, tokenizer
+from hexgiving.llm import bestfit, multiindex, substring, tiling, tokenbits, tokenizer, urlfilter
 from hexgiving.session import shared_dir
 
 
@@ -62,3 +64,13 @@ def test_only_the_covered_row_of_an_id_goes(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, left)) == sorted(str(Row(doc_id=i, text=t)) for i, t in rows if item not in (t or ""))
+
+
+def test_a_small_table_gives_all_candidates(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(19)] + [(0, [1.0] * 8)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in multiindex.search(t, F.col("id") % 2 == 0, 20).collect():
+        got[r["query_id"]].add(r["id"])
+    assert got == {i: set(range(19)) - {i} for i in range(0, 19, 2)}
