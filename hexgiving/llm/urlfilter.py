@@ -9,9 +9,13 @@ from hexgiving.llm.common import stored
 from hexgiving.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+# canonical as any word of rel
+REL = r"\brel\s*=\s*(?:[\"']?|\"[^\">]*\s|'[^'>]*\s)canonical\b"
+CANONICAL = rf"(?i)<link\b[^>]*{REL}[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# the whole tag, then its last url: attributes come in any order
+REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*"
+URL = r"(?is)^.*\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def url_columns(url: Column) -> dict[str, Column]:
@@ -35,8 +39,9 @@ def rules_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(a, b, host, path): each page's url, and the canonical link or refresh target its html declares."""
     html, here = F.col(html_col), url_columns(F.col(url_col))
-    declared = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(html, REFRESH, 1))
-    to = (pages.where(html.rlike(r"(?i)\brel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
+    declared = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
+                       F.regexp_extract(F.regexp_extract(html, REFRESH, 0), URL, 1))
+    to = (pages.where(html.rlike(rf"(?i){REL}|http-equiv\s*=\s*[\"']?refresh"))
           .select(*(c.alias(k) for k, c in here.items()), F.explode(declared).alias("href"))
           .where("href != '' AND node IS NOT NULL").withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&"))))
     target = (F.when(F.col("href").contains("://"), F.col("href"))

@@ -74,3 +74,13 @@ def test_a_small_table_gives_all_candidates(spark):
     for r in multiindex.search(t, F.col("id") % 2 == 0, 20).collect():
         got[r["query_id"]].add(r["id"])
     assert got == {i: set(range(19)) - {i} for i in range(0, 19, 2)}
+
+
+def test_url_aliases_in_any_attribute_order(spark):
+    target = "http://a.com/de/1"
+    html = [f'<meta content="0; url={target}" http-equiv="refresh">', f'<meta http-equiv=refresh content="0;url={target}">',
+            f'<link rel="alternate canonical" href="{target}">', f"<link href='{target}' rel='canonical nofollow'>",
+            f'<link rel="noncanonical" href="{target}">', f'<meta content="0; url={target}" http-equiv="x-refresh">']
+    df = spark.createDataFrame([(i, f"http://p{i}.net/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    judged = urlfilter.judge(df, urlfilter.rules_table(spark, [("com/de/", "block")])).collect()
+    assert {r["page_id"] for r in judged if r["verdict"] == "block" and r["by_alias"]} == {0, 1, 2, 3}
