@@ -103,7 +103,7 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     if not n:
         return spark.createDataFrame([], schema)
     parts = 1_000_000
-    sample = data.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < max(1, min(parts, parts * SAMPLE // n))).select("v").toPandas()["v"]
+    sample = data.where(F.pmod(F.xxhash64("id", "v"), F.lit(parts)) < max(1, min(parts, parts * SAMPLE // n))).select("v").toPandas()["v"]
     sample = np.stack(sample.to_numpy()) if len(sample) else np.stack([data.first()["v"]])
     half = sample.shape[1] // 2
     centroids = min(CENTROIDS, max(1, int(n ** 0.5 / 2)))

@@ -114,8 +114,11 @@ def _seeds(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Data
     return benchmark.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.ndarray) -> DataFrame:
-    """(id, text_hash, seeds, tokens) of documents that share a seed; words outside the seeds shrink to gaps."""
+def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.ndarray, places: bool) -> DataFrame:
+    """(id, text_hash, seeds, tokens) of documents that share a seed; words outside the seeds shrink to gaps.
+
+    With ``places``: the words under the seeds alone, and their places.
+    """
     known = docs.sparkSession.sparkContext.broadcast(np.unique(seeds))
 
     def run(batches):
@@ -124,7 +127,7 @@ def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.
         hit = np.zeros(int(mask) + 1, bool)
         hit[table & mask] = True
         for batch in batches:
-            row, found, kept = [], [], []
+            row, found, kept, at_word = [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 t = tokens(text)
                 if len(t) < least:
@@ -138,21 +141,39 @@ def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + least, -1)
                 inside = np.cumsum(cover[:-1]) > 0
-                first_gap = ~inside & np.concatenate([[True], inside[:-1]])
+                first_gap = ~inside & np.concatenate([[not places], inside[:-1] & (not places)])
+                if places:
+                    at_word.append(np.flatnonzero(inside))
                 row.append(i)
                 found.append(np.unique(s[at]).view(np.int64))
                 kept.append(np.where(inside, t, np.uint64(GAP))[inside | first_gap].view(np.int64))
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at),
-                 *(pa.array(x, pa.list_(pa.int64())) for x in (found, kept))], names=["id", "text_hash", "seeds", "tokens"])
+                 *(pa.array(x, pa.list_(pa.int64())) for x in (found, kept, *[at_word] * places))], names=schema.names)
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()),
-                           T.StructField("seeds", T.ArrayType(T.LongType())),
-                           T.StructField("tokens", T.ArrayType(T.LongType()))])
+                           *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("seeds", "tokens", *["places"] * places))])
     return docs.select(F.col(id_col), F.xxhash64(text_col), text_col).mapInArrow(run, schema)
 
 
+def _merged(matches: DataFrame) -> DataFrame:
+    """(id, text_hash, seeds, tokens) with the words that any part found, in order; gaps where words are missing between."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for pieces in batch.column(3).to_pylist():
+                places, first = np.unique(np.concatenate([p["places"] for p in pieces]), return_index=True)
+                words = np.concatenate([np.array(p["tokens"], np.int64) for p in pieces])[first]
+                out.append(np.insert(words, np.flatnonzero(np.diff(places, prepend=-1) > 1), GAP))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))],
+                                             names=["id", "text_hash", "seeds", "tokens"])
+
+    both = matches.groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("seeds"))).alias("seeds"),
+                                                  F.collect_set(F.struct("places", "tokens")).alias("pieces"))
+    return both.mapInArrow(run, matches.drop("places").schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH,
                  coverage: float = COVERAGE, by_text: bool = False) -> DataFrame:
@@ -165,32 +186,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whose xxhash64 is the column ``text_hash`` after id. Other columns are
     not read.
 
-    Benchmark seeds travel to the documents in parts of at most
-    ``SEEDS_PER_PASS``, one pass over the documents for each part, so memory
-    is bounded whatever the benchmark's size. Only the words under shared
+    Distinct benchmark seeds travel to the documents in parts of about
+    ``SEEDS_PER_PASS``, dealt by their hash, one pass over the documents for
+    each part, so memory is bounded whatever the benchmark's size and however
+    long one item is. What a document shares with each part is put together
+    before coverage counts. Only the words under shared
     seeds leave a document. Pairs whose shared seeds cannot reach the
     coverage are dropped before tiling.
     """
     spark = docs.sparkSession
     seeds = stored(_seeds(benchmark, item_col, item_text_col, min_match), "benchmark-seeds")
-    parts = max(1, -(-seeds.count() // SEEDS_PER_PASS))
+    parts = max(1, -(-seeds.select("seed").distinct().count() // SEEDS_PER_PASS))
     matches = None
     for part in range(parts):
-        mine = seeds.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        mine = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part)
         values = mine.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64).view(np.uint64)
-        found = stored(_matches(docs, id_col, text_col, min_match, values), "matches").withColumn("part", F.lit(part))
+        found = stored(_matches(docs, id_col, text_col, min_match, values, places=parts > 1), "matches")
         matches = found if matches is None else matches.unionByName(found)
-    shared = matches.select("id", "text_hash", "part", F.explode("seeds").alias("seed")).join(
-        seeds.select("item", "seed", "at", "n", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("part")).distinct(),
-        ["part", "seed"])
+    if parts > 1:
+        matches = stored(_merged(matches), "merged")
+    shared = matches.select("id", "text_hash", F.explode("seeds").alias("seed")).join(
+        seeds.select("item", "seed", "at", "n").distinct(), "seed")
     covered = F.size(F.array_distinct(F.flatten(F.transform(
         F.collect_set("at"), lambda p: F.sequence(p, p + F.lit(min_match - 1))))))
-    likely = (shared.groupBy("id", "text_hash", "part", "item", "n").agg(covered.alias("covered"))
+    likely = (shared.groupBy("id", "text_hash", "item", "n").agg(covered.alias("covered"))
               .where(F.col("covered") >= F.lit(coverage) * F.col("n")))
     items = seeds.where("tokens IS NOT NULL").select("item", F.col("tokens").alias("item_tokens")).distinct()
     left = likely.toDF(*(f"l_{c}" for c in likely.columns))
-    pairs = (matches.join(left, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_text_hash"))
-                          & (F.col("part") == F.col("l_part")))
+    pairs = (matches.join(left, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_text_hash")))
              .select("id", "text_hash", F.col("l_item").alias("item"), "tokens").distinct()
              .join(items, "item").select("id", "text_hash", "item", "tokens", "item_tokens"))
 

@@ -84,3 +84,19 @@ def test_url_aliases_in_any_attribute_order(spark):
     df = spark.createDataFrame([(i, f"http://p{i}.net/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
     judged = urlfilter.judge(df, urlfilter.rules_table(spark, [("com/de/", "block")])).collect()
     assert {r["page_id"] for r in judged if r["verdict"] == "block" and r["by_alias"]} == {0, 1, 2, 3}
+
+
+def test_seeds_of_one_item_in_many_parts(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"t{i}" for i in range(120)]
+    docs = [(1, " ".join(["x"] * 5 + words[60:] + ["y"] * 9 + words[:60])), (2, " ".join(words[:70] + ["z"] * 50)),
+            (3, " ".join(rng.sample(words, 120))), (None, " ".join(words)), (1, " ".join(words[:100]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:40]))], "item_id long, text string")
+    whole = sorted(map(str, tiling.contaminated(df, bench, by_text=True).collect()))
+    sizes = []
+    matches = tiling._matches
+    monkeypatch.setattr(tiling, "_matches", lambda *a, **k: (sizes.append(len(a[4])), matches(*a, **k))[1])
+    monkeypatch.setattr(tiling, "SEEDS_PER_PASS", 40)
+    assert sorted(map(str, tiling.contaminated(df, bench, by_text=True).collect())) == whole and len(whole) == 7
+    assert len(sizes) == 3 and max(sizes) < 60
