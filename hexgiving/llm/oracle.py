@@ -51,4 +51,14 @@ SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(ends AS INTEGER) AS "end",
 FROM ranked WHERE rank > 1
 """
 
-ORACLE: dict[str, str] = {"op2_url_filter": OP2, "op10_substring_dedup": OP10}
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+digest AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, h,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(
+            h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+        row_number() OVER (PARTITION BY payload ORDER BY page_id) AS place, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first_id END AS refers_to FROM digest
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filter": OP2, "op10_substring_dedup": OP10, "op13_warc_archive": OP13}

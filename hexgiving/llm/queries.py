@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexgiving.llm import bestfit, interpolation, minhash, multiindex, substring, tiling, tokenbits, tokencount, toxicity, urlfilter
-from hexgiving.llm.common import fold
+from hexgiving.llm import (bestfit, interpolation, minhash, multiindex, substring, tiling, tokenbits, tokencount, toxicity, urlfilter,
+                           variants, warc, whitening)
+from hexgiving.llm.common import fold, stored
 from hexgiving.session import shared_dir
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
@@ -83,8 +84,33 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeats(spark, sf_dir, substring.passages)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.letter_runs(_table(spark, sf_dir, "documents"), least_length=5)
+    words = variants.word_counts(runs.select(variants.slipped(F.col("run"), F.col("id"), 97).alias("word")), least_length=5, least_count=3)
+    return variants.group_variants(words, times=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(whitening.scaled(_table(spark, sf_dir, "embeddings")), "scaled-vectors")
+    model = whitening.fit_whitening(rows, components=16)
+    whitened = whitening.whiten(rows, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*(F.lit(e) for e in model.explained())) if model.n else F.array(F.lit(0.0))
+    return whitened.select(F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+                           "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"),
+                           F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "llm-warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    r = warc.record_facts(spark, path)
+    return r.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                    F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_url_filter, op3_minhash_near_dedup, op4_best_fit_packing,
     op5_benchmark_decontamination, op6_token_bits, op7_toxicity,
-    op8_nearest_neighbours, op9_language_model, op10_substring_dedup, op10_passage_dedup)}
+    op8_nearest_neighbours, op9_language_model, op10_substring_dedup, op10_passage_dedup, op11_spelling_variants,
+    op12_embedding_whitening, op13_warc_archive)}
 QUERIES["pipeline"] = corpus_pipeline.run
