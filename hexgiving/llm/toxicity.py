@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ SWAP = SILENT = math.log(0.9)
 DOUBLE, LONG = (math.log(0.98), math.log(0.02)), (math.log(0.05), math.log(0.95))     # keep or drop a repeated character
 
 SAMPLE_ROWS = 20_000        # labelled rows that the classifier is fitted on, at most about
+CACHED = 100_000            # entries of a worker's word cache; results do not depend on it
+SHORT = 30                  # a text counts as having this many words at least, so one weak word is no verdict
 MIN_TOXIC, MIN_WEIGHT = 5, 2.0      # a feature needs so many toxic documents and this log lift
 GRAM = 4
 
@@ -148,33 +152,58 @@ class Model:
         return self.__dict__ | {"cache": None}
 
     def weight(self, token: str) -> float:
-        return max((self.weights.get(f, 0.0) for w in restored(token, self.characters) for f in features(w)), default=0.0)
+        return max((self.word_weight(w) for w in restored(token, self.characters)), default=0.0)
+
+    def word_weight(self, word: str) -> float:
+        """The word's own weight, or the mean over its letter runs, so that a run that clean words share tells little."""
+        own, *runs = (self.weights.get(f, 0.0) for f in features(word))
+        return max(own, math.fsum(runs) / max(len(runs), 1))
 
     def measures(self, text: str | None) -> list[float]:
         """Strongest token, summed strength, summed strength for the text's size, 1."""
         if self.cache is None:
-            self.cache = WordCache(self.weight)
-        found = tokens(text)
-        w = list(map(self.cache.__getitem__, found))
-        total = math.log1p(math.fsum(w))
-        return [max(w, default=0.0), total, total / math.log(len(w) + 2), 1.0]
+            self.cache = WordCache(self.weight, CACHED)
+        return measures([self.cache[t] for t in tokens(text)])
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.measures(text), self.calibration))
+        if not math.isfinite(z):
+            raise ValueError(f"score of a text is not finite: {z}")
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def measures(weights: list[float]) -> list[float]:
+    """Of a text's distinct tokens: strongest, summed strength, summed strength for the text's size, 1."""
+    total = math.log1p(math.fsum(weights))
+    return [max(weights, default=0.0), total, total / math.log(max(len(weights), SHORT) + 2), 1.0]
+
+
+def _loss(x: np.ndarray, y: np.ndarray, beta: np.ndarray, ridge: float) -> float:
+    z = x @ beta
+    return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * beta @ beta)
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by damped Newton steps: a step is halved until it lowers the penalised loss."""
+    if not np.isfinite(x).all():
+        raise ValueError("measures of toxicity are not finite")
     beta = np.zeros(x.shape[1])
     beta[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)),
-                               x.T @ (y - p) - ridge * beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+    loss = _loss(x, y, beta, ridge)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -700, 700)))
+        slope = x.T @ (p - y) + ridge * beta
+        step = -np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), slope)
+        size = 1.0
+        while size > 1e-10 and not (after := _loss(x, y, beta + size * step, ridge)) <= loss + 1e-4 * size * float(slope @ step):
+            size /= 2
+        if size <= 1e-10:
+            break
+        beta, loss = beta + size * step, after
+        if np.abs(size * step).max() < 1e-9:
             break
+    if not np.isfinite(beta).all():
+        raise ValueError("the calibration of toxicity scores did not converge")
     return beta
 
 
@@ -183,28 +212,31 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the model: characters on all texts, the rest on labelled rows for which ``train`` holds.
 
     Labels reach the model only through those rows; about ``sample_rows`` of
-    them at most, chosen by hash. Toxic words and letter runs are those whose
+    them at most, chosen by a hash of id and text, each text of an id once. Toxic words and letter runs are those whose
     share among toxic documents' words stands out against clean ones'. The
     document score is calibrated on each half of the sample with the features
     that the other half finds. Null ids and labels are left out; an id labelled twice is
-    toxic if one label says so. Without usable labels every score is low.
+    toxic if one label says so. Without usable labels every score is low. A
+    fit that is not finite is an error.
     """
     spark = docs.sparkSession
     model = Model(character_model(character_counts(docs, text_col).collect()), {}, np.array([1.0, 1.0, 1.0, -6.0]))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = (known if train is None else known.where(train)).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col(label_col).cast("int")).alias("y"))
-    n = known.count()
+    n = docs.select(F.col(id_col).alias("id")).join(known, "id").count()
     parts = 1_000_000
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(parts))
-    sample = known.where(draw < min(parts, parts * sample_rows // max(n, 1))).withColumn(
-        "half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int"))
-    texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
-                   .select("half", "y", "text"), "labelled")
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "id", "text"), F.lit(parts))
+    drawn = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+             .where(draw < min(parts, parts * sample_rows // max(n, 1))))
+    # copies merge before the shuffle, so one row repeated any number of times is drawn once
+    texts = stored(drawn.join(known, "id").groupBy("id", F.xxhash64("text").alias("tie")).agg(
+        F.any_value("y").alias("y"), F.any_value("text").alias("text")).select(
+        F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half"), "y", "text"), "labelled")
     shared = spark.sparkContext.broadcast(model.characters)
 
     def words(batches):
-        cache = WordCache(lambda t: restored(t, shared.value))
+        cache = WordCache(lambda t: restored(t, shared.value), CACHED)
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -236,15 +268,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         strong = by_feature.where(toxic >= MIN_TOXIC).select("f", lift.alias("w")).where(F.col("w") > MIN_WEIGHT)
         return {r["f"]: r["w"] for r in strong.collect()}
 
-    halves = [spark.sparkContext.broadcast(Model(model.characters, weights((1 - h,)), model.calibration)) for h in (0, 1)]
+    # each half is measured with the other half's features; a token is decoded once for both
+    halves = spark.sparkContext.broadcast([Model(model.characters, weights((1 - h,)), model.calibration) for h in (0, 1)])
 
-    def measures(batches):
+    def measured(batches):
+        one, two = halves.value
+        cache = WordCache(lambda t: (one.weight(t), two.weight(t)), CACHED)
         for batch in batches:
-            x = [halves[h].value.measures(t)
-                 for h, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            x = [measures([cache[t][h] for t in tokens(text)])
+                 for h, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = texts.mapInArrow(measures, "y int, x array<double>").collect()
+    rows = texts.mapInArrow(measured, "y int, x array<double>").collect()       # sample_rows at most
     model.weights = weights((0, 1))
     y = np.array([r["y"] for r in rows], float)
     if len(y) and 0 < y.sum() < len(y):
@@ -256,18 +291,17 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
     """``docs`` with a score of 0 to 1 for each whole text; a column named ``out`` is replaced.
 
     Null and empty texts have no words and share the score of such. No
-    shuffle; rows are scored by themselves, so ties and repeats agree.
+    shuffle; rows are scored by themselves, so ties and repeats agree. Only
+    texts go to the Python workers and only scores come back.
     """
-    docs = docs.drop(out)
-    at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            scores = [shared.value.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.drop(out).withColumn(out, score(F.col(text_col)))
 
 
 def training_rows(id_col: str = "doc_id") -> Column:
