@@ -85,15 +85,16 @@ def valid_points(df: DataFrame, columns: Sequence[str] = ("latitude", "longitude
 
 
 def venue_filter(venues: DataFrame, venue_types: Sequence[str], price_ranges: Sequence[str],
-                 min_capacity: int = 0) -> DataFrame:
-    """Venue filter: type in list, price in list, capacity ≥ minimum.
+                 min_capacity: int = 0, min_rating: float | None = None) -> DataFrame:
+    """Venue filter: type in list, price in list, capacity ≥ minimum, rating ≥ minimum if one is given.
 
-    An empty list selects no rows, and a venue with unknown capacity never
-    passes the capacity test.
+    An empty list selects no rows; a venue with unknown capacity never
+    passes the capacity test, an unrated one no rating test.
     """
-    return venues.filter(F.col("venue_type").isin(list(venue_types))
-                         & F.col("price_range").isin(list(price_ranges))
-                         & (F.col("capacity") >= F.lit(int(min_capacity))))
+    out = venues.filter(F.col("venue_type").isin(list(venue_types))
+                        & F.col("price_range").isin(list(price_ranges))
+                        & (F.col("capacity") >= F.lit(int(min_capacity))))
+    return out if min_rating is None else out.filter(F.col("rating") >= F.lit(Decimal(str(min_rating))))
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

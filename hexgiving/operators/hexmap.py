@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexgiving.functions.hexcells import with_parent
 from hexgiving.functions.hexgrid import GRIDS, HexGrid, corner_rows, with_cell
 from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
 from hexgiving.operators.filters import valid_points
@@ -87,6 +88,39 @@ def hex_rollup_static(df: DataFrame, cell_col: str = "hex_level_8") -> DataFrame
                        F.count("donor_id").alias("donor_count"))
 
 
+def with_parents(df: DataFrame, cell_col: str = "hex_level_9", levels: tuple[int, ...] = (8, 7), prefix: str = "parent_") -> DataFrame:
+    """Add ``parent_<level>`` for each level, finest first: every cell has one parent a level, made of whole children."""
+    child = cell_col
+    for level in levels:
+        df = with_parent(df, child, f"hn{level}", f"{prefix}{level}")
+        child = f"{prefix}{level}"
+    return df
+
+
+def nested_rollup(df: DataFrame, cell_col: str = "hex_level_9", levels: tuple[int, ...] = (8, 7)) -> DataFrame:
+    """Counts and totals of each cell, of its parents at each level, and of all cells: (level, hex_cell, parent_cell, ...).
+
+    Donors are grouped once, by the finest cell; the hierarchy is a rollup of
+    those sums, so its cost follows the cells. Children add up to their
+    parent exactly. ``level`` 0 is the total; rows without a cell are in none.
+    """
+    finest = GRIDS[9].res if cell_col == "hex_level_9" else levels[0] + 1
+    cells = group_cells(df, cell_col, F.count(F.lit(1)).alias("n"), F.sum(ANNUAL).alias("annual"), F.sum(CUMULATIVE).alias("cumulative"))
+    path = [f"parent_{level}" for level in reversed(levels)] + ["hex_cell"]
+    rolled = with_parents(cells, "hex_cell", levels).rollup(*path).agg(
+        F.grouping_id().alias("gid"), F.sum("n").alias("donor_count"),
+        F.coalesce(F.sum("annual").cast("double"), F.lit(0.0)).alias("total_annual"),
+        F.coalesce(F.sum("cumulative").cast("double"), F.lit(0.0)).alias("total_cumulative"))
+    level, parent = F.lit(0), F.lit(None).cast("string")
+    for depth, number in enumerate((*reversed(levels), finest)):
+        here = F.col("gid") == 2 ** (len(levels) - depth) - 1
+        level = F.when(here, F.lit(number)).otherwise(level)
+        parent = F.when(here & F.lit(depth > 0), F.col(path[depth - 1])).otherwise(parent)
+    cell = F.coalesce(*reversed([F.col(c) for c in path]))
+    return rolled.where("donor_count IS NOT NULL").select(
+        level.alias("level"), cell.alias("hex_cell"), parent.alias("parent_cell"), "donor_count", "total_annual", "total_cumulative")
+
+
 def report_top_hex(df: DataFrame, cell_col: str = "hex_level_8", k: int = 10) -> DataFrame:
     """Top k cells by total, every measure rounded to 4 places."""
     agg = group_cells(df, cell_col,

@@ -61,3 +61,44 @@ def sample_n(df: DataFrame, n: int, key: str, seed: str | int = 0) -> DataFrame:
     if share < 1 and few.count() < n:
         few = df
     return number_rows(few, key, seed, out="_rn").where(F.col("_rn") <= n).drop("_rn")
+
+
+def global_rank(df: DataFrame, order_col: str, key: str, num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``position``, ``rank`` and ``dense_rank`` by ``order_col`` descending (nulls last), over all rows.
+
+    Rows with equal values share a rank; nulls are equal to each other.
+    Position breaks ties on ``key`` (ascending, null first; unique). Rows are
+    range-partitioned on value and key, so a value that a third of all rows
+    share spreads over many tasks, and pinned by a checkpoint. Each partition
+    is ranked by itself; one row per partition (counts, first and last value,
+    start of the last run) then gives its offsets, and a run of equal
+    values that crosses partition edges takes the rank at which it began.
+    Other columns stay; columns named as the results are replaced.
+    """
+    checkpoint_root(df.sparkSession)
+    order = [F.col(order_col).desc_nulls_last(), F.col(key).asc_nulls_first()]
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    pinned = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    value = Window.partitionBy("_pid").orderBy(order[0])
+    local = pinned.withColumns({"_rn": F.row_number().over(Window.partitionBy("_pid").orderBy(*order)).cast("long"),
+                                "_rank": F.rank().over(value).cast("long"), "_dense": F.dense_rank().over(value).cast("long")})
+    at = F.struct("_rn", F.col(order_col).alias("v"))
+    parts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.max("_dense").alias("d"), F.max("_rank").alias("tail"),
+                                      F.min(at)["v"].alias("first"), F.max(at)["v"].alias("last"))
+    # one row per partition from here to the join
+    w = Window.orderBy("_pid")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({
+        "off": F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")),
+        "goes_on": (F.lag("last").over(w).eqNullSafe(F.col("first")) & F.lag("n").over(w).isNotNull()).cast("long")})
+    began = F.when((F.col("goes_on") == 0) | (F.col("d") > 1), F.col("off") + F.col("tail"))
+    parts = parts.withColumns({
+        "doff": F.coalesce(F.sum(F.col("d") - F.col("goes_on")).over(before), F.lit(0).cast("long")) - F.col("goes_on"),
+        "run": F.last(began, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    parts = parts.withColumn("head", F.when(F.col("goes_on") == 1, F.lag("run").over(w)).otherwise(F.col("off") + 1))
+    edges = parts.select("_pid", "off", "doff", "head").toDF("_pid", "_off", "_doff", "_head")
+    out = local.join(F.broadcast(edges), "_pid")
+    return out.withColumns({
+        "position": F.col("_off") + F.col("_rn"),
+        "rank": F.when(F.col("_dense") == 1, F.col("_head")).otherwise(F.col("_off") + F.col("_rank")),
+        "dense_rank": F.col("_doff") + F.col("_dense")}).drop("_pid", "_rn", "_rank", "_dense", "_off", "_doff", "_head")

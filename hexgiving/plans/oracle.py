@@ -506,3 +506,85 @@ ORACLE["sql_zip_view"] = w(
     f"WHERE donor_count >= 1 AND zip_code <> '29600'")
 ORACLE["partitioned_filter_zip"] = w(
     f"SELECT donor_id, zip_code, donor_segment, CAST({A} AS DOUBLE) AS {A} FROM donors WHERE {pred(zip_codes=R.ZIPS)}")
+
+# --- where to hold an event ---------------------------------------------------------
+GRID8 = S.hg.GRIDS[8]
+
+
+def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    h = (f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+         f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)")
+    return f"(2 * {S.d(S.hg.EARTH_RADIUS_KM)} * asin(sqrt(least({h}, 1))))"
+
+
+def qr(cell: str) -> tuple[str, str]:
+    return f"CAST(split_part({cell}, ':', 2) AS BIGINT)", f"CAST(split_part({cell}, ':', 3) AS BIGINT)"
+
+
+VENUES_CELL = f"venues AS ({S.with_cells(S.VENUES, (8,))})"
+VENUE_DONOR_KM = km("v.latitude", "v.longitude", "d.latitude", "d.longitude")
+ORACLE["catchment_pairs"] = w(
+    f"SELECT venue_id, donor_id, floor(km * 1000 + 0.5) / 1000 AS distance_km FROM (SELECT venue_id, donor_id, {VENUE_DONOR_KM} AS km "
+    f"FROM venues v, donors d) WHERE km <= {R.PAIR_RADIUS_KM}", extra=f"venues AS ({S.VENUES})")
+ORACLE["venue_catchments"] = w(
+    f"SELECT v.venue_id, v.venue_type, count(donor_id) AS donor_count, CAST(coalesce(sum({A}), 0) AS DOUBLE) AS total_annual, "
+    f"CAST(count_if(coalesce(donor_segment = 'Major Donor', FALSE)) AS BIGINT) AS major_donors, "
+    f"floor(min({VENUE_DONOR_KM}) * 1000 + 0.5) / 1000 AS nearest_km "
+    f"FROM venues v LEFT JOIN donors d ON {VENUE_DONOR_KM} <= {R.CATCHMENT_KM} GROUP BY v.venue_id, v.venue_type",
+    extra=f"venues AS ({S.VENUES})")
+
+CELLS8 = (f"cells AS (SELECT hex_level_8 AS hex_cell, {qr('hex_level_8')[0]} AS q, {qr('hex_level_8')[1]} AS r, count({A}) AS donor_count, "
+          f"sum({A}) AS total FROM donors WHERE hex_level_8 IS NOT NULL GROUP BY hex_level_8)")
+AROUND = ("around AS (SELECT 'hx8:' || CAST(q + dq AS VARCHAR) || ':' || CAST(r + dr AS VARCHAR) AS hex_cell, donor_count, total, "
+          "greatest(abs(dq), abs(dr), abs(dq + dr)) AS ring FROM cells, range(-2, 3) a(dq), range(-2, 3) b(dr) WHERE abs(dq + dr) <= 2), "
+          "score AS (SELECT hex_cell, CAST(sum(total * (3 - ring)) AS DOUBLE) AS weighted_total, "
+          "CAST(sum(donor_count * (3 - ring)) AS BIGINT) AS weighted_donors, "
+          "CAST(coalesce(sum(total) FILTER (ring = 0), 0) AS DOUBLE) AS total_annual, "
+          "CAST(coalesce(sum(donor_count) FILTER (ring = 0), 0) AS BIGINT) AS donor_count FROM around GROUP BY hex_cell)")
+ORACLE["hex_concentration"] = w("SELECT * FROM score", cells=True, extra=f"{CELLS8}, {AROUND}")
+ORACLE["best_venues"] = w(
+    "SELECT * FROM (SELECT v.venue_type, v.venue_id, v.venue_name, v.hex_level_8 AS hex_cell, coalesce(weighted_total, 0) AS weighted_total, "
+    "coalesce(weighted_donors, 0) AS weighted_donors, coalesce(total_annual, 0) AS cell_total, "
+    "CAST(row_number() OVER (PARTITION BY venue_type ORDER BY coalesce(weighted_total, 0) DESC, venue_id) AS INT) AS place "
+    "FROM venues v LEFT JOIN score s ON s.hex_cell = v.hex_level_8) WHERE place <= 3",
+    cells=True, extra=f"{CELLS8}, {AROUND}, {VENUES_CELL}")
+ORACLE["nearest_venues"] = w(
+    f"SELECT hex_cell, rank, venue_id, floor(km * 1000 + 0.5) / 1000 AS distance_km FROM (SELECT *, "
+    f"CAST(row_number() OVER (PARTITION BY hex_cell ORDER BY km, venue_id) AS INT) AS rank FROM ("
+    f"SELECT hex_cell, venue_id, {km('c.lat', 'c.lon', 'v.latitude', 'v.longitude')} AS km FROM ("
+    f"SELECT hex_cell, 1.5e0 * r / {S.d(GRID8.ky)} AS lat, {S.d(S.hg.SQRT3)} * (q + r * 0.5e0) / {S.d(GRID8.kx)} AS lon FROM cells) c, venues v)) "
+    f"WHERE rank <= 3", cells=True, extra=f"{CELLS8}, venues AS ({S.VENUES})")
+
+
+def parent(cell: str, prefix: str) -> str:
+    q, r = qr(cell)
+    return (f"'{prefix}:' || CAST(CAST(round((3 * {q} + {r}) / 7e0) AS BIGINT) AS VARCHAR) || ':' || "
+            f"CAST(CAST(round((2 * {r} - {q}) / 7e0) AS BIGINT) AS VARCHAR)")
+
+
+PARENTS = (f"p8 AS (SELECT *, {parent('hex_level_9', 'hn8')} AS parent_8 FROM donors WHERE hex_level_9 IS NOT NULL), "
+           f"p7 AS (SELECT *, {parent('parent_8', 'hn7')} AS parent_7 FROM p8)")
+SUMS = f"count(*) AS donor_count, CAST(sum({A}) AS DOUBLE) AS total_annual, CAST(sum({C}) AS DOUBLE) AS total_cumulative FROM p7"
+ORACLE["nested_rollup"] = w(
+    f"SELECT 9 AS level, hex_level_9 AS hex_cell, any_value(parent_8) AS parent_cell, {SUMS} GROUP BY hex_level_9 UNION ALL "
+    f"SELECT 8, parent_8, any_value(parent_7), {SUMS} GROUP BY parent_8 UNION ALL "
+    f"SELECT 7, parent_7, NULL, {SUMS} GROUP BY parent_7 UNION ALL SELECT 0, NULL, NULL, {SUMS} HAVING count(*) > 0",
+    cells=True, extra=PARENTS)
+ORACLE["cell_parents"] = w("SELECT DISTINCT hex_level_9, parent_8, parent_7 FROM p7", cells=True, extra=PARENTS)
+
+
+def ranks(value: str) -> str:
+    return (f"row_number() OVER (ORDER BY {value} DESC NULLS LAST, hex_cell) AS position, rank() OVER (ORDER BY {value} DESC NULLS LAST) AS rank, "
+            f"dense_rank() OVER (ORDER BY {value} DESC NULLS LAST) AS dense_rank")
+
+
+ORACLE["hex_rank_9"] = w(
+    f"SELECT *, {ranks('donor_count')} FROM (SELECT hex_level_9 AS hex_cell, count(*) AS donor_count FROM donors "
+    f"WHERE hex_level_9 IS NOT NULL GROUP BY hex_level_9)", cells=True)
+ORACLE["hex_rank_8"] = w(
+    f"SELECT hex_cell, total_annual, donor_count, {ranks('total_annual')} FROM (SELECT hex_cell, CAST(total AS DOUBLE) AS total_annual, donor_count "
+    f"FROM cells)", cells=True, extra=CELLS8)
+ORACLE["venue_filter_rating"] = (
+    f"WITH venues AS ({S.VENUES}) SELECT venue_id, CAST(rating AS DOUBLE) AS rating FROM venues "
+    f"WHERE venue_type IN {S.in_list(R.VENUE_TYPES)} AND price_range IN {S.in_list(R.PRICES)} "
+    f"AND capacity >= {R.MIN_CAPACITY} AND rating >= {R.RATING}")

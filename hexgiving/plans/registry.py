@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgiving.operators import features, filters, governance, hexmap, quality, rollups
+from hexgiving.operators import features, filters, governance, hexmap, quality, rollups, sites
 from hexgiving.operators import enrich as enr
-from hexgiving.operators.numbering import number_rows, sample_n
+from hexgiving.operators.numbering import global_rank, number_rows, sample_n
 from hexgiving.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,6 +414,76 @@ def _roles_clear(spark, sf):
     return out
 
 
+# --- where to hold an event ------------------------------------------------------
+
+PAIR_RADIUS_KM, CATCHMENT_KM = 1.5, 4.0
+RATING = 4.5
+
+
+def _cells(spark, sf):
+    return hexmap.hex_rollup_stored(donors(spark, sf), "hex_level_8")
+
+
+@query("catchment_pairs")
+def _catchment_pairs(spark, sf):
+    """Every donor within 1.5 km of a venue, with the distance."""
+    d = donors(spark, sf).select("donor_id", "latitude", "longitude", "hex_level_8")
+    return sites.catchment_pairs(T.venues(spark, sf), d, PAIR_RADIUS_KM).select("venue_id", "donor_id", "distance_km")
+
+
+@query("venue_catchments")
+def _venue_catchments(spark, sf):
+    return sites.venue_catchments(T.venues(spark, sf), donors(spark, sf), CATCHMENT_KM)
+
+
+@query("hex_concentration")
+def _hex_concentration(spark, sf):
+    """Donors and giving around each cell, nearer cells counting more."""
+    return sites.concentration(_cells(spark, sf), 8, rings=2)
+
+
+@query("best_venues")
+def _best_venues(spark, sf):
+    """The three venues of each type with the most giving around them."""
+    return sites.best_venues(T.venues(spark, sf), _cells(spark, sf), 8, k=3, rings=2)
+
+
+@query("nearest_venues")
+def _nearest_venues(spark, sf):
+    """The three venues nearest to each cell that has donors."""
+    return sites.nearest_venues(_cells(spark, sf).select("hex_cell"), T.venues(spark, sf), 8, k=3)
+
+
+@query("nested_rollup")
+def _nested_rollup(spark, sf):
+    return hexmap.nested_rollup(donors(spark, sf))
+
+
+@query("cell_parents")
+def _cell_parents(spark, sf):
+    cells = donors(spark, sf).select("hex_level_9").where("hex_level_9 IS NOT NULL").distinct()
+    return hexmap.with_parents(cells)
+
+
+@query("hex_rank_9")
+def _hex_rank_9(spark, sf):
+    """Place of every res 9 cell by its number of donors, ties included."""
+    cells = hexmap.group_cells(donors(spark, sf), "hex_level_9", F.count(F.lit(1)).alias("donor_count"))
+    return global_rank(cells, "donor_count", "hex_cell")
+
+
+@query("hex_rank_8")
+def _hex_rank_8(spark, sf):
+    """The stored hex rollup in order of total: each cell's place."""
+    return global_rank(_cells(spark, sf).select("hex_cell", "total_annual", "donor_count"), "total_annual", "hex_cell")
+
+
+@query("venue_filter_rating")
+def _venue_filter_rating(spark, sf):
+    return (filters.venue_filter(T.venues(spark, sf), VENUE_TYPES, PRICES, MIN_CAPACITY, RATING)
+            .select("venue_id", F.col("rating").cast("double").alias("rating")))
+
+
 # --- enrichment -----------------------------------------------------------------
 
 def _addresses(spark, sf):
