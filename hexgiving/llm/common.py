@@ -29,6 +29,13 @@ def fold(id_column: str | Column, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
+def slices(batches, rows: int = 500):
+    """The batches in pieces of at most ``rows``: a worker holds the Python objects of one piece at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordCache(dict):
     """Word -> value, computed once while the word stays in use.
 

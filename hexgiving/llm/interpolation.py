@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import chain, fold, stored, word_hashes
+from hexgiving.llm.common import chain, fold, slices, stored, word_hashes
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 KEYS_PER_PARTITION = 1_000_000
 START, END = np.uint64(1), np.uint64(2)     # stand for a text's start (a context only) and its end (a token)
 RETAINED, DELETED, UNSEEN = 0, 1, 2         # a block's part: estimates, mixture weights, neither
@@ -58,7 +58,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, part: str) -> DataFrame
         open_ids, open_texts, sizes = ([[], [], []] for _ in range(3))
         sizes = [0, 0, 0]
         kind = None
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.types[0]
             for i, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                      batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
