@@ -17,6 +17,7 @@ CENTROIDS = 64              # per half, at most; cells are pairs of centroids
 ROUNDS = 12
 SHARE = 0.75                # share of the index that a query visits, best cells first
 BLOCK = 4096, 1024          # vectors and queries of one block, about
+SLICE = 128                 # queries multiplied at a time
 SEED = 7
 
 
@@ -86,9 +87,10 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     products with its two centroids; visited entries are reranked on the
     original vectors in double precision. The codebooks are fitted on a
     sample chosen by hash; every row is indexed. A query visits ``share`` of
-    the index, and ``k`` entries of other ids at least, or all. Null, zero and non-finite
+    the index, and ``k`` other ids at least, or all. Null, zero and non-finite
     vectors and those of an uncommon length take no part; null ids neither.
-    Rows that repeat an id are one candidate per distinct vector. Other columns are not read.
+    Rows that repeat an id are one candidate, with the best score of its
+    vectors, and one query, likewise. Other columns are not read.
 
     Index entries are dealt by first centroid and hash into blocks of a
     bounded size, however full a cell is; a block of queries meets a block of
@@ -130,8 +132,9 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
         sizes[r["a"], r["b"]] = r["count"]
     full = spark.sparkContext.broadcast(sizes)
     wanted = data.where(query)
-    # most rows of one query's id: no candidates of that query, so it visits them on top of k
-    own = wanted.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    # k other ids are in any k times the most rows of one id, a query's own rows aside
+    most = data.groupBy("id").count().agg(F.max("count")).first()[0]
+    least = k * most + most
 
     def visit(batches):
         for batch in batches:
@@ -141,7 +144,7 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
             d1, d2 = -(x[:, :half] @ one.T), -(x[:, half:] @ two.T)
             row, first, cells = [], [], []
             for i in range(len(x)):
-                mask = traverse(d1[i], d2[i], full.value, max(int(np.ceil(share * n)), k + own))
+                mask = traverse(d1[i], d2[i], full.value, max(int(np.ceil(share * n)), least))
                 for a in np.flatnonzero(mask.any(1)):
                     row.append(i)
                     first.append(a)
@@ -166,17 +169,28 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
             cells = np.unpackbits(np.frombuffer(b"".join(q.column("cells").to_pylist()), np.uint8).reshape(q.num_rows, -1),
                                   axis=1).astype(bool)
             ids, y, b = e.column("id").to_pylist(), flat(e.column("v").combine_chunks()), e.column("b").to_numpy()
+            number = {}
+            owner = np.array([number.setdefault(i, len(number)) for i in ids])
             for i in range(len(names)):
-                rows = np.flatnonzero(cells[i][b])
-                rough = y[rows] @ x[i]
-                if len(rows) > k + 1:       # its own row may be among them; ties at the edge stay
-                    keep = rough >= np.partition(rough, len(rows) - k - 1)[len(rows) - k - 1] - 1e-9
-                    rows = rows[keep]
+                if i % SLICE == 0:
+                    rough_all = x[i:i + SLICE] @ y.T
+                rows = np.flatnonzero(cells[i][b] & (owner != number.get(names[i], -1)))
+                rough = rough_all[i % SLICE][rows]
+                if len(rows) > k:       # the k best ids; ties at the edge stay
+                    best = rough
+                    if len(number) < len(ids):
+                        best = np.full(len(number), -np.inf)
+                        np.maximum.at(best, owner[rows], rough)
+                    rows = rows[rough >= np.partition(best, len(best) - k)[len(best) - k] - 1e-9] if len(best) > k else rows
                 exact = (y[rows] * x[i]).sum(axis=1)
-                found = sorted((-s, ids[r]) for s, r in zip(exact.tolist(), rows.tolist(), strict=True) if ids[r] != names[i])[:k]
+                found = {}
+                for s, r in sorted(zip((-exact).tolist(), rows.tolist(), strict=True), key=lambda t: (t[0], ids[t[1]])):
+                    found.setdefault(ids[r], -s)
+                    if len(found) == k:
+                        break
                 out[0] += [names[i]] * len(found)
-                out[1] += [f[1] for f in found]
-                out[2] += [-f[0] for f in found]
+                out[1] += found.keys()
+                out[2] += found.values()
         kind = q.schema.field("id").type if q.num_rows else e.schema.field("id").type
         return pa.table({"query_id": pa.array(out[0], kind), "id": pa.array(out[1], kind), "score": pa.array(out[2], pa.float64())})
 
