@@ -47,6 +47,15 @@ def mean_half_up(c: Column, digits: int, scale_digits: int = 2) -> Column:
     return F.when(F.count(c) > 0, q / F.lit(float(10 ** digits)))
 
 
+def mean_of_sums(total: Column, n: Column, digits: int) -> Column:
+    """``total / n`` (a DECIMAL with 2 places, a count) rounded half-up to ``digits`` places; null if ``n`` is 0."""
+    exact = lambda x: x.cast("decimal(38,0)")
+    cents, count = exact(total * F.lit(100).cast("decimal(3,0)")), exact(n)
+    twice = exact(F.abs(cents) * F.lit(2 * 10 ** (digits - 2)).cast("decimal(6,0)"))
+    size = F.call_function("div", exact(twice + count), exact(count * F.lit(2).cast("decimal(1,0)")))
+    return F.when(n > 0, F.when(cents >= 0, size).otherwise(-size) / F.lit(float(10 ** digits)))
+
+
 def coord_mean(c: Column) -> Column:
     """Mean of a double from an exact fixed-point (1e-9) sum; null if empty."""
     units = F.floor(c * F.lit(NANO) + F.lit(0.5)).cast("decimal(20,0)")

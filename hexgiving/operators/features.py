@@ -111,17 +111,24 @@ def map_layers(donors: DataFrame, venues: DataFrame | None = None) -> DataFrame:
 
 
 def venue_cards(venues: DataFrame) -> DataFrame:
-    """Venue card text: title, capacity, rating over 5, address, website if set."""
+    """Venue card text: title, capacity, rating over 5, price, phone, address lines, description, website if set.
+
+    A null field shows as ``None``; a column that the table lacks gives no
+    line (without city and state the address line is the zip code alone).
+    """
     cols = set(venues.columns)
-    title = F.concat_ws(" - ", F.col("venue_name"), F.col("venue_type"))
-    out = [F.col("venue_id"), title.alias("title"),
-           F.coalesce(F.col("capacity").cast("string"), F.lit("None")).alias("capacity_text"),
-           F.concat(F.coalesce(F.col("rating").cast("string"), F.lit("None")), F.lit("/5.0")).alias("rating_text"),
-           F.concat(F.lit("Price Range: "), F.coalesce(F.col("price_range"), F.lit("None"))).alias("price_text")]
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), shown(c))
+    out = [F.col("venue_id"), F.concat_ws(" - ", F.col("venue_name"), F.col("venue_type")).alias("title"),
+           shown("capacity").alias("capacity_text"), F.concat(shown("rating"), F.lit("/5.0")).alias("rating_text"),
+           line("Price Range", "price_range").alias("price_text")]
+    for label, c in (("Phone", "phone"), ("Address", "street_address"), ("Description", "description")):
+        if c in cols:
+            out.append(line(label, c).alias(f"{c}_text"))
     if {"city", "state", "zip_code"} <= cols:
-        out.append(F.concat(F.col("city"), F.lit(", "), F.col("state"), F.lit(" "), F.col("zip_code")).alias("address_line"))
+        out.append(F.concat(shown("city"), F.lit(", "), shown("state"), F.lit(" "), shown("zip_code")).alias("address_line"))
     elif "zip_code" in cols:
-        out.append(F.coalesce(F.col("zip_code"), F.lit("None")).alias("address_line"))
+        out.append(shown("zip_code").alias("address_line"))
     if "website" in cols:
         site = F.col("website")
         out.append(F.when(site.isNotNull() & (site != ""), F.concat(F.lit("Website: "), site)).alias("website_text"))
@@ -156,7 +163,7 @@ DETAIL_COLUMNS = ("full_name", "zip_code", "graduation_year", "major", "degree_t
 
 
 def donor_details(filtered: DataFrame) -> DataFrame:
-    """Detail list: up to 8 columns, numbers rounded to 2 places."""
+    """Detail list: up to 8 columns, the amounts as doubles (they are stored with 2 places)."""
     cols = existing_columns(filtered, DETAIL_COLUMNS)
     out = []
     for c in cols:

@@ -22,7 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexgiving.functions.measures import coord_mean, mean_half_up, money_sum, rounded
+from hexgiving.functions.measures import coord_mean, mean_half_up, mean_of_sums, money_sum, rounded
+from hexgiving.schemas import DONOR_SUMMARY, declared
 from hexgiving.sources.tables import (MAJOR_DONOR_MIN, SEGMENT_ANNUAL, SEGMENT_MAJOR,
                                       SEGMENT_MID)
 
@@ -67,6 +68,24 @@ def donor_summary(donors: DataFrame, cell_cols: Sequence[str] = ("hex_level_7",
                  F.count_if(F.col(ANNUAL) >= MAJOR_DONOR_MIN).alias("major_donors_count")))
 
 
+def declared_summary(donors: DataFrame, created: Column | None = None,
+                     cell_cols: Sequence[str] = ("hex_level_7", "hex_level_8", "hex_level_9")) -> DataFrame:
+    """The stored summary with its declared types: exact DECIMAL totals and means, INT counts, the load time.
+
+    Means are rounded half-up; sums of null amounts alone are null. A group too
+    large for a declared type is an error, not a wrong number.
+    """
+    rows = donors.groupBy("zip_code", *cell_cols).agg(
+        F.count(F.lit(1)).alias("donor_count"), F.sum(ANNUAL).alias("total_annual_donations"),
+        F.sum(CUMULATIVE).alias("total_cumulative_donations"), F.count(ANNUAL).alias("_na"), F.count(CUMULATIVE).alias("_nc"),
+        F.count_if(F.col(ANNUAL) >= MAJOR_DONOR_MIN).alias("major_donors_count"))
+    mean = lambda total, n: mean_of_sums(F.col(total).cast("decimal(38,2)"), F.col(n), 2)
+    rows = rows.withColumns({"avg_annual_donation": mean("total_annual_donations", "_na"),
+                             "avg_cumulative_donation": mean("total_cumulative_donations", "_nc"),
+                             "created_date": F.current_timestamp() if created is None else created})
+    return declared(rows, DONOR_SUMMARY)
+
+
 def donor_overview(donors: DataFrame) -> DataFrame:
     """One row: totals, averages and count per segment."""
     seg = F.col("donor_segment")
@@ -193,7 +212,7 @@ def top_zip(filtered: DataFrame) -> DataFrame:
     aggregate over the (at most one row) top-1 frame always yields one row.
     """
     totals = (_drop_null_keys(filtered, ["zip_code"]).groupBy("zip_code")
-              .agg(money_sum(F.col(ANNUAL)).alias("total_annual"),
+              .agg(total_or_zero(F.col(ANNUAL)).alias("total_annual"),
                    F.count(F.lit(1)).alias("donor_count")))
     best = top_k(totals, 1, "total_annual", "zip_code")
     return best.agg(F.coalesce(F.first("zip_code"), F.lit("No data")).alias("top_zip"),
@@ -207,7 +226,7 @@ def rows_of_top_zip(filtered: DataFrame) -> DataFrame:
     and it is broadcast.
     """
     totals = (_drop_null_keys(filtered, ["zip_code"]).groupBy("zip_code")
-              .agg(money_sum(F.col(ANNUAL)).alias("total_annual")))
+              .agg(total_or_zero(F.col(ANNUAL)).alias("total_annual")))
     best = top_k(totals, 1, "total_annual", "zip_code").select("zip_code")
     return filtered.join(F.broadcast(best), "zip_code", "left_semi")
 

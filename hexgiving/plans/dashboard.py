@@ -11,6 +11,9 @@ from lineage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +21,28 @@ from hexgiving.operators import features, filters, hexmap, rollups
 from hexgiving.sources import tables as T
 
 
+@contextmanager
+def dashboard(spark: SparkSession, sf_dir: str, **choices) -> Iterator[dict[str, DataFrame]]:
+    """``dashboard_tables`` for the time of a page; the persisted rows are given back when it is left."""
+    tables = dashboard_tables(spark, sf_dir, **choices)
+    try:
+        yield tables
+    finally:
+        tables["filtered"].unpersist()
+
+
 def dashboard_tables(spark: SparkSession, sf_dir: str, zip_codes=None, grad_years=None,
                      donation_range=None, donor_segments=None, resolution: int = 8,
                      page_size: int | None = 50) -> dict[str, DataFrame]:
-    donors = T.donors_with_cells(spark, sf_dir)
+    """Every table of the page, lazily; ``filtered`` is persisted and its holder unpersists it (``dashboard`` does).
+
+    The rows come from the stored donor table; amount bounds are exact
+    decimals, so all filters reach its scan.
+    """
+    donors = T.donor_table(spark, sf_dir)
     venues = T.venues(spark, sf_dir)
-    pred = filters.donor_predicate(zip_codes, grad_years, donation_range, donor_segments)
+    scale = donors.schema["annual_donation_amount"].dataType.scale
+    pred = filters.donor_predicate(zip_codes, grad_years, donation_range, donor_segments, amount_scale=scale)
     filtered = donors.filter(pred).persist(StorageLevel.MEMORY_AND_DISK)
     rollup = hexmap.hex_rollup_stored(filtered, f"hex_level_{resolution}")
     return {

@@ -455,7 +455,7 @@ def _report_sql() -> str:
     f6 = lambda c: f"printf('%.6f', {c})"
     money = lambda c: f"'$' || format('{{:,.2f}}', {c})"
     L = []
-    const = [(0, "00", "'DONOR EVENT TARGETING REPORT'"), (0, "01", S.q("=" * 50)),
+    const = [(0, "00", "'ALUMNI EVENT TARGETING REPORT'"), (0, "01", S.q("=" * 50)),
              (0, "02", S.q(f"Generated: {R.REPORT_TIME}")), (1, "00", "'SUMMARY STATISTICS'"), (1, "01", S.q("-" * 20))]
     L += [f"SELECT {s} AS section, {S.q(k)} AS line_key, {t} AS text" for s, k, t in const]
     fromhead = [(0, "03", "'Total Records Analyzed: ' || format('{:,}', n)"),
@@ -588,3 +588,47 @@ ORACLE["venue_filter_rating"] = (
     f"WITH venues AS ({S.VENUES}) SELECT venue_id, CAST(rating AS DOUBLE) AS rating FROM venues "
     f"WHERE venue_type IN {S.in_list(R.VENUE_TYPES)} AND price_range IN {S.in_list(R.PRICES)} "
     f"AND capacity >= {R.MIN_CAPACITY} AND rating >= {R.RATING}")
+
+# --- full cards, declared types, governed SQL, sketches, incremental jobs -----------------
+SHOWN = "coalesce(CAST({} AS VARCHAR), 'None')"
+ORACLE["venue_cards_full"] = (
+    f"WITH v AS (SELECT *, CAST(substr(venue_id, 7, 6) AS INT) AS k FROM ({S.VENUES})), "
+    "f AS (SELECT v.*, n_name AS city, CASE WHEN k % 10 = 0 THEN 'NC' ELSE 'SC' END AS state, "
+    "CASE WHEN k % 19 <> 0 THEN '(864) 555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS phone, "
+    "CAST(k % 900 + 1 AS VARCHAR) || ' ' || venue_type || ' Street' AS street_address, "
+    "CASE WHEN k % 11 <> 0 THEN venue_type || ' in ' || n_name END AS description, "
+    "CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 <> 0 THEN 'https://venues.example.com/' || CAST(k AS VARCHAR) END AS website "
+    "FROM v LEFT JOIN nation ON v.zip_code = CAST(29600 + n_nationkey AS VARCHAR)) "
+    f"SELECT venue_id, concat_ws(' - ', venue_name, venue_type) AS title, {SHOWN.format('capacity')} AS capacity_text, "
+    f"{SHOWN.format('rating')} || '/5.0' AS rating_text, 'Price Range: ' || {SHOWN.format('price_range')} AS price_text, "
+    f"'Phone: ' || {SHOWN.format('phone')} AS phone_text, 'Address: ' || {SHOWN.format('street_address')} AS street_address_text, "
+    f"'Description: ' || {SHOWN.format('description')} AS description_text, "
+    f"{SHOWN.format('city')} || ', ' || {SHOWN.format('state')} || ' ' || {SHOWN.format('zip_code')} AS address_line, "
+    "CASE WHEN website <> '' THEN 'Website: ' || website END AS website_text FROM f")
+ORACLE["summary_declared"] = w(
+    f"SELECT zip_code, hex_level_7, hex_level_8, hex_level_9, CAST(count(*) AS INT) AS donor_count, "
+    f"CAST(CAST(sum({A}) AS DECIMAL(15,2)) AS VARCHAR) AS total_annual_donations, "
+    f"CAST(CAST(sum({C}) AS DECIMAL(15,2)) AS VARCHAR) AS total_cumulative_donations, "
+    f"CAST(CAST({S.mean_half_up(A, 2)} AS DECIMAL(10,2)) AS VARCHAR) AS avg_annual_donation, "
+    f"CAST(CAST({S.mean_half_up(C, 2)} AS DECIMAL(12,2)) AS VARCHAR) AS avg_cumulative_donation, "
+    f"CAST(count_if({A} >= 10000) AS INT) AS major_donors_count, '{R.REPORT_TIME}' AS created_date "
+    f"FROM donors GROUP BY zip_code, hex_level_7, hex_level_8, hex_level_9", cells=True)
+
+
+def governed_sql(role: str) -> str:
+    """What one role sees, from the policies' role lists."""
+    from hexgiving.operators import governance as G
+    rows = (f"donor_segment = 'Annual Donor'" if role == G.INTERN_ROLE else "TRUE" if role in G.ALL_ROWS_ROLES else "FALSE")
+    name = "min(full_name)" if role in G.STRING_CLEAR_ROLES else "'**masked**'"
+    number = role in G.NUMBER_CLEAR_ROLES
+    return (f"SELECT donor_segment, count(*) AS donors, {name} AS first_name, CAST({'max(age)' if number else '0'} AS INT) AS oldest, "
+            f"CAST({f'sum({A})' if number else '0'} AS DOUBLE) AS total_annual, '{role}' AS role FROM donors WHERE {rows} GROUP BY donor_segment")
+
+
+ORACLE["sql_governed"] = w(" UNION ALL ".join(governed_sql(r) for r in R.ROLES))
+ORACLE["sketch_counts"] = w("SELECT zip_code, count(DISTINCT hex_level_9) AS distinct_cells, count(DISTINCT donor_id) AS distinct_donors, "
+                            "TRUE AS within_error FROM donors GROUP BY zip_code", cells=True)
+ORACLE["delta_stream"] = ORACLE["donor_summary"]
+ORACLE["incremental_load"] = w(
+    f"SELECT zip_code, hex_level_8, donor_segment, count(*) AS donor_count, count(DISTINCT donor_id) AS distinct_donors, "
+    f"CAST(sum({A}) AS DOUBLE) AS total_annual FROM donors GROUP BY zip_code, hex_level_8, donor_segment", cells=True)

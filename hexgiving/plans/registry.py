@@ -645,6 +645,83 @@ def _sql_zip_view(spark, sf):
                {"view": "donations_by_zip_code", "min_count": 1, "skip": "29600"})
 
 
+@query("venue_cards_full")
+def _venue_cards_full(spark, sf):
+    """Venue cards with every field; some are null."""
+    return features.venue_cards(T.venue_directory(spark, sf))
+
+
+@query("summary_declared")
+def _summary_declared(spark, sf):
+    """The summary published with its declared types, its newest version read back; amounts as text, to the cent."""
+    from hexgiving.sinks import published
+    path = shared_dir(spark, "summary-declared")
+    published.publish(rollups.declared_summary(donors(spark, sf), F.lit(REPORT_TIME).cast("timestamp")), path)
+    t = published.latest(spark, path)
+    money = [c for c, kind in t.dtypes if kind.startswith("decimal")]
+    return t.withColumns({c: F.col(c).cast("string") for c in money}).withColumn("created_date", F.col("created_date").cast("string"))
+
+
+@query("sql_governed")
+def _sql_governed(spark, sf):
+    """What SQL readers of the governed views see, per role and segment."""
+    from hexgiving.sources.governed import declare_role, register_governed_views
+    register_governed_views(spark, sf)
+    out = None
+    for role in ROLES:
+        declare_role(spark, role)
+        rows = spark.sql("SELECT donor_segment, count(*) AS donors, min(full_name) AS first_name, max(age) AS oldest, "
+                         "CAST(sum(annual_donation_amount) AS DOUBLE) AS total_annual FROM governed_donors GROUP BY donor_segment")
+        rows = rows.withColumn("role", F.lit(role))
+        out = rows if out is None else out.unionByName(rows)
+    declare_role(spark, "")
+    return out
+
+
+@query("sketch_counts")
+def _sketch_counts(spark, sf):
+    """Distinct donors' cells per zip, from sketches stored per summary row: is the estimate within four standard errors?"""
+    from hexgiving.operators import sketches
+    d = donors(spark, sf)
+    path = shared_dir(spark, "sketches")
+    sketches.distinct_sketches(d, ["zip_code", "hex_level_7"], {"cells": "hex_level_9", "givers": "donor_id"}).write.parquet(path)
+    stored = spark.read.parquet(path)
+    zips = sketches.estimates(sketches.united(stored, ["zip_code"], ["cells", "givers"]), ["cells", "givers"])
+    exact = d.groupBy("zip_code").agg(F.countDistinct("hex_level_9").alias("distinct_cells"), F.countDistinct("donor_id").alias("distinct_donors"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.lit(4 * sketches.relative_error()) * F.col(b) + 1
+    return exact.join(zips, "zip_code").select("zip_code", "distinct_cells", "distinct_donors",
+                                               (near("cells", "distinct_cells") & near("givers", "distinct_donors")).alias("within_error"))
+
+
+@query("delta_stream")
+def _delta_stream(spark, sf):
+    """Donor files land, half of the rows twice; the refresh writes deltas, which are folded and added up."""
+    from hexgiving.streaming import incremental
+    base = shared_dir(spark, "delta-stream")
+    d = donors(spark, sf).select(*T.donors(spark, sf).columns)
+    d.write.parquet(f"{base}/donors")
+    d.where(F.pmod(F.xxhash64("donor_id"), F.lit(2)) == 0).write.mode("append").parquet(f"{base}/donors")
+    q = incremental.start_delta_refresh(spark, f"{base}/donors", d.schema, f"{base}/summary", f"{base}/_checkpoint",
+                                        available_now=True, max_files_per_trigger=4)
+    q.awaitTermination()
+    incremental.compact(spark, f"{base}/summary")
+    return incremental.read_delta_summary(spark, f"{base}/summary")
+
+
+@query("incremental_load")
+def _incremental_load(spark, sf):
+    """Orders arrive as files in two lots; each load appends the donors of the new files alone."""
+    from hexgiving.streaming import incremental
+    base = shared_dir(spark, "load")
+    orders, customer = T.read_table(spark, sf, "orders"), T.read_table(spark, sf, "customer")
+    for lot in (0, 1):
+        orders.where(F.pmod(F.col("o_orderkey"), F.lit(2)) == lot).write.mode("append").parquet(f"{base}/orders")
+        incremental.load_new_orders(spark, f"{base}/orders", orders.schema, customer, f"{base}/donors", f"{base}/_checkpoint").awaitTermination()
+    return (spark.read.parquet(f"{base}/donors").groupBy("zip_code", "hex_level_8", "donor_segment")
+            .agg(F.count(F.lit(1)).alias("donor_count"), F.countDistinct("donor_id").alias("distinct_donors"),
+                 F.sum("annual_donation_amount").cast("double").alias("total_annual")))
+
+
 @query("partitioned_filter_zip")
 def _partitioned_filter_zip(spark, sf):
     """Donor table written once partitioned by zip, read back with a zip

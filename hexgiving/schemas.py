@@ -8,6 +8,7 @@ uniqueness is a check (``operators.quality.key_uniqueness``).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 DONORS = StructType.fromDDL(
@@ -40,6 +41,15 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def declared(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` with the declared columns and types, in their order; columns it lacks are null, others are dropped.
+
+    A value that does not fit its declared type is an error (ANSI casts).
+    """
+    have = set(df.columns)
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
 def conforms(df: DataFrame, schema: StructType) -> list[str]:
     """Columns of ``df`` whose type differs from the declared one (columns
     the schema does not declare are reported too); empty when it conforms."""

@@ -89,8 +89,11 @@ def _money(c) -> F.Column:
     return F.concat(F.lit("$"), F.format_number(c, 2))
 
 
+REPORT_TITLE = "ALUMNI EVENT TARGETING REPORT"
+
+
 def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level_8",
-                 record_columns: Sequence[str] | None = None) -> DataFrame:
+                 record_columns: Sequence[str] | None = None, title: str = REPORT_TITLE) -> DataFrame:
     """The report as rows ``(section, line_key, text)``.
 
     Sections: 0 header and bounds, 1 summary statistics, 2 zips by total,
@@ -111,7 +114,7 @@ def report_lines(filtered: DataFrame, generated: str, cell_col: str = "hex_level
         F.min(lat).alias("lat0"), F.max(lat).alias("lat1"), F.min(lon).alias("lon0"), F.max(lon).alias("lon1"))
     f6 = lambda c: F.format_string("%.6f", F.col(c))
     header = head.select(F.explode(F.array(
-        _line(0, "00", F.lit("DONOR EVENT TARGETING REPORT")),
+        _line(0, "00", F.lit(title)),
         _line(0, "01", F.lit("=" * 50)),
         _line(0, "02", F.lit(f"Generated: {generated}")),
         _line(0, "03", F.concat(F.lit("Total Records Analyzed: "), F.format_number(F.col("n"), 0))),

@@ -93,10 +93,13 @@ def segment_of(annual: Column) -> Column:
 @memo
 def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor rows: one per order, giving derived from the order total."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    customer = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return donor_rows(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
+
+
+def donor_rows(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Donor rows of the given orders (a table or a stream of them) and customers."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    customer = customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     k = F.col("o_orderkey")
     year = (F.lit(FIRST_YEAR) + k % YEAR_SPAN).cast("int")
     annual = (F.col("o_totalprice").cast("decimal(12,2)")
@@ -236,6 +239,24 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
+def venue_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues with all fields of a venue card: phone, street, city, state, description, website; some are null or empty.
+
+    The city is the nation's name; a plain equi-join, broadcast by measured size.
+    """
+    n = read_table(spark, sf_dir, "nation").select((F.lit(ZIP_BASE) + F.col("n_nationkey")).cast("string").alias("zip_code"),
+                                                   F.col("n_name").alias("city"))
+    k = F.substring("venue_id", 7, 6).cast("int")
+    full = venues(spark, sf_dir).join(n, "zip_code", "left")
+    return full.withColumns({
+        "state": F.when(k % 10 == 0, F.lit("NC")).otherwise(F.lit("SC")),
+        "phone": F.when(k % 19 != 0, F.concat(F.lit("(864) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"))),
+        "street_address": F.concat((k % 900 + 1).cast("string"), F.lit(" "), F.col("venue_type"), F.lit(" Street")),
+        "description": F.when(k % 11 != 0, F.concat(F.col("venue_type"), F.lit(" in "), F.col("city"))),
+        "website": F.when(k % 5 == 0, F.lit("")).when(k % 7 != 0, F.concat(F.lit("https://venues.example.com/"), k.cast("string")))})
+
+
 @memo
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address rows: one per customer, city from the nation name."""

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from hexgiving.operators import rollups
+from hexgiving.sinks import published
 from hexgiving.sources.tables import with_cells
 
 
@@ -31,27 +32,9 @@ def summary_of_stream(spark: SparkSession, source_dir: str, schema: StructType,
     return rollups.donor_summary(with_cells(stream))
 
 
-KEPT_VERSIONS = 2
-
-
-def _folder(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def _versions(spark: SparkSession, sink_dir: str) -> list[str]:
-    """Complete versions (their write has put its marker), oldest first."""
-    fs, path = _folder(spark, sink_dir)
-    names = [f.getPath().getName() for f in fs.listStatus(path(sink_dir))] if fs.exists(path(sink_dir)) else []
-    return sorted(n for n in names if n.startswith("v") and fs.exists(path(f"{sink_dir}/{n}/_SUCCESS")))
-
-
 def read_summary(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The newest complete summary under ``sink_dir``."""
-    versions = _versions(spark, sink_dir)
-    if not versions:
-        raise FileNotFoundError(f"no summary has been published under {sink_dir}")
-    return spark.read.parquet(f"{sink_dir}/{versions[-1]}")
+    return published.latest(spark, sink_dir)
 
 
 def start_summary_refresh(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
@@ -66,10 +49,7 @@ def start_summary_refresh(spark: SparkSession, source_dir: str, schema: StructTy
     by default the session's ``spark.sql.shuffle.partitions``.
     """
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_dir}/v{batch_id:020d}")     # a retried batch repeats its own
-        fs, path = _folder(spark, sink_dir)
-        for old in _versions(spark, sink_dir)[:-KEPT_VERSIONS]:
-            fs.delete(path(f"{sink_dir}/{old}"), True)
+        published.publish(batch, sink_dir, batch_id)        # a retried batch repeats its own
 
     writer = (summary_of_stream(spark, source_dir, schema, max_files_per_trigger).writeStream
               .outputMode("complete").option("checkpointLocation", checkpoint_dir)
