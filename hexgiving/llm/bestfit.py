@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import stored
-from hexgiving.llm.tokenizer import encoder
+from hexgiving.llm.common import slices, stored
+from hexgiving.llm.tokenizer import encoder, forget_words
 
 ROWS_PER_BUCKET = 100_000
 
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     """
     def run(batches):
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             row, no, start, length, crc, ids = [], [], [], [], [], []
             for i, b in enumerate(enc.encode(batch.column(1).to_pylist())):
                 b += end
@@ -149,6 +149,7 @@ def pack(items: DataFrame, capacity: int, length_col: str, order_by: list[str])
     @F.pandas_udf("struct<sequence_id long, offset long>")
     def place(length, rank):
         import pandas as pd
+        forget_words()
         length, rank = length.to_numpy(), rank.to_numpy()
         t = table[np.searchsorted(starts, length * spread + rank, "right") - 1]
         at = rank - t[:, 1]

@@ -50,7 +50,7 @@ class Encoder:
         self.added = [t["content"] for t in added]
         if any(t["normalized"] for t in added):     # these also match other spellings
             self.pattern = None
-        self.cache, self.word_cache = WordCache(self._chunk, 400_000), WordCache(self._word, 50_000)
+        self.cache, self.word_cache = WordCache(self._chunk, 250_000), WordCache(self._word, 50_000)
 
     @staticmethod
     def _words(normal: dict | None, split: dict | None):
@@ -107,3 +107,11 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path, special=True)
     return _encoders[path]
+
+
+def forget_words() -> None:
+    """Empty the word caches of the worker's encoders: for the job step after encoding, which needs the memory."""
+    for e in _encoders.values():
+        for cache in (e.cache, e.word_cache):
+            cache.clear()
+            cache.old = {}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import WordCache, fold, stored
+from hexgiving.llm.common import WordCache, fold, slices, stored
 
 # The letters of the character model (position 0: edge of a word) ...
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -46,7 +46,7 @@ def character_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(code, n): letter trigrams of all texts, with word edges; at most ``SIZE ** 3`` rows."""
     def run(batches):
         total = np.zeros(SIZE ** 3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 cp = np.frombuffer(f"\n{(text or '').lower()}\n".encode("utf-32-le"), "<u4")
                 s = _TABLE[np.minimum(cp, 256)]
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def words(batches):
         cache = WordCache(lambda t: restored(t, shared.value), CACHED)
-        for batch in batches:
+        for batch in slices(batches):
             rows, out = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 found = {w for t in tokens(text) for w in cache[t]}
@@ -274,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measured(batches):
         one, two = halves.value
         cache = WordCache(lambda t: (one.weight(t), two.weight(t)), CACHED)
-        for batch in batches:
+        for batch in slices(batches):
             x = [measures([cache[t][h] for t in tokens(text)])
                  for h, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
