@@ -47,7 +47,7 @@ def test_report_is_written_in_reading_order(spark, tmp_path, edge_donors):
     export.write_report(lines, path)
     parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
     text = "".join(open(os.path.join(path, p)).read() for p in parts).splitlines()
-    assert text[0] == "DONOR EVENT TARGETING REPORT"
+    assert text[0] == "ALUMNI EVENT TARGETING REPORT"
     i = text.index("GEOGRAPHIC DISTRIBUTION")
     zips = [line.split(",")[0] for line in text[i + 3:i + 6]]
     assert zips == ["29602", "29601", "29603"]        # total descending
