@@ -10,8 +10,10 @@ parsed AS (SELECT page_id, html,
         regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query, rest FROM raw),
 p AS (SELECT *, CASE WHEN rest IS NOT NULL THEN host || path || query END AS node FROM parsed),
 hrefs AS (SELECT node, host, path, unnest([
-        regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-        regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS href
+        regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*(?:["'']?|"[^">]*\s|''[^''>]*\s)canonical\b[^>]*>'),
+                       '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*'),
+                       '(?is)^.*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS href
         FROM p WHERE node IS NOT NULL),
 targets AS (SELECT node, replace(href, '&amp;', '&') AS href, host, path FROM hrefs WHERE href <> ''),
 absolute AS (SELECT node, CASE WHEN contains(href, '://') THEN substr(href, strpos(href, '://') + 3)
