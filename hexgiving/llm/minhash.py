@@ -18,7 +18,7 @@ from hexgiving.llm.components import connected_components
 BANDS, ROWS = 50, 5     # a pair at similarity 0.8 shares no band with probability 2.3e-9
 ESTIMATE_SLACK = 0.16   # over six standard deviations of the 250-minima estimate at 0.8
 SEED = 20240229
-SMALL_PAIRS = 500_000   # two ids each, under 16 MB
+SKETCH_BITS = 1024      # odd sketch: one parity bit for each value of the hashes' low bits
 BLOCK = 256, 1024       # visitors and members that one block of the remainder compares
 
 
@@ -37,8 +37,22 @@ def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _odd_sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements at each value of the low bits."""
+    at = (s % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _packed(m: np.ndarray) -> np.ndarray:
+    """The low four bits of each minimum, two to a byte."""
+    low = (m & 15).astype(np.uint8)
+    if low.shape[1] % 2:
+        low = np.pad(low, ((0, 0), (0, 1)))
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """Per row: id, n_shingles, digest of the full set, one byte per minimum, one key per band."""
+    """Per row: id, n_shingles, digest of the full set, odd sketch and four bits per minimum, one key per band."""
     id_type = docs.schema[id_col].dataType
     k = bands * rows
 
@@ -47,19 +61,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
         a = rng.integers(0, 2**32, k, np.uint32) | np.uint32(1)
         b = rng.integers(0, 2**32, k, np.uint32)
         for batch in batches:
-            count, digest, mins = [], [], []
+            count, digest, mins, odd = [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(t, n)
                 count.append(len(s))
                 digest.append(xxhash.xxh128_digest(s.tobytes()))
                 mins.append(_minima(s, a, b))
+                odd.append(_odd_sketch(s))
+            low = _packed(np.array(mins, np.uint32).reshape(len(mins), k))
             m = np.array(mins, np.uint32).reshape(len(mins), bands, rows)
             keys = [chain([np.full(len(mins), j, np.uint64), *(m[:, j, i].astype(np.uint64) for i in range(rows))])
                     for j in range(bands)]
             flat = np.stack(keys, 1).view(np.int64).ravel() if len(mins) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array([x.astype(np.uint8).tobytes() for x in m], pa.binary()),
+                 pa.array([o + x.tobytes() for o, x in zip(odd, low, strict=True)], pa.binary()),
                  pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)],
                 names=["id", "n_shingles", "digest", "sig", "bands"])
 
@@ -84,30 +100,47 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _both_sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """(a, b, x, y): pairs with the values of their two ids. Only the pairs' own values are shuffled, by b.
+def _both_sides(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
+    """(a, b, x.., y..): pairs with the values of their two ids. Only the pairs' own values are shuffled, by b.
+
+    Both tables are written, so Spark knows their sizes and broadcasts the pairs while they are small.
+    """
+    left = values.select(F.col("id").alias("a"), *(F.col(n).alias(f"x{i}") for i, n in enumerate(names))).join(pairs, "a")
+    right = (values.select(F.col("id").alias("b"), *(F.col(n).alias(f"y{i}") for i, n in enumerate(names)))
+             .join(pairs.select("b").distinct(), "b", "left_semi"))
+    every = [f"{side}{i}" for side in "xy" for i in range(len(names))]
+    return left.join(right, "b").select("a", "b", *every)
+
+
+def _promising(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int, minima: int) -> np.ndarray:
+    """Which rows of signatures (sets of m and n shingles) may be links.
 
-    Up to ``SMALL_PAIRS`` pairs are broadcast to the values; beyond that the joins shuffle.
+    The share of equal minima is an estimate, held to the threshold less
+    ``ESTIMATE_SLACK``; minima that differ still agree in their four bits one
+    time in 16, which only raises it. The odd sketches differ in at most as
+    many bits as the sets in elements, and so do the sizes: these two bounds
+    are exact and lose no link.
     """
-    small = pairs.count() <= SMALL_PAIRS
-    send = F.broadcast if small else lambda df: df
-    left = values.select(F.col("id").alias("a"), F.col(name).alias("x")).join(send(pairs), "a")
-    right = (values.select(F.col("id").alias("b"), F.col(name).alias("y"))
-             .join(send(pairs.select("b").distinct()), "b", "left_semi"))
-    return left.join(right, "b").select("a", "b", "x", "y")
+    differ = x ^ y
+    edge = SKETCH_BITS // 8
+    apart = np.maximum(np.bitwise_count(differ[:, :edge]).sum(axis=1, dtype=np.int64), np.abs(m - n))
+    tail = differ[:, edge:]
+    equal = (tail & 15 == 0).sum(axis=1) + (tail >> 4 == 0).sum(axis=1)
+    return (equal >= (percent / 100 - ESTIMATE_SLACK) * minima) & (100 * (m + n - apart) >= percent * (m + n + apart))
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least the share ``least`` of the minima."""
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures and sizes allow a link (``_promising``)."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                        for i in (2, 3))
-                batch = batch.filter(pa.array((x == y).mean(axis=1) >= least))
+                        for i in (2, 4))
+                m, n = (batch.column(i).to_numpy() for i in (3, 5))
+                batch = batch.filter(pa.array(_promising(x, y, m, n, percent, BANDS * ROWS)))
             yield batch.select([0, 1])
 
-    both = _both_sides(stored(pairs, "pairs"), reps.withColumnRenamed("rep", "id"), "sig")
+    both = _both_sides(stored(pairs, "pairs"), reps.withColumnRenamed("rep", "id"), "sig", "n_shingles")
     return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
@@ -214,17 +247,17 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, id_col: str, text_c
     """
     live = signed.where("id IS NOT NULL AND n_shingles > 0")
     reps = stored(live.groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"),
+                                             F.any_value("n_shingles").alias("n_shingles"),
                                              F.any_value("bands").alias("bands")), "reps")
     copies = (live.select("id", "digest").join(reps.select("digest", "rep"), "digest").where("id != rep")
               .select(F.col("id").alias("a"), F.col("rep").alias("b")))
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
     pivots = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(buckets.join(pivots, "key").where("rep != pivot"), "buckets")
-    sig = reps.select("rep", "sig")
-    least = percent / 100 - ESTIMATE_SLACK
+    sig = reps.select("rep", "sig", "n_shingles")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        likely = stored(_likely(pairs, sig, least), f"{name}-likely")
+        likely = stored(_likely(pairs, sig, percent), f"{name}-likely")
         return stored(_confirmed(likely, docs, id_col, text_col, words, percent), f"{name}-links")
 
     first = verify(shared.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pivot")

@@ -343,3 +343,31 @@ def test_pipeline(spark, tmp_path):
     whole = {r["doc_id"]: r["ids"] for r in out if r["start"] == 0}
     assert passage in library.decode(whole[3000]) and passage not in library.decode(whole[3001])
     assert all(library.decode(whole[i][:-1]) == clean[i] for i in range(120))
+
+
+def test_signature_bounds_lose_no_link():
+    """Pairs at the threshold pass the sketch, size and minima bounds; pairs far from it do not."""
+    rng = np.random.default_rng(3)
+    family = np.random.default_rng(minhash.SEED)
+    a = family.integers(0, 2**32, 250, np.uint32) | np.uint32(1)
+    b = family.integers(0, 2**32, 250, np.uint32)
+
+    def signed(s):
+        low = minhash._packed(minhash._minima(s, a, b)[None])
+        return np.frombuffer(minhash._odd_sketch(s) + low.tobytes(), np.uint8)
+
+    links = far = 0
+    for size in (5, 40, 300, 5_000):
+        for gone in np.linspace(0, 0.5, 41):
+            whole = rng.integers(0, 2**64, 2 * size, np.uint64)
+            x = np.unique(whole[:size])
+            y = np.unique(whole[int(gone * size):int(gone * size) + size - size // 20])
+            both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            keep = minhash._promising(signed(x)[None], signed(y)[None], np.array([len(x)]), np.array([len(y)]), 80, 250)[0]
+            if 100 * both >= 80 * union:
+                links += 1
+                assert keep
+            elif 100 * both < 60 * union and size == 300:
+                far += 1
+                assert not keep
+    assert links > 20 and far > 3
