@@ -506,6 +506,9 @@ ORACLE["sql_zip_view"] = w(
     f"WHERE donor_count >= 1 AND zip_code <> '29600'")
 ORACLE["partitioned_filter_zip"] = w(
     f"SELECT donor_id, zip_code, donor_segment, CAST({A} AS DOUBLE) AS {A} FROM donors WHERE {pred(zip_codes=R.ZIPS)}")
+ORACLE["clustered_filters"] = w(" UNION ALL ".join(
+    f"SELECT '{name}' AS filter_name, count(*) AS donor_count, {S.money_sum(A)} AS total FROM donors WHERE {pred(**choice)}"
+    for name, choice in R.CLUSTER_FILTERS.items()))
 
 # --- where to hold an event ---------------------------------------------------------
 GRID8 = S.hg.GRIDS[8]

@@ -9,10 +9,12 @@ per query.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexgiving.functions.measures import money_sum
 from hexgiving.operators import features, filters, governance, hexmap, quality, rollups, sites
 from hexgiving.operators import enrich as enr
 from hexgiving.operators.numbering import global_rank, number_rows, sample_n
@@ -26,6 +28,8 @@ YEARS = (2000, 2015)
 AMOUNTS = (1000.0, 20000.0)
 SEGMENTS = (T.SEGMENT_MAJOR, T.SEGMENT_MID)
 FILTERS = dict(zip_codes=ZIPS, grad_years=YEARS, donation_range=AMOUNTS, donor_segments=SEGMENTS)
+CLUSTER_FILTERS = {"zip": dict(zip_codes=ZIPS), "year": dict(grad_years=YEARS), "amount": dict(donation_range=AMOUNTS),
+                   "all": dict(zip_codes=ZIPS, grad_years=YEARS, donation_range=AMOUNTS)}
 EMPTY_FILTERS = dict(zip_codes=(), grad_years=None, donation_range=None, donor_segments=[])
 NO_MATCH_FILTERS = dict(zip_codes=ZIPS, grad_years=(2100, 2200), donation_range=None, donor_segments=None)
 VENUE_TYPES = ("Hotel", "Restaurant", "Museum")
@@ -574,7 +578,7 @@ def _venue_key_uniqueness(spark, sf):
 
 # --- sinks ------------------------------------------------------------------------
 from hexgiving.session import shared_dir  # noqa: E402
-from hexgiving.sinks import export  # noqa: E402
+from hexgiving.sinks import clustered, export  # noqa: E402
 
 REPORT_TIME = "2024-12-31 00:00:00"
 
@@ -730,3 +734,15 @@ def _partitioned_filter_zip(spark, sf):
     return (filters.apply_filters(table, zip_codes=ZIPS)
             .select("donor_id", "zip_code", "donor_segment",
                     F.col("annual_donation_amount").cast("double").alias("annual_donation_amount")))
+
+
+@query("clustered_filters")
+def _clustered_filters(spark, sf):
+    """Donor table clustered by zip, year and amount at once; each filter
+    alone, and all together, skips row groups of it."""
+    rows = donors(spark, sf).select("donor_id", *clustered.DONOR_CLUSTERING)
+    table = clustered.write_interleaved(rows, shared_dir(spark, "clustered-donors"))
+    parts = [filters.apply_filters(table, **choice).agg(
+        F.lit(name).alias("filter_name"), F.count("*").alias("donor_count"),
+        money_sum(F.col("annual_donation_amount")).alias("total")) for name, choice in CLUSTER_FILTERS.items()]
+    return reduce(DataFrame.unionByName, parts)
