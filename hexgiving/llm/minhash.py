@@ -145,6 +145,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    # the ids are written, so Spark knows their size: it sends them to the texts while they are small
+    ids = stored(ids.distinct(), "ids")
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
     return stored(_sets(wanted, "id", "t", n), "sets")
 
@@ -160,7 +162,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     both = _both_sides(pairs, _sets_of(ids, docs, id_col, text_col, n), "set")
     return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
