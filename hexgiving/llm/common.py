@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +61,37 @@ class WordCache(dict):
         self[word] = value
         return value
 
+    def empty(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+WORD_HASHES = WordCache(xxhash.xxh3_64_intdigest, 100_000)
+
+
+def release() -> None:
+    """Empty the shared word cache and give freed memory back to the system.
+
+    A Python worker outlives its task and serves later stages; what its
+    allocators still hold would count beside theirs.
+    """
+    WORD_HASHES.empty()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` (batches to batches) that releases its worker's memory at the end of each partition."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-_hashes = WordCache(xxhash.xxh3_64_intdigest, 100_000)
+    return wrapped
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -69,7 +102,7 @@ def words(text: bytes | None) -> list[bytes]:
 def word_hashes(text: bytes | None) -> np.ndarray:
     """64-bit hash of each word of the whole text (null: no words)."""
     w = words(text)
-    return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(WORD_HASHES.__getitem__, w), np.uint64, len(w))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import chain, ngram_hashes, stored, word_hashes
+from hexgiving.llm.common import chain, lean, ngram_hashes, stored, word_hashes
 from hexgiving.llm.components import connected_components
 
 BANDS, ROWS = 50, 5     # a pair at similarity 0.8 shares no band with probability 2.3e-9
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_shingles", T.LongType()),
                            T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()),
                            T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -97,7 +97,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType),
                            T.StructField("set", T.ArrayType(T.LongType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def _both_sides(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1])
 
     both = _both_sides(stored(pairs, "pairs"), reps.withColumnRenamed("rep", "id"), "sig", "n_shingles")
-    return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
+    return both.mapInArrow(lean(run), pairs.select("a", "b").schema).distinct()
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     both = _both_sides(pairs, _sets_of(ids, docs, id_col, text_col, n), "set")
-    return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
+    return both.mapInArrow(lean(run), pairs.select("a", "b").schema).distinct()
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

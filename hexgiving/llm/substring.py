@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import stored
+from hexgiving.llm.common import lean, stored
 
 # A line is a unit; a line of several sentences is a paragraph and gives one unit for each sentence.
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -88,7 +88,7 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, split=pas
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()),
                            *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "n_words")),
                            T.StructField("digest", T.BinaryType())])
-    return docs.select(F.col(id_col), F.xxhash64(text_col), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.xxhash64(text_col), text_col).mapInArrow(lean(run), schema)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -7,12 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import WordCache, ngram_hashes, stored
+from hexgiving.llm.common import WORD_HASHES, lean, ngram_hashes, stored
 
 MIN_MATCH = 4           # words; shorter matches are no tiles
 COVERAGE = 0.7          # share of a test item's words under tiles
@@ -22,13 +21,12 @@ GAP = 0                 # stands for document words outside all seeds
 
 _FOLD = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(),
                         (string.ascii_lowercase + " " * len(string.punctuation)).encode())
-_hashes = WordCache(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def tokens(text: bytes | None) -> np.ndarray:
     """Word hashes: A-Z lower-cased, ASCII punctuation and white space between words."""
     w = (text or b"").translate(_FOLD).split()
-    return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(WORD_HASHES.__getitem__, w), np.uint64, len(w))
 
 
 def _windows(t: list[int], marked: list[bool], size: int):
@@ -111,7 +109,7 @@ def _seeds(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Data
     schema = T.StructType([T.StructField("item", benchmark.schema[id_col].dataType), T.StructField("seed", T.LongType()),
                            T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()),
                            T.StructField("tokens", T.ArrayType(T.LongType()))])
-    return benchmark.select(id_col, text_col).mapInArrow(run, schema)
+    return benchmark.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.ndarray, places: bool) -> DataFrame:
@@ -154,7 +152,7 @@ def _matches(docs: DataFrame, id_col: str, text_col: str, least: int, seeds: np.
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()),
                            *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("seeds", "tokens", *["places"] * places))])
-    return docs.select(F.col(id_col), F.xxhash64(text_col), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.xxhash64(text_col), text_col).mapInArrow(lean(run), schema)
 
 
 def _merged(matches: DataFrame) -> DataFrame:
@@ -171,7 +169,7 @@ def _merged(matches: DataFrame) -> DataFrame:
 
     both = matches.groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("seeds"))).alias("seeds"),
                                                   F.collect_set(F.struct("places", "tokens")).alias("pieces"))
-    return both.mapInArrow(run, matches.drop("places").schema)
+    return both.mapInArrow(lean(run), matches.drop("places").schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -234,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                            T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()),
                            T.StructField("longest", T.IntegerType())])
     # one pair a row costs most here: spread them
-    tiled = pairs.repartition("id", "text_hash", "item").mapInArrow(run, schema)
+    tiled = pairs.repartition("id", "text_hash", "item").mapInArrow(lean(run), schema)
     keys = ("id", "text_hash", "item") if by_text else ("id", "item")
     return tiled.groupBy(*keys).agg(F.max_by(F.struct("coverage", "n_tiles", "longest"), "coverage").alias("t")).select(
         *keys, "t.*")

@@ -113,5 +113,4 @@ def forget_words() -> None:
     """Empty the word caches of the worker's encoders: for the job step after encoding, which needs the memory."""
     for e in _encoders.values():
         for cache in (e.cache, e.word_cache):
-            cache.clear()
-            cache.old = {}
+            cache.empty()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import WordCache, fold, slices, stored
+from hexgiving.llm.common import WordCache, fold, lean, release, slices, stored
 
 # The letters of the character model (position 0: edge of a word) ...
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -56,7 +56,7 @@ def character_counts(docs: DataFrame, text_col: str) -> DataFrame:
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(total[code])], names=["code", "n"])
 
-    return (docs.select(text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    return (docs.select(text_col).mapInArrow(lean(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")))
 
 
 def character_model(rows: list, weight: float = 5.0) -> np.ndarray:
@@ -250,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (GRAM - 1), F.lit(1))),
                         lambda i: F.substring(marked, i, F.lit(GRAM)))
-    by_word = stored(texts.mapInArrow(words, "half int, y int, word string").groupBy("word").agg(
+    by_word = stored(texts.mapInArrow(lean(words), "half int, y int, word string").groupBy("word").agg(
         *(F.count_if((F.col("half") == h) & (F.col("y") == y)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1))), "words")
     counts = [f"n{h}{y}" for h in (0, 1) for y in (0, 1)]
     by_feature = stored(by_word.select(F.explode(F.array_distinct(F.concat(F.array(marked), grams))).alias("f"), *counts)
@@ -279,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                  for h, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = texts.mapInArrow(measured, "y int, x array<double>").collect()       # sample_rows at most
+    rows = texts.mapInArrow(lean(measured), "y int, x array<double>").collect()       # sample_rows at most
     model.weights = weights((0, 1))
     y = np.array([r["y"] for r in rows], float)
     if len(y) and 0 < y.sum() < len(y):
@@ -298,8 +298,12 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+        try:
+            for texts in batches:
+                yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+        finally:
+            shared.value.cache = None
+            release()
 
     return docs.drop(out).withColumn(out, score(F.col(text_col)))
 
