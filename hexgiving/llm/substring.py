@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import lean, stored
+from hexgiving.llm.common import lean, slices, stored
 
 # A line is a unit; a line of several sentences is a paragraph and gives one unit for each sentence.
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -70,7 +70,7 @@ def passages(text: str, min_words: int):
 def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, split=passages) -> DataFrame:
     """(id, text_hash, start, end, n_words, digest): units of the whole texts, offsets in code points."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, start, end, n_words, digest = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for first, last, n, norm in split(text or "", min_words):
