@@ -9,6 +9,8 @@ extra columns pass through as each stage's docstring says.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,22 @@ from hexgiving.llm.common import stored
 TOXIC = 0.3
 SEQUENCE = 1024
 END_ID = 2
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000       # texts on their way to a Python worker at a time; results do not depend on it
+
+
+def small_batches(stage):
+    """``stage`` with Arrow batches of at most ``BATCH_ROWS`` rows, where the session sets no size of its own."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, None) is None:
+            spark.conf.set(BATCH, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.3. Labels are learned from as far as their documents are still there.
 
@@ -33,6 +49,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_scores(docs, model, out=name).where(F.col(name) < TOXIC).drop(name)
 
 
+@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group linked by five-word shingles at 0.8.
 
@@ -48,6 +65,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+@small_batches
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every repeated sentence, line or run of short sentences but its earliest occurrence cut from the texts; ``n_chars`` follows.
 
@@ -58,6 +76,7 @@ def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cut.withColumn("n_chars", size).select(docs.columns)
 
 
+@small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover less than 0.7 of every benchmark item. Null ids, short and null texts stay unless covered.
 
@@ -68,6 +87,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti")
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed into sequences of 1024: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset."""
     import public_tokenizers
