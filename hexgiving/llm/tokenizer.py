@@ -12,8 +12,9 @@ import regex
 from hexgiving.llm.common import WordCache
 
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-# White space other than blank and newline, whose runs could reach over a chunk's edge.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+# White space other than blank and newline, whose runs could reach over a chunk's edge; looking for one character
+# after the other is faster than one pattern.
+OTHER_SPACE = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]
 # Outside these characters case folding and composition are left to the library.
 LATIN = re.compile(r"[\0-\u024f]*")
 # The word pattern and the byte alphabet of byte-level vocabularies.
@@ -45,6 +46,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not special
         self.model = self.library.model
+        self.tokenize = self.model.tokenize
         self.pattern, self.lower = self._words(kind["normalizer"], kind["pre_tokenizer"])
         added = [t for t in kind["added_tokens"] if special or not t["special"]]
         self.added = [t["content"] for t in added]
@@ -70,25 +72,31 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         # the alphabet shows letters as themselves
         shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(ALPHABET)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii():
+        if self.lower and chunk.isascii():
+            # the commonest kind, at once: a blank and letters
+            chunk = chunk.lower()
+            if chunk[0] == " " and chunk[1:].isalpha():
+                return array("I", [t.id for t in self.tokenize(chunk[1:])]).tobytes()
+        elif not chunk.isascii():
             if not LATIN.fullmatch(chunk):
                 return self.whole(chunk)
             if self.lower:
-                chunk = unicodedata.normalize("NFC", chunk)
-        if self.lower:
-            chunk = chunk.lower()
+                chunk = unicodedata.normalize("NFC", chunk).lower()
         if chunk[0] == " " and chunk[1:].isalpha():
             return self._word(chunk[1:] if self.lower else chunk)
         words = self.pattern.findall(chunk)
+        if self.lower:      # plain words are in the cache as they stand after a blank
+            return b"".join([self.word_cache[w] if len(w) <= 3 else self.cache[" " + w] if w.isascii() and w.isalpha() else self._word(w)
+                             for w in words])
         return b"".join([self._word(w) if len(w) > 3 else self.word_cache[w] for w in words])
 
     def _text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.pattern is None or OTHER_SPACE.search(text) or "\0" in text or any(t in text for t in self.added):
+        if self.pattern is None or any(map(text.__contains__, OTHER_SPACE)) or "\0" in text or any(t in text for t in self.added):
             return self.whole(text)
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             chunks = CHUNK.findall(text)
