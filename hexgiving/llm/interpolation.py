@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgiving.llm.common import chain, fold, slices, stored, word_hashes
+from hexgiving.llm.common import chain, fold, lean, release, slices, stored, word_hashes
 
 BLOCK_TOKENS = 500_000
-KEYS_PER_PARTITION = 1_000_000
+KEYS_PER_PARTITION = 500_000
 START, END = np.uint64(1), np.uint64(2)     # stand for a text's start (a context only) and its end (a token)
 RETAINED, DELETED, UNSEEN = 0, 1, 2         # a block's part: estimates, mixture weights, neither
 BUCKETS = 24                                # context counts 0, 1, 2-3, 4-7, ...
@@ -78,7 +78,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, part: str) -> DataFrame
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()),
                            T.StructField("ids", T.ArrayType(id_type)),
                            *(T.StructField(c, T.BinaryType()) for c in ("lengths", "tokens", "words"))])
-    return docs.select(id_col, part, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, part, text_col).mapInArrow(lean(run), schema)
 
 
 class Block:
@@ -134,11 +134,12 @@ def _requests(blocks: DataFrame, partitions: int) -> DataFrame:
                                                     pa.binary(), pa.binary(), pa.binary()), strict=True)],
                     names=[x.split()[0] for x in KEY_SCHEMA.split(", ")])
 
-    return blocks.select("block", "part", "lengths", "tokens", "words").mapInArrow(run, KEY_SCHEMA)
+    return blocks.select("block", "part", "lengths", "tokens", "words").mapInArrow(lean(run), KEY_SCHEMA)
 
 
 def _totals(table: pa.Table) -> pa.Table:
     """The counts of one partition's keys over all blocks, in each block's order."""
+    release()       # a worker serves many groups
     level, p = table.column("level")[0].as_py(), table.column("p")[0].as_py()
     part = table.column("part").to_pylist()
     keys = [np.cumsum(np.concatenate([np.frombuffer(f, np.uint64), unplanes(g, np.uint64)]), dtype=np.uint64)
@@ -231,6 +232,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     answers = counts.select("block", "level", "p", "part", "total", "retained")
 
     def statistics(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         block = Block(*(left.column(c)[0].as_py() for c in ("lengths", "tokens", "words")))
         one, two = _answers(block, right, "retained")
         context = one[block.context]
@@ -248,6 +250,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     weights = mixture_weights([tuple(c) for c in cells], 1 / (v_retained + 1))
 
     def scores(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         block = Block(*(left.column(c)[0].as_py() for c in ("lengths", "tokens", "words")))
         one, two = _answers(block, right, "total")
         context = one[block.context]
