@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import unicodedata
 from array import array
 
@@ -21,6 +22,8 @@ LATIN = re.compile(r"[\0-\u024f]*")
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+BLANK = ALPHABET[32]
+MARKS = string.punctuation      # a run of them with no letter behind is one word of the pattern
 _encoders: dict = {}
 
 
@@ -71,11 +74,16 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         # the alphabet shows letters as themselves
-        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(ALPHABET)
+        shown = word if word.isascii() and word.isalpha() else "".join(map(ALPHABET.__getitem__, word.encode()))
         return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.lower and chunk.isascii():
+        if not self.lower and chunk[0] == " " and chunk.isascii():
+            # the commonest kinds, at once: a blank and letters, and marks behind them
+            word = chunk[1:]
+            if word.isalpha():
+                return array("I", [t.id for t in self.tokenize(BLANK + word)]).tobytes()
+        elif self.lower and chunk.isascii():
             # the commonest kind, at once: a blank and letters
             chunk = chunk.lower()
             if chunk[0] == " " and chunk[1:].isalpha():
@@ -87,6 +95,9 @@ class Encoder:
                 chunk = unicodedata.normalize("NFC", chunk).lower()
         if chunk[0] == " " and chunk[1:].isalpha():
             return self._word(chunk[1:] if self.lower else chunk)
+        if not self.lower and chunk[0] == " " and (word := chunk.rstrip(MARKS))[1:].isalpha():
+            # a word and marks behind it: two words of the pattern, of which the first is often known
+            return self.cache[word] + self.word_cache[chunk[len(word):]]
         words = self.pattern.findall(chunk)
         if self.lower:      # plain words are in the cache as they stand after a blank
             return b"".join([self.word_cache[w] if len(w) <= 3 else self.cache[" " + w] if w.isascii() and w.isalpha() else self._word(w)

@@ -32,3 +32,16 @@ def test_language_model_workers_keep_no_words():
         "level": pa.array([2], pa.int32()), "p": pa.array([0], pa.int32()), "block": [7], "part": pa.array([0], pa.int32()),
         "first": [np.array([9], np.uint64).tobytes()], "gaps": [one], "counts": [ones]}))
     assert interpolation.unplanes(out.column("total")[0].as_py(), np.int64).tolist() == [3] and not len(common.WORD_HASHES)
+
+
+def test_a_byte_level_word_is_merged_once_whatever_marks_follow():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    e = tokenizer.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, merge = [], e.tokenize
+    e.tokenize = lambda w: asked.append(w) or merge(w)
+    text = " zyxwab zyxwab. zyxwab, zyxwab?! zyxwab&&& zyxwab' zyxwab##########"
+    assert e.encode([text]) == [e.whole(text)] and asked.count(tokenizer.BLANK + "zyxwab") == 1
+    odd = [f"{a}{w}{m}" for a in ("", " ", "\n", "(") for w in ("", "zyx", "Été", "don't", "z9", "中", "²") for m in
+           (*tokenizer.MARKS, "'s", "''s", ".'ll", "'.", ".é", "²", "9.", "._", "…")]
+    texts = [*odd, *(f"a{t} b{t} c" for t in odd), "".join(odd)]
+    assert e.encode(texts) == [e.whole(t) if t else b"" for t in texts]
