@@ -102,18 +102,30 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same text are one document: their units tie and neither counts
     against the other. Other columns are not read.
 
-    One shuffle of 16-byte digests with map-side minima finds the earliest;
-    the join back splits a digest with a third of all rows (AQE skew join).
+    The disk holds the units once more, see ``_not_first``.
     """
-    u = stored(units(docs, id_col, text_col, min_words, split), "units")
-    order = ("start", "text_hash") if split is sentences else ("text_hash", "start")
-    rank = F.struct(F.col("id").isNull().alias("n"), "id", *order, "end")
+    found = _not_first(stored(units(docs, id_col, text_col, min_words, split), "units"), split)
+    return found.select("id", "text_hash", "start", "end", "n_words", F.col("first.id").alias("first_id"),
+                        F.col("first.start").alias("first_start"))
+
+
+def _not_first(u: DataFrame, split) -> DataFrame:
+    """The rows of ``u`` (units) that ``repeated_units`` lists, with ``first``: the earliest of their digest.
+
+    ``u`` is shuffled once, by digest: the earliest of each and the join back
+    both read that shuffle. For that, both must take all of its columns and
+    rows, so the caller drops those it does not need, ``first`` holds the
+    others, and what is never null is said to be so, or Spark adds it to one.
+    Both stream a digest's rows, however many they are, in one task.
+    """
+    order = ["start", "text_hash"] if split is sentences else ["text_hash", "start"]
+    rank = ["id", *order, "end"]
+    rank = F.struct(F.col("id").isNull().alias("n"), *rank, *(c for c in u.columns if c not in [*rank, "digest"]))
+    u = u.where("digest IS NOT NULL AND text_hash IS NOT NULL").repartition("digest")
     first = (u.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1")
              .select("digest", "first"))
     return (u.join(first, "digest")
-            .where("NOT (first.id <=> id AND start < first.end AND first.text_hash = text_hash)")
-            .select("id", "text_hash", "start", "end", "n_words", F.col("first.id").alias("first_id"),
-                    F.col("first.start").alias("first_start")))
+            .where("NOT (first.id <=> id AND start < first.end AND first.text_hash = text_hash)"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -137,7 +149,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(whole)
         return type(spans)(out, dtype=object)
 
-    spans = (repeated_units(docs, id_col, text_col, min_words, split).distinct().groupBy("id", "text_hash")
+    u = stored(units(docs, id_col, text_col, min_words, split).drop("n_words"), "units")
+    spans = (_not_first(u, split).groupBy("id", "text_hash")
              .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
              .select("id", "text_hash", join("spans").alias("spans")))
 
